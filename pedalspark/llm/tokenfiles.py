@@ -54,7 +54,8 @@ def repair(ids: np.ndarray, rounds: int = 6, least: int = 8, most: int = 512) ->
         if not len(frequent):
             break
         if len(frequent) > most:
-            frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:most]]
+            cutoff = np.partition(counts[frequent], len(frequent) - most)[len(frequent) - most]
+            frequent = np.concatenate((frequent[counts[frequent] > cutoff], frequent[counts[frequent] == cutoff]))[:most]
         pairs = np.sort(ordered[cut[frequent]])
         mark = np.zeros(1 << 16, bool)  # cheap test before the search
         fold = lambda x: ((x >> kind(shift)) * kind(40503) ^ x) & kind(0xFFFF)
@@ -63,10 +64,15 @@ def repair(ids: np.ndarray, rounds: int = 6, least: int = 8, most: int = 512) ->
         which = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
         hit = pairs[which] == keys[at]
         at, which = at[hit], which[hit]
-        run = np.concatenate(([True], np.diff(at) > 1))  # a run of overlapping pairs: every other one
-        even = (np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
-        at, which = at[even], which[even]
-        used, which = np.unique(which, return_inverse=True)
+        touching = np.flatnonzero(np.diff(at) == 1)
+        if len(touching):  # runs of overlapping pairs: every other one stays
+            run = np.ones(len(at), bool)
+            run[touching + 1] = False
+            even = (np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
+            at, which = at[even], which[even]
+        times = np.bincount(which, minlength=len(pairs))
+        used = np.flatnonzero(times)
+        which = (np.cumsum(times > 0) - 1)[which]
         left, right = pairs[used] >> kind(shift), pairs[used] & kind((1 << shift) - 1)
         known = np.concatenate(lengths)
         own = [np.where(s < base, 1, known[np.maximum(s.astype(np.int64) - base, 0)] if len(known) else 1) for s in (left, right)]

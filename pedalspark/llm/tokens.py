@@ -15,55 +15,60 @@ _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPAC
 class WordBpe:
     """``encode(text)`` equals the library's ``encode(text, add_special_tokens=False).ids``, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never merges across its words, so each word is encoded once, together with a
-    text's other new words, and looked up afterwards; the caches are emptied when full. Texts of Latin-1 characters are
-    cut by the tokenizer's pattern; in others only ASCII white space cuts.
+    The tokenizer drops white space and never merges across its words. So each blank-separated chunk is looked up; new
+    ones are cut into words by the tokenizer's pattern, and a text's new words are encoded together. Texts of other than
+    Latin-1 characters have their chunks encoded by the library. The caches are emptied when full.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}  # lower-cased Latin-1
+        self.others: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._chunks(text)
+            return self._others(text)
         if "<|" in text:
-            return self._chunks(text)
-        words = _WORDS.findall(text.lower())
+            return self._others(text)
+        parts = text.lower().replace("\n", " ").split(" ")
         try:
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.chunks.__getitem__, parts))
         except KeyError:
-            self._learn([x for x in set(words) if x not in self.words])
-        return b"".join(map(self.words.__getitem__, words)) if len(self.words) <= self.limit else self._emptied(words)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        data, ends = ids.tobytes(), (np.flatnonzero(self.last[ids]) + 1) * 4
-        start = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.words[word] = data[start:end]
-            start = end
-
-    def _emptied(self, words: list[str]) -> bytes:
-        out = b"".join(map(self.words.__getitem__, words))
-        self.words.clear()
+            self._learn([x for x in set(parts) if x not in self.chunks])
+        out = b"".join(map(self.chunks.__getitem__, parts))
+        if len(self.chunks) > self.limit:
+            self.chunks = {}
         return out
 
-    def _chunks(self, text: str) -> bytes:
+    def _learn(self, parts: list[str]) -> None:
+        cut = [_WORDS.findall(x) for x in parts]
+        if new := [x for x in {w for own in cut for w in own} if x not in self.words]:
+            if len(self.words) > self.limit:
+                self.words, new = {}, list({w for own in cut for w in own})
+            ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for word, end in zip(new, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
+                self.words[word] = data[start:end]
+                start = end
+        get = self.words.__getitem__
+        for x, own in zip(parts, cut):
+            self.chunks[x] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+
+    def _others(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
         for x in parts:
-            if x not in self.chunks:
-                self.chunks[x] = np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        out = b"".join(map(self.chunks.__getitem__, parts))
-        if len(self.chunks) > self.limit // 4:
-            self.chunks = {"": b""}
+            if x not in self.others:
+                self.others[x] = np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        out = b"".join(map(self.others.__getitem__, parts))
+        if len(self.others) > self.limit // 4:
+            self.others = {}
         return out
 
 
