@@ -31,8 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the network knows."""
     ship(spark)
-    named = langid.predict(docs, langid.fit(docs), tuple(docs.columns))
-    return named.filter((F.col("lang_pred") != "und") & (named["score"] >= LEAST_LANGUAGE)).select(docs.columns)
+    return langid.spoken(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

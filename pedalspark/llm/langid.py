@@ -125,15 +125,15 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None
     return net
 
 
-def predict(docs: DataFrame, net: ByteCnn | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry``, lang_pred and score of every row of ``docs`` (text, ...)."""
+def _predicted(docs: DataFrame, net: ByteCnn | None, carry: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(table with lang_pred and score, the columns ``carry`` in it, which stand there under names of their own)."""
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col("text").alias("text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"), *own)
     kinds = dict(rows.dtypes)
     names = [f"c{i}" for i in range(len(carry))]
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
     if net is None:
-        return rows.select(*back, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")), back
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
@@ -149,7 +149,19 @@ def predict(docs: DataFrame, net: ByteCnn | None, carry: tuple[str, ...] = ("doc
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(best, pa.string()), score], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, schema).select(*back, "lang_pred", "score")
+    return rows.mapInArrow(run, schema), back
+
+
+def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
+    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text)."""
+    df, back = _predicted(docs, net, ["doc_id"])
+    return df.select(*back, "lang_pred", "score")
+
+
+def spoken(docs: DataFrame, net: ByteCnn | None, least: float) -> DataFrame:
+    """The rows of ``docs`` (text, ...) in a language that the network knows with a score of ``least`` or more."""
+    df, back = _predicted(docs, net, docs.columns)
+    return df.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*back)
 
 
 def languages(docs: DataFrame, held_out: Column) -> DataFrame:

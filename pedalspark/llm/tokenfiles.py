@@ -210,7 +210,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
 
 def lookup(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
     """The ids of the documents with this doc_id; the files' statistics and the expansion lengths leave the rest unread."""
-    rows = spark.read.schema(BLOCKS).parquet(folder).filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).orderBy("shard", "block").select("payload").collect()
+    rows = spark.read.schema(BLOCKS).parquet(folder).filter((F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id)).orderBy("shard", "block").select("payload").collect()
     opened = (Block(bytes(r.payload)) for r in rows)
     return [b.document(i) for b in opened for i, d in enumerate(b.docs) if d == doc_id]
 

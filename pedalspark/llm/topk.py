@@ -8,7 +8,7 @@ then read in the order of their bounds until the kth result is certain.
 Queries and vectors are dealt in blocks of bounded size, and a task sees one block of each. Equal vectors are one entry
 with its k + 1 smallest ids, the only ones that can be results, so copies cost nothing.
 
-Defined cases: null vectors, those with null or non-finite components and rows with a null id take part in nothing;
+Defined cases: null and empty vectors, those with null or non-finite components and rows with a null id take part in nothing;
 vectors are compared with those of their own length; a repeated id stands once for each row; fewer than k others: all of
 them; an empty table gives an empty result; further columns are ignored.
 """
@@ -31,7 +31,7 @@ def whole(vectors: DataFrame, scale: int) -> DataFrame:
     """(vec_id, code): the usable vectors as arrays of whole numbers."""
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     code = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(usable).select("vec_id", code.alias("code"))
+    return vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(usable).select("vec_id", code.alias("code"))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
