@@ -46,7 +46,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "id") ->
     gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"t{lo}") - F.col(hi), F.col(lo) - F.col(f"t{hi}"))
     near = _reach(core_cells).filter("ti > i OR (ti = i AND tj > j)").join(them, ["ti", "tj"]).filter(gap("x0", "x1") * gap("x0", "x1") + gap("y0", "y1") * gap("y0", "y1") <= eps * eps)
     pairs = stored(near.select("i", "j", "ti", "tj", "c", "tc"), "cell_pairs")
-    side_of = lambda a, b: core.join(pairs.select(F.col(a).alias("i"), F.col(b).alias("j"), "c", "tc"), ["i", "j"]).select("c", "tc", "x", "y")
+    side_of = lambda a, b: core.join(pairs.select(F.col(a).alias("i"), F.col(b).alias("j"), "c", "tc"), ["i", "j"]).select("c", "tc", "x", "y").toDF("c", "tc", "x", "y")
 
     def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Whether any two core points of two cells are close: blocks that touch first, until one is found."""
@@ -128,8 +128,9 @@ def silhouette(df: DataFrame, features: list[str]) -> DataFrame:
     """
     real = stored(df.filter("cluster >= 0").groupBy(*features, "cluster").agg(F.count("*").alias("w")).withColumn("p", F.monotonically_increasing_id()), "placed")
     blocks = max(1, -(-real.count() // 4096))
-    mine = real.withColumn("a", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    theirs = real.withColumn("b", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    mine = real.withColumn("_i", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    theirs = real.withColumn("_j", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    theirs = theirs.toDF(*theirs.columns)
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -142,7 +143,7 @@ def silhouette(df: DataFrame, features: list[str]) -> DataFrame:
             out.append(pd.DataFrame({"p": left.p, "cluster": left.cluster, "w": left.w, "c": c, "s": far[:, own] @ right.w[own].to_numpy(float), "n": int(right.w[own].sum())}))
         return pd.concat(out)
 
-    parts = mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(sums, "p long, cluster long, w long, c long, s double, n long")
+    parts = mine.groupBy("_i", "_j").cogroup(theirs.groupBy("_i", "_j")).applyInPandas(sums, "p long, cluster long, w long, c long, s double, n long")
     whole = parts.groupBy("p", "cluster", "w", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("c") == F.col("cluster"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(F.lit(-1.0))))
     other = F.min(F.when(F.col("c") != F.col("cluster"), F.col("s") / F.col("n")))

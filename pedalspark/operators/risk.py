@@ -88,8 +88,9 @@ def neighbours(left: DataFrame, right: DataFrame, features: list[str], key: str,
     blocks = max(1, -(-right.count() // block))
     kind = dict(left.dtypes)[key]
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    mine = left.select(key, *features, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("a")).withColumn("b", each)
-    theirs = right.select(F.col(key).alias("_o"), *features, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b")).withColumn("a", each)
+    mine = left.select(key, *features, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_i")).withColumn("_j", each)
+    theirs = right.select(F.col(key).alias("_o"), *features, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_j")).withColumn("_i", each)
+    theirs = theirs.toDF(*theirs.columns)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -101,7 +102,7 @@ def neighbours(left: DataFrame, right: DataFrame, features: list[str], key: str,
         out = pd.DataFrame({key: np.repeat(a[key].to_numpy(), few.shape[1]), "_o": b["_o"].to_numpy()[few.ravel()], "d": np.take_along_axis(d, few, 1).ravel()})
         return out[np.isfinite(out.d)]
 
-    found = mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(run, f"`{key}` {kind}, `_o` {kind}, d double")
+    found = mine.groupBy("_i", "_j").cogroup(theirs.groupBy("_i", "_j")).applyInPandas(run, f"`{key}` {kind}, `_o` {kind}, d double")
     return found.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("d", "_o"))).filter(F.col("r") <= k).drop("r")
 
 
