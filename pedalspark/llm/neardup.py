@@ -3,10 +3,11 @@
 1. One pass over the texts gives each document the size and a 128-bit digest of its shingle set and the set's SetSketch
    registers (exponentially spaced, truncated minima; the registers of a union are the maxima of the parts' registers).
 2. Documents of equal sets are one node. Four registers make a band; nodes that share a band's values are candidates.
-3. In each bucket every node is compared with the bucket's hub (its smallest node), so that a bucket of any size costs as
-   many pairs as it has nodes. Pairs whose likelihood estimate is far below the threshold go; the others are confirmed
-   on the texts' full sets. Buckets whose nodes are not yet in one component try other hubs, and then every node outside
-   the bucket's largest component against all nodes of other components, so that no link that matters is left out.
+3. In each bucket every node is compared with the bucket's hub, so that a bucket of any size costs as many pairs as it
+   has nodes: first the smallest node, then, where a bucket holds several components, its most central one. Pairs whose
+   likelihood estimate is far below the threshold go; the others are confirmed on the texts' full sets. In buckets that
+   still hold several components, every node outside the largest one meets all nodes of other components, in blocks that
+   return links alone, so that no link that matters is left out.
 4. Components come from repeated star contraction.
 
 A link of two different sets is missed if they share no band: below 1e-6 at a similarity of 0.8 with 28 bands of 4.
@@ -35,7 +36,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A pair is checked if its estimate is at most this far below the threshold: over five standard deviations.
 SLACK = 0.2
-HUB_ROUNDS = 3
+STRAY_BLOCK, MEMBER_BLOCK = 256, 512
 
 _rng = np.random.default_rng(20140)
 _A = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -126,7 +127,7 @@ def banded(nodes: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, hub) whose sizes allow the similarity and whose estimate comes near it."""
+    """The pairs (node, hub) whose sizes allow the similarity and whose estimate comes near it, with the keys of their texts."""
     least = percent / 100 - SLACK
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +136,15 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
             near = np.concatenate([estimate(a[i : i + 4096], b[i : i + 4096], *(batch.column(k).to_numpy()[i : i + 4096] for k in (4, 5))) for i in range(0, len(a), 4096)])
-            yield batch.select([0, 1]).filter(pa.array(near >= least))
+            yield batch.select([0, 1, 6, 7, 8, 9]).filter(pa.array(near >= least))
 
-    side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"))
+    side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("doc_id").alias(f"doc{k}"), F.col("text_key").alias(f"key{k}"))
     rows = pairs.join(side("node", 1), "node").join(side("hub", 2), "hub").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    return rows.select("node", "hub", "r1", "r2", "n1", "n2").mapInArrow(run, "node long, hub long")
+    return rows.select("node", "hub", "r1", "r2", "n1", "n2", "doc1", "key1", "doc2", "key2").mapInArrow(run, "node long, hub long, doc1 long, key1 binary, doc2 long, key2 binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (node, hub) whose full shingle sets are as similar as asked."""
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (node, hub) of ``likely`` whose full shingle sets are as similar as asked; a pair may come more than once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,13 +158,90 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
                 yield part.select([0, 1]).filter(pa.array(linked))
 
     texts = keyed(docs)
-    match = lambda t, r: t["doc_id"].eqNullSafe(r["rep"]) & (t["text_key"] == r["rep_key"])
-    rep = nodes.select("node", F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"))
-    own, hubs = pairs.join(rep, "node"), pairs.select(F.col("hub").alias("node")).distinct().join(rep, "node")
-    left = texts.join(own, match(texts, own)).select("node", "hub", "text")
-    right = texts.join(hubs, match(texts, hubs)).select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
-    rows = left.join(right, "hub").select("node", "hub", "text", "hub_text")
-    return rows.mapInArrow(run, "node long, hub long").distinct()
+    own = pairs.select("node", "hub", "doc1", "key1")
+    hubs = pairs.select("hub", F.col("doc2").alias("doc1"), F.col("key2").alias("key1")).distinct()
+    match = lambda r: texts["doc_id"].eqNullSafe(r["doc1"]) & (texts["text_key"] == r["key1"])
+    # merge hints: texts cross the network once, at any number of pairs; small inputs have no other plan
+    left = texts.join(own.hint("merge"), match(own)).select("node", "hub", "text")
+    right = texts.join(hubs.hint("merge"), match(hubs)).select("hub", F.col("text").alias("hub_text"))
+    return left.join(right, "hub").select("node", "hub", "text", "hub_text").mapInArrow(run, "node long, hub long")
+
+
+def _near(left: pa.Table, right: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a block that may be linked: of different components, near by their registers, and not seen in an earlier band.
+
+    Pairs of two nodes outside the largest component are met from both sides; the smaller node's side counts.
+    """
+    a, b = (np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS) for t in (left, right))
+    of = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+    ka, kb = a.view(np.uint64), b.view(np.uint64)
+    n_a, n_b = of(left, "n_shingles"), of(right, "n_shingles")
+    band = left.column("band")[0].as_py()
+    ok = (of(left, "c")[:, None] != of(right, "c")[None]) & (100 * np.minimum(n_a[:, None], n_b[None]) >= percent * np.maximum(n_a[:, None], n_b[None]))
+    ok &= of(right, "major")[None] | (of(left, "node")[:, None] < of(right, "node")[None])
+    for earlier in range(band):
+        ok &= ka[:, None, earlier] != kb[None, :, earlier]
+    i, j = np.nonzero(ok)
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4096):
+        at = slice(k, k + 4096)
+        keep[at] = estimate(a[i[at]], b[j[at]], n_a[i[at]], n_b[j[at]]) >= percent / 100 - SLACK
+    return i[keep], j[keep]
+
+
+def block_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): links between the components of each bucket of ``members`` (band, key, node, c).
+
+    Nodes outside a bucket's largest component meet all of its nodes in blocks of bounded size. A first pass over the
+    registers tells which nodes of a block have a near partner there; only their texts are fetched for the second, which
+    returns links alone. So rows grow with the buckets, never with their squares.
+    """
+    sizes = members.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
+    info = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("major_c"), F.sum("n").alias("q"), F.max("n").alias("m"))
+    info = info.select("band", "key", "major_c", F.ceil(F.col("q") / MEMBER_BLOCK).alias("mbs"), F.ceil((F.col("q") - F.col("m")) / STRAY_BLOCK).alias("sbs"))
+    rows = members.join(info, ["band", "key"]).withColumn("major", F.col("c") == F.col("major_c")).join(nodes.select("node", "registers", "n_shingles"), "node")
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.filter(~F.col("major")).withColumn("sb", block("sbs")).withColumn("mb", every("mbs"))
+    others = rows.withColumn("mb", block("mbs")).withColumn("sb", every("sbs"))
+    keys, kept = ["band", "key", "sb", "mb"], ["band", "key", "sb", "mb", "node", "c", "major", "registers", "n_shingles"]
+    kinds = "band int, key long, sb long, mb long, node long, c long, major boolean, registers binary, n_shingles long"
+
+    def partners(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.concat_tables([left.slice(0, 0), right.slice(0, 0)]).append_column("stray", pa.array([], pa.bool_()))
+        i, j = _near(left, right, percent)
+        mine, theirs = left.take(pa.array(np.unique(i))), right.take(pa.array(np.unique(j)))
+        return pa.concat_tables([mine, theirs]).append_column("stray", pa.array([True] * mine.num_rows + [False] * theirs.num_rows, pa.bool_()))
+
+    def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            (a, fa), (b, fb) = (text_sets(t.column("text").combine_chunks(), width) for t in (left, right))
+            u, v = left.column("node").to_pylist(), right.column("node").to_pylist()
+            for i, j in zip(*(x.tolist() for x in _near(left, right, percent))):
+                x, y = a[fa[i] : fa[i + 1]], b[fb[j] : fb[j + 1]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append((u[i], v[j]))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    # toDF: fresh columns, as both sides come from one table
+    near = strays.select(*kept).groupBy(*keys).cogroup(others.select(*kept).toDF(*kept).groupBy(*keys)).applyInArrow(partners, kinds + ", stray boolean")
+    near = stored(near, "near")
+    if near.isEmpty():
+        return near.select(F.col("node").alias("u"), F.col("c").alias("v"))
+    with_text = near.join(texts_of(near.select("node").distinct(), docs, nodes), "node")
+    side = lambda stray: with_text.filter(F.col("stray") == stray).select(*kept, "text").toDF(*kept, "text").groupBy(*keys)
+    return side(True).cogroup(side(False)).applyInArrow(links, "u long, v long")
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``wanted``; repeated rows of a representative come once."""
+    rep = wanted.join(nodes.select("node", F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key")), "node")
+    texts = keyed(docs)
+    found = texts.join(rep.hint("merge"), texts["doc_id"].eqNullSafe(rep["rep"]) & (texts["text_key"] == rep["rep_key"])).select("node", "text")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -173,38 +251,16 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     grouped = rows.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(first)
     nodes = stored(grouped.select(F.col("d1").alias("node"), "d1", "d2", "n_shingles", "first.doc_id", "first.text_key", "first.registers"), "nodes")
     bands = banded(nodes)
-    tested = edges = labels = None
-    for round_ in range(HUB_ROUNDS + 1):
-        hub = (F.min_by("node", F.xxhash64("node", F.lit(round_))) if round_ else F.min("node")).alias("hub")
-        if labels is None:
-            hubs = bands.groupBy("band", "key").agg(hub, F.count("*").alias("n")).filter("n > 1").drop("n")
-            pairs = bands.join(hubs, ["band", "key"]).filter("node <> hub")
-        else:
-            members = bands.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-            open_ = members.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), hub)
-            open_ = open_.filter("c0 <> c1 AND n > 2").select("band", "key", "hub")
-            members = stored(members.join(open_, ["band", "key"]), "open")
-            if members.isEmpty():
-                break
-            if round_ < HUB_ROUNDS:
-                pairs = members.filter("node <> hub")
-            else:  # all nodes outside a bucket's largest component against those of other components
-                sizes = members.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
-                major = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("major"))
-                minor = members.join(major, ["band", "key"]).filter("c <> major").select("band", "key", F.col("node").alias("hub"), F.col("c").alias("hub_c"))
-                pairs = members.drop("hub").join(minor, ["band", "key"]).filter("c <> hub_c")
-        pairs = pairs.select(F.least("node", "hub").alias("hub"), F.greatest("node", "hub").alias("node")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "hub"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = stored(likely(pairs, nodes, percent), "likely")
-        new = stored(confirmed(near, docs, nodes, width, percent).select(F.col("node").alias("u"), F.col("hub").alias("v")), "links")
-        if new.isEmpty():
-            if round_:
-                continue
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
+    hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(bands.join(hubs, ["band", "key"]).select("band", "key", "node", "hub", "n"), "buckets")
+    links = lambda pairs: confirmed(stored(likely(pairs.filter("node <> hub").select("node", "hub").distinct(), nodes, percent), "likely"), docs, width, percent).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    # the smallest node is each bucket's hub, then the node that shares most places with others, then blocks decide
+    labels = components(links(buckets))
+    open_ = opened(buckets, labels)
+    labels = components(links(with_central_hub(open_)).unionByName(stars(labels)))
+    open_ = opened(open_, labels)
+    if not open_.isEmpty():
+        labels = components(block_links(open_, docs, nodes, width, percent).unionByName(stars(labels)))
     named = nodes.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(smallest, "c").select("d1", "d2", "n_shingles", "component_id")
@@ -212,6 +268,25 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, key, node, n, c) of the buckets of three nodes or more in ``members`` that hold several components."""
+    named = members.filter("n > 2").select("band", "key", "node", "n").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named = stored(named, "named")
+    several = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band", "key")
+    return stored(named.join(several, ["band", "key"]), "open")
+
+
+def with_central_hub(members: DataFrame) -> DataFrame:
+    """``members`` with the node of each bucket whose buckets are the largest."""
+    weighed = members.join(members.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    hub = F.max_by("node", F.struct("weight", "node")).alias("hub")
+    return members.join(weighed.groupBy("band", "key").agg(hub), ["band", "key"])
+
+
 def deduplicated(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id. Rows with a null doc_id go."""
     kept = stored(classes(docs, width, percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
