@@ -156,6 +156,11 @@ def spearman(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"), F.var_samp(x).alias("var_x"), F.var_samp(y).alias("var_y"))
 
 
+def spearman_p(rho: float, n: int) -> float:
+    """Two-sided, by Student's t with n - 2 degrees of freedom."""
+    return 0.0 if abs(rho) >= 1 else t_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+
+
 def clean_lanes(text: Column) -> Column:
     """The numbers in a text, joined by " or "; the text itself if it has none."""
     numbers = F.regexp_extract_all(text, F.lit("(\\d+)"), 1)

@@ -223,6 +223,14 @@ def stress_weighted(edges: DataFrame, penalise: bool = False) -> DataFrame:
     return edges.withColumn("weight", F.when(F.col("lts") > 0, of).otherwise(1.0))
 
 
+def merged(*centralities: DataFrame) -> DataFrame:
+    """Tables (node, value) side by side, for the nodes that all have."""
+    out = centralities[0]
+    for df in centralities[1:]:
+        out = out.join(df, "node")
+    return out
+
+
 def stress_weighted_degree(degree: DataFrame, nodes: DataFrame) -> DataFrame:
     return degree.join(nodes.filter("lts IS NOT NULL").select("node", "lts"), "node").select("node", (F.col("degree") * F.col("lts")).alias("weighted_degree"))
 

@@ -98,7 +98,8 @@ def with_hex(points: DataFrame, size: float) -> DataFrame:
 def hexagons(points: DataFrame, size: float) -> DataFrame:
     """(q, r) of all hexagons whose centre is in the points' box: a polyfill, made in Spark from one row of bounds."""
     box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).filter("x0 IS NOT NULL")
-    rows = box.withColumn("r", F.explode(F.sequence(F.ceil(F.col("y0") / (1.5 * size)), F.floor(F.col("y1") / (1.5 * size)))))
+    low, high = F.ceil(F.col("y0") / (1.5 * size)), F.floor(F.col("y1") / (1.5 * size))
+    rows = box.filter(low <= high).withColumn("r", F.explode(F.sequence(low, high)))
     step = size * 3**0.5
     first, last = F.ceil(F.col("x0") / step - F.col("r") / 2.0), F.floor(F.col("x1") / step - F.col("r") / 2.0)
     return rows.filter(first <= last).withColumn("q", F.explode(F.sequence(first, last))).select("q", "r")

@@ -27,10 +27,15 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once and read back: its lineage ends here."""
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path, removed when the driver ends."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once and read back: its lineage ends here, and no executor holds the only copy."""
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
