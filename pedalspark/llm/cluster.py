@@ -1,44 +1,12 @@
-"""Places that every machine of a cluster shares."""
+"""What operators need to know about the cluster."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import stored, table_path
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has ended: its folder is the cluster's to clean
-        pass
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and no executor holds the only copy."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shuffle_partitions", "stored", "table_path"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
