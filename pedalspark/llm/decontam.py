@@ -106,7 +106,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, remove: s
     found = stored(hits(docs, stored(item_windows(benchmark, width), "windows")), "hits")
     if remove == "documents":
         rows = docs.withColumn("_key", name())
-        return rows.join(found.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+        return rows.join(found.select(F.col("key").alias("_key")).distinct().hint("merge"), "_key", "left_anti").select(docs.columns)
     if remove != "spans":
         raise ValueError(remove)
     cut = spans(found).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")).withColumnRenamed("key", "_key")

@@ -34,8 +34,10 @@ def statistics(column: pa.Array) -> np.ndarray:
     buf, offsets = utf8(column)
     n = np.diff(offsets)
     out = np.zeros((len(n), N_STATS), np.float32)
-    doc = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(doc * 12 + _CLASSES[buf], minlength=12 * len(n)).reshape(-1, 12)
+    cells = np.repeat(np.arange(0, 12 * len(n), 12, dtype=np.int32), n)
+    cells += _CLASSES[buf]
+    counts = np.bincount(cells, minlength=12 * len(n)).reshape(-1, 12)
+    del cells
     out[:, :12] = counts / np.maximum(n, 1)[:, None]
     starts, ends, first = spans(buf, offsets)
     words = word_hashes(ASCII_LOWER[buf], starts, ends)

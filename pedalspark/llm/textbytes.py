@@ -107,7 +107,7 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 23):
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21):
     """The batch in slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
     offsets = utf8(batch.column(batch.schema.get_field_index(column)))[1]
     i = 0

@@ -88,17 +88,34 @@ def repair(ids: np.ndarray, rounds: int = 6, least: int = 8, most: int = 512) ->
     return seq.astype(np.uint32), base, join(lefts), join(rights), np.concatenate(lengths).astype(np.uint32)
 
 
-def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    seq = symbols.astype(np.int64)
+def _expanded_rules(base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The terminals of all rules, one after another: every round replaces the nonterminals that are left by their two symbols."""
+    seq = np.arange(base, base + len(left), dtype=np.int64)
     while (rule := seq >= base).any():
         at = np.cumsum(1 + rule) - 1 - rule
         out = np.empty(len(seq) + int(rule.sum()), np.int64)
-        out[at] = np.where(rule, left[np.where(rule, seq - base, 0)] if len(left) else 0, seq)
+        out[at] = np.where(rule, left[np.where(rule, seq - base, 0)], seq)
         out[at[rule] + 1] = right[seq[rule] - base]
         seq = out
     return seq.astype("<u4")
 
 
+def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that ``symbols`` stand for: rules are expanded once and copied to their places."""
+    rule = symbols >= base
+    if not rule.any():
+        return symbols.astype("<u4")
+    of_rules, lengths = _expanded_rules(base, left, right), lengths.astype(np.int64)
+    first, which = np.cumsum(lengths) - lengths, symbols[rule].astype(np.int64) - base
+    sizes = np.ones(len(symbols), np.int64)
+    sizes[rule] = lengths[which]
+    out = np.repeat(symbols.astype("<u4"), sizes)
+    begin, own = (np.cumsum(sizes) - sizes)[rule], lengths[which]
+    within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    out[np.repeat(begin, own) + within] = of_rules[np.repeat(first[which], own) + within]
+    return out
+
+
 def to_payload(ids: np.ndarray, docs: list[int | None], n_tokens: list[int]) -> bytes:
     symbols, base, left, right, lengths = repair(ids)
     wide = 2 if base + len(left) <= 1 << 16 else 4
@@ -140,7 +157,7 @@ class Block:
             return np.zeros(0, "<u4")
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, end, "left") + 1
         before = int(self.ends[a - 1]) if a else 0
-        return expand(self.symbols[a:b], self.base, self.left, self.right)[start - before : end - before]
+        return expand(self.symbols[a:b], self.base, self.left, self.right, self.lengths)[start - before : end - before]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
@@ -196,7 +213,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for shard, start, payload in zip(*(batch.column(i) for i in range(3))):
                 block = Block(payload.as_py())
-                ids = expand(block.symbols, block.base, block.left, block.right)
+                ids = expand(block.symbols, block.base, block.left, block.right, block.lengths)
                 first = base[shard.as_py()] + start.as_py()
                 own = [ids[a:b] for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
                 out = [pa.array(block.docs, pa.int64()), pa.array(first + block.starts[:-1]), pa.array(np.diff(block.starts)), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]

@@ -16,7 +16,8 @@ class WordBpe:
     """``encode(text)`` equals the library's ``encode(text, add_special_tokens=False).ids``, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across its words. So each blank-separated chunk is looked up; new
-    ones are cut into words by the tokenizer's pattern, and a text's new words are encoded together. Texts of other than
+    ones are cut into words by the tokenizer's pattern; new words of ASCII letters go to the tokenizer's model directly, a
+    text's others are encoded together. Texts of other than
     Latin-1 characters have their chunks encoded by the library. The caches are emptied when full.
     """
 
@@ -26,6 +27,7 @@ class WordBpe:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.last))]
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}  # lower-cased Latin-1
         self.others: dict[str, bytes] = {}
@@ -52,11 +54,18 @@ class WordBpe:
         if new := [x for x in {w for own in cut for w in own} if x not in self.words]:
             if len(self.words) > self.limit:
                 self.words, new = {}, list({w for own in cut for w in own})
-            ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            data, start = ids.tobytes(), 0
-            for word, end in zip(new, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
-                self.words[word] = data[start:end]
-                start = end
+            other, model = [], self.tokenizer.model.tokenize
+            for word in new:
+                if word.isascii() and word.isalpha():  # the byte alphabet leaves these letters as they are
+                    self.words[word] = b"".join([self.packed[t.id] for t in model(word)])
+                else:
+                    other.append(word)
+            if other:
+                ids = np.asarray(self.tokenizer.encode(" ".join(other), add_special_tokens=False).ids, "<u4")
+                data, start = ids.tobytes(), 0
+                for word, end in zip(other, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
+                    self.words[word] = data[start:end]
+                    start = end
         get = self.words.__getitem__
         for x, own in zip(parts, cut):
             self.chunks[x] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))

@@ -101,7 +101,7 @@ def test_token_files(spark, tokenizer):
 def test_repair_round_trip(ids, shift):
     ids = np.array(ids, np.uint32) + shift
     symbols, base, left, right, lengths = tokenfiles.repair(ids, least=2)
-    assert tokenfiles.expand(symbols, base, left, right).tolist() == ids.tolist()
+    assert tokenfiles.expand(symbols, base, left, right, lengths).tolist() == ids.tolist()
     block = tokenfiles.Block(tokenfiles.to_payload(ids, [5, None], [len(ids) // 2, len(ids) - len(ids) // 2]))
     assert block.docs == [5, None]
     for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2)):
