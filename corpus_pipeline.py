@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedalspark.llm import decontam, langid, neardup, packing, quality
-from pedalspark.llm.cluster import stored
-from pedalspark.shipping import ship
+from pedalspark.llm.cluster import prepare, stored
 
 #: Texts in which no learned language has at least this mean probability are rejected.
 LEAST_LANGUAGE = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,13 +29,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the network knows."""
-    ship(spark)
+    prepare(spark)
     return langid.spoken(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    ship(spark)
+    prepare(spark)
     return neardup.deduplicated(docs)
 
 
@@ -47,7 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -127,11 +127,11 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None
 
 def _predicted(docs: DataFrame, net: ByteCnn | None, carry: list[str]) -> tuple[DataFrame, list[Column]]:
     """(table with lang_pred and score, the columns ``carry`` in it, which stand there under names of their own)."""
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(carry)]  # the text goes to the workers once
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(carry, names) if n != "text"]
     rows = docs.select(F.col("text").alias("text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"), *own)
     kinds = dict(rows.dtypes)
-    names = [f"c{i}" for i in range(len(carry))]
-    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
+    back = [F.col(n).alias(c) for c, n in zip(carry, names)]
     if net is None:
         return rows.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")), back
 
@@ -146,7 +146,7 @@ def _predicted(docs: DataFrame, net: ByteCnn | None, carry: list[str]) -> tuple[
                 letters = part.column(1).to_numpy(zero_copy_only=False)
                 best = [net.classes[c] if ok else "und" for c, ok in zip(mean.argmax(1), letters)]
                 score = pa.array(np.where(letters, np.clip(mean.max(1), 0, 1), 0.0))
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(best, pa.string()), score], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(best, pa.string()), score], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", lang_pred string, score double"
     return rows.mapInArrow(run, schema), back
