@@ -237,3 +237,27 @@ def test_lm_scores(spark):
     order = lambda c: sorted(c.elements(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert all(close(a, b) for a, b in zip(order(got), order(expected), strict=True))
     assert lmscore.scores(table(spark, []), target).collect() == []
+
+
+def test_lm_scores_know_every_word(spark, monkeypatch):
+    rows = [(i, f"rare{i} of w{i % 50} the x{i % 7} the y{i % 3}" + f" own{i}" * (i % 2)) for i in range(3000)] + [(5000, None), (0, "rare0 of"), (0, "rare0 of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in range(0, 3000, 3)], "doc_id long")
+    monkeypatch.setattr(lmscore, "PART", 1 << 11)
+    uni, bi, before = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for doc, text in rows:
+        w = (text or "").split()
+        for k in (0, 1):
+            if k or (doc < 3000 and doc % 3 == 0):
+                uni[k].update(w)
+                bi[k].update(zip([None, *w], w))
+                before[k].update([None, *w][: len(w)])
+    totals, v, mu = [sum(u.values()) for u in uni], len(uni[1]), lmscore.MU
+    scale = [1.0, totals[0] / totals[1]]
+    assert v > lmscore.VOCABULARY
+    p = lambda k, x: (uni[k][x] * scale[k] + 1) / (totals[k] * scale[k] + v)
+    loss = lambda k, w: sum(-np.log((bi[k][a, b] * scale[k] + mu * p(k, b)) / (before[k][a] * scale[k] + mu)) for a, b in zip([None, *w], w)) / len(w)
+    expected = sorted((doc, len(t.split()), loss(0, t.split()), loss(1, t.split())) for doc, t in rows if t)
+    got = lmscore.scores(docs, target).collect()
+    assert len(got) == len(rows) and [r.target_loss for r in got if r.doc_id == 5000] == [None]
+    np.testing.assert_allclose(sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got if r.n_tokens), expected, rtol=1e-5)
