@@ -3,7 +3,9 @@
 A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, equivalent spellings made one, every
 run of other characters than letters and digits made one space. The SHA-256 of a whole text's form is hash-joined with
 those of known licences; that of each line which names a licence is looked up among one-line notices, which are made
-from verbs and names by rule. Both lists are fixed and small, so they are broadcast; no text is shuffled.
+from verbs and names by rule. Where a licence or notice follows a copyright statement on its line, it is also looked up
+without the statement; the digest column stays that of the first form. The lists are fixed and small, so they are
+broadcast; no text is shuffled.
 
 Defined cases: null texts and those without letters or digits have a null digest and no licence; repeated rows have
 equal results; extra columns are ignored; an empty table gives an empty result.
@@ -28,6 +30,32 @@ TEXTS: dict[str, list[str]] = {
     "BSD-3-Clause": [head + _BSD_TWO + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _BSD for head in ("", "BSD 3-Clause License\n")],
     "Zlib": [f"{head}This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution." for head in ("", "zlib License\n", "The zlib License\n")],
 }
+# Digests of the canonical forms of further whole texts, some also without what follows their terms.
+DIGESTS: dict[str, str] = {
+    "7dc0ccfedfe9cf9e59c97a3e43eea7b035a0e7a7be84d714acef36eb5c9fb4bc": "Apache-2.0",
+    "4f14b6cbdd362d5a6d1023eaee7538d57a6c9271c5e1de4bdc60e02a182c0730": "Apache-2.0",
+    "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42": "Artistic-1.0-Perl",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
+    "c9fc766f3657f72225d157a552169fb6bc0ba652f321dd55458ae0b62f996a32": "CC0-1.0",
+    "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86": "GFDL-1.2",
+    "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb": "GFDL-1.3",
+    "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c": "GPL-1.0",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1": "GPL-2.0",
+    "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999": "GPL-2.0",
+    "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30": "GPL-3.0",
+    "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975": "GPL-3.0",
+    "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c": "LGPL-2.0",
+    "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c": "LGPL-2.0",
+    "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e": "LGPL-2.1",
+    "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "4bdcbe33d9242bca103bf9597b5a40a99d4102c1f6c08f05e4e06b53dfb01a11": "MPL-1.1",
+    "a857191e3bae7c57ecd3a66e67eac0119dcc4b6a712304cc8891ddbd92c2d680": "MPL-2.0",
+    "e6e60d2037efe58841d698b341a609d8a738effceaadb12ac721e54f8e0bf7db": "Unlicense",
+    "fd1b07be5f4f94926b6ea4df3943b05ab90c1a1f3b1a3d574ae7ab58bca58fff": "Unlicense",
+    "a19cfc29deb3df18a83f74c9ebb1722e32e3a7bdf185c5c13a0c013be241e9ca": "BSL-1.0",
+}
 # Names in notices.
 NAMES: dict[str, list[str]] = {
     "MIT": ["the MIT License", "MIT"],
@@ -50,6 +78,10 @@ _SUBJECTS, _VERBS = ["", "This work is ", "This program is ", "This software is
 # Spellings that count as one. Each pattern means the same in Java and in RE2.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infring", "noninfring"), ("wilful", "willful"), ("http:", "https:")]
 _COPYRIGHT = "(?m)^[^\\n]{0,4}(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+# A copyright statement and, on the same line, the start of a licence or notice: only the statement goes.
+_OPENERS = ["permission is hereby granted", "permission to use, copy", "redistribution and use in source", "this software is provided 'as-is'"]
+_STATEMENT = "(?i)(?:copyright|\\(c\\)|©)[^\\n]*?\\b(" + "|".join(_OPENERS) + ")"
+_NOTICED = "(?i)^[^\\n]{0,4}(?:copyright|\\(c\\)|©)[^\\n]*?\\b((?:this [a-z]+ is )?(?:licensed|released|distributed|published|available) under [^\\n]*?)(?:[.;,]? *all rights reserved[^\\n]*)?$"
 _OTHER = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,14 +114,17 @@ def _digests(spark: SparkSession, known: list[tuple[str, str]]) -> list[tuple[st
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest, license_id (of the whole text, or null) and notices (of lines, sorted, comma-joined) of every row."""
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(_digests(spark, known_texts()), "digest string, license_id string"))
+    texts = _digests(spark, known_texts()) + sorted(DIGESTS.items())
+    known = F.broadcast(spark.createDataFrame(texts, "digest string, license_id string"))
     lines = F.filter(F.split("text", "\\n"), lambda x: F.lower(x).contains("under "))
     notices = _digests(spark, known_notices())
-    names = F.from_json(F.lit("{" + ",".join(f'"{d}":"{n}"' for d, n in notices) + "}"), "map<string,string>")
-    found = F.array_intersect(F.transform(lines, digest), F.array(*(F.lit(d) for d, _ in notices)))
-    named = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(names, d)))), ",")
-    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.coalesce(named, F.lit("")).alias("notices"))
-    return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    listed = lambda pairs: F.from_json(F.lit("{" + ",".join(f'"{d}":"{n}"' for d, n in pairs) + "}"), "map<string,string>")
+    found = F.array_intersect(F.transform(lines, lambda x: digest(F.regexp_replace(x, _NOTICED, "$1"))), F.array(*(F.lit(d) for d, _ in notices)))
+    named = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(listed(notices), d)))), ",")
+    text = F.col("text")
+    own = F.when(text.rlike(_STATEMENT), F.element_at(listed(texts), digest(F.regexp_replace(text, _STATEMENT, " $1"))))
+    rows = docs.select("doc_id", digest(text).alias("digest"), own.alias("_own"), F.coalesce(named, F.lit("")).alias("notices"))
+    return rows.join(known, "digest", "left").select("doc_id", "digest", F.coalesce("license_id", "_own").alias("license_id"), "notices")
 
 
 def _canonical_sql(text: str) -> str:

@@ -261,3 +261,17 @@ def test_lm_scores_know_every_word(spark, monkeypatch):
     got = lmscore.scores(docs, target).collect()
     assert len(got) == len(rows) and [r.target_loss for r in got if r.doc_id == 5000] == [None]
     np.testing.assert_allclose(sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got if r.n_tokens), expected, rtol=1e-5)
+
+
+def test_whole_licences_and_statements(spark):
+    mit = licences.TEXTS["MIT"][0]
+    rows = [
+        (1, open("/usr/share/common-licenses/Apache-2.0").read()),
+        (2, open("/usr/share/common-licenses/GPL-3").read()),
+        (3, "Copyright 2020 A. Person. Licensed under the MIT License.\nmore"),
+        (4, "Copyright (c) 2020 A. Person " + mit.replace("\n", " ")),
+        (5, "MIT License Copyright (c) 2020 A. Person " + mit.replace("\n", " ")),
+        (6, "Copyright (c) 2020 A. Person " + mit.replace("\n", " ") + " More."),
+    ]
+    got = {r.doc_id: (r.license_id, r.notices) for r in licences.scan(table(spark, rows)).collect()}
+    assert got == {1: ("Apache-2.0", ""), 2: ("GPL-3.0", ""), 3: (None, "MIT"), 4: ("MIT", ""), 5: ("MIT", ""), 6: (None, "")}
