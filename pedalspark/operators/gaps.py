@@ -6,12 +6,11 @@ without any low-stress way are dropped, and paths along which no stress is known
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .graph import by_stress, components
+from .graph import by_stress
 from .paths import distances
 
 
@@ -79,22 +78,22 @@ def ranked(gaps: DataFrame) -> DataFrame:
 
 
 def declustered(gaps: DataFrame, least: float = 180.0) -> DataFrame:
-    """Gaps of at least ``least`` benefit that share no street with a better one of their component."""
+    """Gaps of at least ``least`` benefit that share no street with a better one that is kept, ties to smaller ids.
+
+    Each round keeps the open gaps that are best on all their streets and drops those that share a street with them.
+    """
     good = stored(gaps.filter(F.col("benefit") >= least), "good")
-    links = hops(good, ["source", "target", "benefit"])
-    labels = components(links.select("u", "v"))
-    own = good.join(labels.withColumnRenamed("node", "source"), "source")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, keep = set(), []
-        for row in pdf.sort_values(["benefit", "source", "target"], ascending=[False, True, True]).itertuples():
-            steps = {frozenset(x) for x in zip(row.path[:-1], row.path[1:])}
-            if not steps & taken:
-                taken |= steps
-                keep.append((row.source, row.target))
-        return pd.DataFrame(keep, columns=["source", "target"])
-
-    kept = own.select("component", "source", "target", "benefit", "path").groupBy("component").applyInPandas(greedy, "source long, target long")
+    steps = hops(good, ["source", "target", "benefit"]).select("source", "target", "benefit", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    sizes = steps.groupBy("source", "target").agg(F.count("*").alias("n"))
+    open_ = stored(steps.join(sizes, ["source", "target"]), "open")
+    kept = good.filter("coalesce(size(path), 0) < 2").select("source", "target")  # no street to share
+    while not open_.isEmpty():
+        best = open_.groupBy("a", "b").agg(F.min_by(F.struct("source", "target", "n"), F.struct(-F.col("benefit"), "source", "target")).alias("g"))
+        won = stored(best.groupBy("g").agg(F.count("*").alias("won")).filter("won = g.n").select("g.source", "g.target"), "won")
+        taken = open_.join(won, ["source", "target"]).select("a", "b").distinct()
+        gone = open_.join(taken, ["a", "b"]).select("source", "target").distinct()
+        open_ = stored(open_.join(gone, ["source", "target"], "left_anti"), "open")
+        kept = stored(kept.unionByName(won), "kept")
     return good.join(kept, ["source", "target"])
 
 

@@ -160,3 +160,23 @@ def test_nearest_pois(spark):
     pois = spark.createDataFrame([(7, 0), (8, 6)], "poi long, node long")
     got = [(r.node, r["rank"], r.poi, round(r.seconds)) for r in paths.nearest_pois(e, nodes_of(spark, 7), pois).orderBy("node", "rank").collect()]
     assert (3, 1, 7, 720) in got and (3, 2, 8, 720) in got and (0, 1, 7, 0) in got and not any(n == 0 and p == 8 for n, _, p, _ in got)
+
+
+def test_declustering_in_rounds(spark, monkeypatch):
+    import random
+
+    rng, rows = random.Random(5), {}
+    while len(rows) < 60:
+        path = rng.sample(range(14), rng.randrange(2, 5))
+        rows.setdefault((path[0], path[-1]), (path[0], path[-1], float(rng.randrange(178, 186)), path))
+    taken, expected = set(), set()
+    for source, target, benefit, path in sorted(rows.values(), key=lambda r: (-r[2], r[0], r[1])):
+        steps = {frozenset(x) for x in zip(path, path[1:])}
+        if benefit >= 180 and not steps & taken:
+            taken |= steps
+            expected.add((source, target))
+    # no task may hold a whole component
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", None)
+    df = spark.createDataFrame(list(rows.values()), "source long, target long, benefit double, path array<long>")
+    got = [(r.source, r.target) for r in gaps.declustered(df).collect()]
+    assert len(got) == len(expected) and set(got) == expected
