@@ -152,10 +152,9 @@ def poi_travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hex, node) of hexagons ten times as wide as those of the maps."""
-    wide = 10 * HEX
-    cells = spatial.hexagons(points(spark, sf_dir, "population"), wide)
-    x, y = spatial_centre(wide)
+    """(hex, node) of the hexagons of the maps."""
+    cells = spatial.hexagons(points(spark, sf_dir, "population"), HEX)
+    x, y = spatial_centre(HEX)
     return stored(access.representatives(cells.select(F.concat_ws("/", "q", "r").alias("hex"), x.alias("x"), y.alias("y")), points(spark, sf_dir, "nodes")), "representatives")
 
 

@@ -312,7 +312,7 @@ def risk_rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = risk.split(df, "hex")
     more = risk.smote(train, _FEATURES, "hex")
     scaled, every = risk.standardised(more, df, features=_FEATURES)
-    return risk.with_score(risk.forest(scaled, trees=20).transform(every)).select("hex", "label", "score", F.col("prediction").cast("int").alias("prediction"))
+    return risk.with_score(risk.forest(scaled).transform(every)).select("hex", "label", "score", F.col("prediction").cast("int").alias("prediction"))
 
 
 @query()
@@ -412,14 +412,14 @@ def local_moran_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def moran_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, weights = _line_counts(spark, sf_dir)
-    return autocorrelation.significance(autocorrelation.local_moran(values, weights), weights, permutations=99)
+    return autocorrelation.significance(autocorrelation.local_moran(values, weights), weights, permutations=999)
 
 
 @query()
 def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, weights = _line_counts(spark, sf_dir)
     local = stored(autocorrelation.local_moran(values, weights), "local")
-    out = autocorrelation.component_summary(local.join(autocorrelation.significance(local, weights, permutations=99), "id"))
+    out = autocorrelation.component_summary(local.join(autocorrelation.significance(local, weights, permutations=999), "id"))
     return out.select("component", F.to_json("counts").alias("counts"), F.to_json("mean_z").alias("mean_z"), "share_significant")
 
 

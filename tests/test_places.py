@@ -199,3 +199,30 @@ def test_risk(spark):
     assert (roc.tpr, roc.fpr) == (1.0, 1.0)
     weights = {x.label: x.weight for x in risk.class_weights(df).collect()}
     assert weights == {0: pytest.approx(0.625), 1: pytest.approx(2.5)}
+
+
+def test_queries_run_the_whole_job(spark, monkeypatch):
+    from pedalspark.operators import autocorrelation, risk, spatial
+    from pedalspark.plans import queries_network, queries_places
+
+    sf = "/root/testdata/sf0.001"
+    cells = spatial.hexagons(queries_places.points(spark, sf, "population"), queries_places.HEX).select("q", "r").distinct().count()
+    assert queries_network._rep(spark, sf).select("hex").distinct().count() == cells
+
+    class Called(Exception):
+        pass
+
+    def called(*args, **kwargs):
+        raise Called(kwargs)
+
+    monkeypatch.setattr(queries_places, "_line_counts", lambda *_: (spark.range(1), spark.range(1)))
+    monkeypatch.setattr(autocorrelation, "local_moran", lambda *_: spark.range(1))
+    monkeypatch.setattr(autocorrelation, "significance", called)
+    for query in (queries_places.moran_pvalues, queries_places.component_summary):
+        with pytest.raises(Called) as e:
+            query(spark, sf)
+        assert e.value.args[0].get("permutations", 999) == 999
+    monkeypatch.setattr(risk, "forest", called)
+    with pytest.raises(Called) as e:
+        queries_places.risk_rf_predict(spark, sf)
+    assert e.value.args[0].get("trees", 100) == 100
