@@ -10,7 +10,7 @@ from ..storage import stored, table_path
 __all__ = ["prepare", "shuffle_partitions", "stored", "table_path"]
 
 #: Bytes of rows that a task sends to its Python worker at once: each batch is held on both sides.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:

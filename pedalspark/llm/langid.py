@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import text_slices, utf8
+from .textbytes import text_slices, thrifty, utf8
 
 WIDTHS, FILTERS, EMBED, WINDOW = (4, 3, 2), 16, 8, 256
 PER_LANGUAGE, WINDOWS_A_TEXT, STEPS, BATCH = 600, 6, 1500, 64
@@ -92,17 +92,37 @@ class ByteCnn:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def windows_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(uint8 [windows, WINDOW], first): the windows of each text, padded with zeros."""
+#: Windows that are cut from the bytes at once.
+WINDOW_BLOCK = 1024
+
+
+def window_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, text): windows first[i] to first[i + 1] - 1 are text i's; the text of each window."""
     stride = WINDOW - WIDTHS[0] + 1
     n = np.diff(offsets)
     count = np.where(n > 0, np.maximum(1, -(-(n - WIDTHS[0] + 1) // stride)), 0)
-    first = np.concatenate(([0], np.cumsum(count)))
-    text = np.repeat(np.arange(len(n)), count)
-    start = offsets[text] + (np.arange(first[-1]) - first[text]) * stride
+    return np.concatenate(([0], np.cumsum(count))), np.repeat(np.arange(len(n), dtype=np.int32), count)
+
+
+def windows_of(buf: np.ndarray, offsets: np.ndarray, first: np.ndarray, text: np.ndarray, a: int, b: int) -> np.ndarray:
+    """uint8 [b - a, WINDOW]: windows ``a`` to ``b`` - 1, padded with zeros."""
+    own = text[a:b]
+    start = offsets[own] + (np.arange(a, a + len(own)) - first[own]) * (WINDOW - WIDTHS[0] + 1)
     at = start[:, None] + np.arange(WINDOW)
-    inside = at < offsets[text + 1][:, None]
-    return np.where(inside, buf[np.minimum(at, max(0, len(buf) - 1))] if len(buf) else 0, 0).astype(np.uint8), first
+    inside = at < offsets[own + 1][:, None]
+    return np.where(inside, buf[np.minimum(at, max(0, len(buf) - 1))] if len(buf) else 0, 0).astype(np.uint8)
+
+
+def mean_probabilities(net: ByteCnn, tables: list[np.ndarray], buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """float64 [texts, classes]: the mean over each text's windows, zeros for empty texts."""
+    first, text = window_places(offsets)
+    total = np.zeros((len(offsets) - 1, len(net.classes)))
+    for a in range(0, len(text), WINDOW_BLOCK):
+        p = net.probabilities(windows_of(buf, offsets, first, text, a, a + WINDOW_BLOCK), tables)
+        own = text[a : a + WINDOW_BLOCK]
+        for c in range(p.shape[1]):
+            total[own[0] : own[-1] + 1, c] += np.bincount(own - own[0], p[:, c], own[-1] - own[0] + 1)
+    return total / np.maximum(np.diff(first), 1)[:, None]
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
@@ -118,7 +138,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None
     rows = chosen.select("lang", pieces.alias("pieces")).collect()
     classes = sorted(counts)
     buf, offsets = utf8(pa.array([p for r in rows for p in r.pieces], pa.string()))
-    windows, first = windows_of(buf, offsets)
+    first, text = window_places(offsets)
+    windows = windows_of(buf, offsets, first, text, 0, len(text))
     labels = np.repeat(np.repeat([classes.index(r.lang) for r in rows], WINDOWS_A_TEXT), np.diff(first))
     net = ByteCnn(classes)
     net.train(windows, labels)
@@ -138,18 +159,15 @@ def _predicted(docs: DataFrame, net: ByteCnn | None, carry: list[str]) -> tuple[
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         for batch in batches:
-            for part in text_slices(batch, limit=1 << 21):
-                windows, first = windows_of(*utf8(part.column(0)))
-                p = net.probabilities(windows, tables).astype(np.float64)
-                sums = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, 0)))
-                mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
+            for part in text_slices(batch):
+                mean = mean_probabilities(net, tables, *utf8(part.column(0)))
                 letters = part.column(1).to_numpy(zero_copy_only=False)
                 best = [net.classes[c] if ok else "und" for c, ok in zip(mean.argmax(1), letters)]
                 score = pa.array(np.where(letters, np.clip(mean.max(1), 0, 1), 0.0))
                 yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(best, pa.string()), score], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, schema), back
+    return rows.mapInArrow(thrifty(run), schema), back
 
 
 def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import stored
-from .textbytes import ASCII_LOWER, mix, spans, text_slices, utf8, word_hashes
+from .textbytes import mix, spans, text_slices, thrifty, utf8, word_hashes
 
 VOCABULARY, MU = 2048, 500.0  # places for words, used or not; more if there are more words
 PART = 1 << 21  # tokens
@@ -45,7 +45,7 @@ _PACKED = ("words", "pairs", "before", "tokens", "docs", "target", "ids", "n", "
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, offsets = utf8(column)
     starts, ends, first = spans(buf, offsets, ALNUM)
-    return word_hashes(ASCII_LOWER[buf], starts, ends), first
+    return word_hashes(buf, starts, ends, lower=True), first
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 words, n = np.unique(hashed_words(part.column(0))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(thrifty(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -109,8 +109,8 @@ class Totals:
             at = np.flatnonzero(sums[1])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["at", "target", "all"])
 
-        rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hot binary, last int").join(ids.hint("merge"), "doc_id", "left")
-        sums = rows.select("n", "hot", "last", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(total, "at long, target long, all long").groupBy("at").agg(F.sum("target"), F.sum("all")).collect()
+        rows = docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, n long, hot binary, last int").join(ids.hint("merge"), "doc_id", "left")
+        sums = rows.select("n", "hot", "last", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(thrifty(total), "at long, target long, all long").groupBy("at").agg(F.sum("target"), F.sum("all")).collect()
         found = np.zeros((2, width))
         for at, n_target, n_all in sums:  # the frequent words and two
             found[:, at] = n_target, n_all
@@ -238,5 +238,5 @@ def scores(docs: DataFrame, target: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([row], schema=dealt)
 
     binary = lambda schema: "slice binary, part int, " + ", ".join(f"{name} binary" for name in schema.names[2:])
-    by_part = flagged.mapInArrow(run, binary(dealt)).groupBy("part").applyInArrow(lambda t: pa.Table.from_pylist(part_losses(t, totals.value), schema=summed), binary(summed))
+    by_part = flagged.mapInArrow(thrifty(run), binary(dealt)).groupBy("part").applyInArrow(lambda t: pa.Table.from_pylist(part_losses(t, totals.value), schema=summed), binary(summed))
     return by_part.groupBy("slice").applyInArrow(slice_scores, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

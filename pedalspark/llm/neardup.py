@@ -13,9 +13,12 @@
 A link of two different sets is missed if they share no band: below 1e-6 at a similarity of 0.8 with 28 bands of 4.
 Node ids are 64 bits of the digest.
 
+A bucket or hub may hold a third of all rows: where a key stands in more than ``SALTED`` rows of the larger side of a join,
+these rows are dealt over salts and the other side's one row is copied to each (``spread``).
+
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; repeated rows are copies; a row
-with a null doc_id takes part but never names a component, and is not kept; extra columns are ignored; an empty table
-gives an empty result.
+with a null doc_id takes part but names a component only in ``deduplicated``, where no other row of it has an id; texts
+of any length are read in pieces and compared whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .cluster import stored
 from .graphs import components
-from .textbytes import ASCII_LOWER, mix, shingles, spans, text_slices, utf8, word_hashes
+from .textbytes import mix, shingles, spans, text_slices, thrifty, utf8, word_hashes
 
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
@@ -37,6 +40,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A pair is checked if its estimate is at most this far below the threshold: over five standard deviations.
 SLACK = 0.2
 STRAY_BLOCK, MEMBER_BLOCK = 256, 512
+SALTED, BROADCAST_KEYS = 4096, 1_000_000
 
 _rng = np.random.default_rng(20140)
 _A = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -49,7 +53,7 @@ def text_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first) of the distinct shingles of each text; A-Z are lower-cased, ASCII white space parts words."""
     buf, offsets = utf8(column)
     starts, ends, first = spans(buf, offsets)
-    return shingles(word_hashes(ASCII_LOWER[buf], starts, ends), first, width)
+    return shingles(word_hashes(buf, starts, ends, lower=True), first, width)
 
 
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -105,7 +109,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 data = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), data], [x.split()[0] for x in SKETCH.split(", ")])
 
-    return keyed(docs).mapInArrow(run, SKETCH)
+    return keyed(docs).mapInArrow(thrifty(run), SKETCH)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -123,7 +127,24 @@ def banded(nodes: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "key"))
+    return nodes.select("node", "registers").mapInArrow(thrifty(run), "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "key"))
+
+
+def spread(many: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, which has one row for each value of ``keys``, with hot keys dealt over salts.
+
+    ``sizes`` (keys, n) tells how many rows of ``many`` a key has, if that is known. Hot keys are at most a row in ``SALTED``
+    of ``many``; they are broadcast if they are few.
+    """
+    sizes = sizes if sizes is not None else many.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = stored(sizes.filter(F.col("n") > SALTED).select(*keys, F.ceil(F.col("n") / SALTED).alias("_salts")), "hot")
+    n = hot.count()
+    if not n:
+        return many.join(one, keys, how)
+    known = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    left = many.join(known, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("node"), "_salts"), F.lit(0))).drop("_salts")
+    right = one.join(known, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -139,8 +160,9 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1, 6, 7, 8, 9]).filter(pa.array(near >= least))
 
     side = lambda name, k: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("doc_id").alias(f"doc{k}"), F.col("text_key").alias(f"key{k}"))
-    rows = pairs.join(side("node", 1), "node").join(side("hub", 2), "hub").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    return rows.select("node", "hub", "r1", "r2", "n1", "n2", "doc1", "key1", "doc2", "key2").mapInArrow(run, "node long, hub long, doc1 long, key1 binary, doc2 long, key2 binary")
+    hubs = side("hub", 2).join(pairs.select("hub").distinct(), "hub", "left_semi")
+    rows = spread(pairs.join(side("node", 1), "node"), hubs, ["hub"], pairs.groupBy("hub").agg(F.count("*").alias("n"))).filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    return rows.select("node", "hub", "r1", "r2", "n1", "n2", "doc1", "key1", "doc2", "key2").mapInArrow(thrifty(run), "node long, hub long, doc1 long, key1 binary, doc2 long, key2 binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -148,7 +170,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 21):
+            for part in text_slices(batch):
                 (a, fa), (b, fb) = (text_sets(part.column(i), width) for i in (2, 3))
                 linked = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
@@ -163,8 +185,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     match = lambda r: texts["doc_id"].eqNullSafe(r["doc1"]) & (texts["text_key"] == r["key1"])
     # merge hints: texts cross the network once, at any number of pairs; small inputs have no other plan
     left = texts.join(own.hint("merge"), match(own)).select("node", "hub", "text")
-    right = texts.join(hubs.hint("merge"), match(hubs)).select("hub", F.col("text").alias("hub_text"))
-    return left.join(right, "hub").select("node", "hub", "text", "hub_text").mapInArrow(run, "node long, hub long")
+    right = texts.join(hubs.hint("merge"), match(hubs)).groupBy("hub").agg(F.first("text").alias("hub_text"))  # repeated rows of a hub come once
+    return spread(left, right, ["hub"], pairs.groupBy("hub").agg(F.count("*").alias("n"))).select("node", "hub", "text", "hub_text").mapInArrow(thrifty(run), "node long, hub long")
 
 
 def _near(left: pa.Table, right: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,16 +266,16 @@ def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id linked to it, itself included) and kept, for every row."""
+def labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows' SKETCH, (d1, d2, n_shingles, doc_id, c) of every set: its smallest doc_id and its component)."""
     rows = stored(sketch(docs, width), "sketches")
     first = F.min(F.struct(F.isnull("doc_id").alias("null"), "doc_id", "text_key", "registers")).alias("first")
     grouped = rows.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(first)
     nodes = stored(grouped.select(F.col("d1").alias("node"), "d1", "d2", "n_shingles", "first.doc_id", "first.text_key", "first.registers"), "nodes")
     bands = banded(nodes)
-    hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    buckets = stored(bands.join(hubs, ["band", "key"]).select("band", "key", "node", "hub", "n"), "buckets")
-    links = lambda pairs: confirmed(stored(likely(pairs.filter("node <> hub").select("node", "hub").distinct(), nodes, percent), "likely"), docs, width, percent).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    hubs = stored(bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    buckets = stored(spread(bands, hubs, ["band", "key"], hubs).select("band", "key", "node", "hub", "n"), "buckets")
+    links = lambda pairs: confirmed(stored(likely(stored(pairs.filter("node <> hub").select("node", "hub").distinct(), "pairs"), nodes, percent), "likely"), docs, width, percent).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     # the smallest node is each bucket's hub, then the node that shares most places with others, then blocks decide
     labels = components(links(buckets))
     open_ = opened(buckets, labels)
@@ -261,7 +283,13 @@ def classes(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     open_ = opened(open_, labels)
     if not open_.isEmpty():
         labels = components(block_links(open_, docs, nodes, width, percent).unionByName(stars(labels)))
-    named = nodes.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named = nodes.join(labels.withColumnRenamed("component", "c"), "node", "left")
+    return rows, named.select("d1", "d2", "n_shingles", "doc_id", F.coalesce("c", "node").alias("c"))
+
+
+def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id linked to it, itself included) and kept, for every row."""
+    rows, named = labelled(docs, width, percent)
     smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(smallest, "c").select("d1", "d2", "n_shingles", "component_id")
     out = rows.join(of_class, ["d1", "d2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -276,19 +304,36 @@ def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, key, node, n, c) of the buckets of three nodes or more in ``members`` that hold several components."""
     named = members.filter("n > 2").select("band", "key", "node", "n").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = stored(named, "named")
-    several = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band", "key")
-    return stored(named.join(several, ["band", "key"]), "open")
+    several = stored(named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("band", "key", "n"), "several")
+    return stored(spread(named, several.drop("n"), ["band", "key"], several), "open")
 
 
 def with_central_hub(members: DataFrame) -> DataFrame:
     """``members`` with the node of each bucket whose buckets are the largest."""
     weighed = members.join(members.groupBy("node").agg(F.sum("n").alias("weight")), "node")
     hub = F.max_by("node", F.struct("weight", "node")).alias("hub")
-    return members.join(weighed.groupBy("band", "key").agg(hub), ["band", "key"])
+    hubs = stored(weighed.groupBy("band", "key").agg(hub, F.count("*").alias("rows")), "hubs")
+    return spread(members.drop("hub"), hubs.drop("rows"), ["band", "key"], hubs.withColumnRenamed("rows", "n"))
+
 
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id and, under it, the smallest digest of the text.
 
-def deduplicated(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id. Rows with a null doc_id go."""
-    kept = stored(classes(docs, width, percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    return out if kept.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    Rows without a doc_id are documents too: they stand last in that order. Rows without shingles are linked with nothing,
+    so they all stay. Of repeated rows the one of the smallest hash of its columns stays.
+    """
+    rows, named = labelled(docs, width, percent)
+    own = rows.filter("n_shingles > 0").join(named.select("d1", "d2", "n_shingles", "c"), ["d1", "d2", "n_shingles"])
+    order = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "text_key")
+    each = own.groupBy("c", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    kept = stored(each.groupBy("c").agg(F.min_by(F.struct("doc_id", "text_key", "n"), order).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_key"), F.col("k.n").alias("_kept_n")), "kept")
+    wordy = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    found = docs.withColumns({"_own_key": F.unhex(F.md5(F.coalesce("text", F.lit("")))), "_own_words": wordy})
+    match = found["_own_words"] & found["doc_id"].eqNullSafe(kept["_kept_id"]) & (found["_own_key"] == kept["_kept_key"])
+    out = found.join(kept, match, "left").filter(~F.col("_own_words") | F.col("_kept_key").isNotNull())
+    if kept.filter("_kept_n > 1").isEmpty():
+        return out.select(docs.columns)
+    once = out.filter(F.coalesce(F.col("_kept_n"), F.lit(1)) == 1).select(docs.columns)
+    order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    more = out.filter("_kept_n > 1").groupBy("_kept_id", "_kept_key").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return once.unionByName(more.select("_row.*"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import stored
+from .textbytes import text_slices, thrifty
 from .tokens import default_path, word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
@@ -90,22 +91,27 @@ def token_pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, en
     """Pieces of each document with their rank among the pieces of their length in this task."""
     from pyspark import TaskContext
 
-    part, seen, bpe = TaskContext.get().partitionId(), defaultdict(int), word_bpe(path)
-    end = np.array([end_id], "<u4").tobytes()
+    part, seen, bpe = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_bpe(path)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        rows: list[tuple] = []
-        for doc, text in zip(ids.to_pylist(), texts):
-            data = bpe.encode(text.as_py() or "") + end
-            n = len(data) // 4
-            for piece, start in enumerate(range(0, n, capacity)):
-                length = min(capacity, n - start)
-                rows.append((doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), part, seen[length]))
-                seen[length] += 1
-        columns = list(zip(*rows)) or [()] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        for own in text_slices(batch):
+            ids, at = bpe.encode(own.column(1), end_id)
+            n = np.diff(at)
+            count = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(capacity, n[doc] - start)
+            data, first = memoryview(ids).cast("B"), 4 * (at[:-1][doc] + start)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+            within = np.arange(len(ordered)) - np.repeat(new, np.diff(np.append(new, len(ordered))))
+            local = np.empty(len(length), np.int64)
+            local[order] = seen[ordered] + within
+            seen += np.bincount(length, minlength=capacity + 1)
+            columns = [own.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(local)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -132,7 +138,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
     ranked = pieces.join(earlier, ["part", "length"]).select(*kept, (F.col("local") + F.col("earlier")).alias("rank"))
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.select(*kept).dtypes) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(find, schema)
+    return ranked.mapInArrow(thrifty(find), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -141,5 +147,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id:
     ``path``: a tokenizer file that every executor has. Only documents longer than ``capacity`` are cut.
     """
     path = path or default_path()
-    cut = docs.select("doc_id", "text").mapInArrow(lambda b: token_pieces(b, path, capacity, end_id), PIECES)
+    cut = docs.select("doc_id", "text").mapInArrow(thrifty(lambda b: token_pieces(b, path, capacity, end_id)), PIECES)
     return place(stored(cut, "pieces"), capacity).select(*(x.split()[0] for x in PLACED.split(", ")))

@@ -11,7 +11,7 @@ share of ones, 0.5 if there are none; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import stored
-from .textbytes import ASCII_LOWER, mix, spans, text_slices, utf8, word_hashes
+from .textbytes import PIECE, mix, spans, text_slices, thrifty, utf8, word_hashes
 
 FEATURES, RIDGE, SUM_TASKS, BINS, SEED = 384, 1.0, 32, 400, 11
 
@@ -33,14 +33,15 @@ def statistics(column: pa.Array) -> np.ndarray:
     """float32 [texts, N_STATS]: shares of byte classes, sizes, and repetition among words, word pairs and lines."""
     buf, offsets = utf8(column)
     n = np.diff(offsets)
-    out = np.zeros((len(n), N_STATS), np.float32)
-    cells = np.repeat(np.arange(0, 12 * len(n), 12, dtype=np.int32), n)
-    cells += _CLASSES[buf]
-    counts = np.bincount(cells, minlength=12 * len(n)).reshape(-1, 12)
-    del cells
+    out, counts = np.zeros((len(n), N_STATS), np.float32), np.zeros((len(n), 12), np.int64)
+    for a in range(0, len(buf), PIECE):
+        part = buf[a : a + PIECE]
+        i, j = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, a + len(part)))
+        cells = np.repeat(np.arange(0, 12 * (j - i), 12, dtype=np.int32), np.diff(np.clip(offsets[i : j + 1], a, a + len(part))))
+        counts[i:j] += np.bincount(cells + _CLASSES[part], minlength=12 * (j - i)).reshape(-1, 12)
     out[:, :12] = counts / np.maximum(n, 1)[:, None]
     starts, ends, first = spans(buf, offsets)
-    words = word_hashes(ASCII_LOWER[buf], starts, ends)
+    words = word_hashes(buf, starts, ends, lower=True)
     lengths = (ends - starts).astype(np.float64)
     line = np.ones(256, bool)
     line[10] = False
@@ -69,7 +70,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_STATS, dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<float>")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, stats array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,7 +106,7 @@ def normal_equations(train: DataFrame, features: Fourier) -> tuple[np.ndarray, n
         total = sum(np.frombuffer(x.as_py()) for x in table.column("row"))
         return pa.table({"i": table.column("i").slice(0, 1), "row": pa.array([total.tobytes()], pa.binary())})
 
-    sums = train.select("stats", "y").repartition(SUM_TASKS).mapInArrow(run, "i int, row binary").groupBy("i").applyInArrow(add, "i int, row binary").collect()
+    sums = train.select("stats", "y").repartition(SUM_TASKS).mapInArrow(thrifty(run), "i int, row binary").groupBy("i").applyInArrow(add, "i int, row binary").collect()
     both = np.vstack([np.frombuffer(r.row) for r in sorted(sums, key=lambda r: r.i)])
     return both[:, :-1], both[:, -1]
 
@@ -139,25 +140,23 @@ def scores(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "q
         gram, moment = normal_equations(fit, features)
         beta = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), moment)
 
-        def raw(df: DataFrame) -> DataFrame:
+        def scored(df: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
             def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for i in range(0, batch.num_rows, 4096):
                         part = batch.slice(i, 4096)
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(features(_matrix(part.column(1))) @ beta)], ["doc_id", "y", "raw"])
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(of(features(_matrix(part.column(1))) @ beta))], ["doc_id", "y", "score"])
 
-            return df.select("doc_id", "stats", "y").mapInArrow(run, "doc_id long, y double, raw double")
+            return df.select("doc_id", "stats", "y").mapInArrow(thrifty(run), "doc_id long, y double, score double")
 
-        binned = raw(tune).withColumn("bin", F.floor(F.least(F.greatest(F.col("raw"), F.lit(-0.5)), F.lit(1.5)) * (BINS // 2)))
-        bins = sorted((r.x, r.y, r.n) for r in binned.groupBy("bin").agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect())
+        binned = scored(tune, lambda r: r).withColumn("bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(-0.5)), F.lit(1.5)) * (BINS // 2)))
+        bins = sorted((r.x, r.y, r.n) for r in binned.groupBy("bin").agg(F.avg("score").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect())
         x, y = isotonic(*map(np.array, zip(*bins))) if bins else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-        def calibrate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                r = batch.column(2).to_numpy(zero_copy_only=False)
-                fitted = np.interp(r, x, y) if len(x) > 1 else np.full(len(r), y[0])
-                # beyond a step's plateau the raw score still orders documents, by a hair
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(0.999 * fitted + 0.001 / (1 + np.exp(-4 * (r - 0.5))), 0, 1))], ["doc_id", "score"])
+        def calibrated(r: np.ndarray) -> np.ndarray:
+            """Beyond a step's plateau the raw score still orders documents, by a hair."""
+            fitted = np.interp(r, x, y) if len(x) > 1 else np.full(len(r), y[0])
+            return np.clip(0.999 * fitted + 0.001 / (1 + np.exp(-4 * (r - 0.5))), 0, 1)
 
-        out = raw(rows.withColumn("y", F.lit(None).cast("double"))).mapInArrow(calibrate, "doc_id long, score double")
+        out = scored(rows.withColumn("y", F.lit(None).cast("double")), calibrated)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21  # bytes that are hashed at once
+SEGMENT = 1 << 18  # bytes that are hashed at once
+PIECE = 1 << 20  # bytes that are searched or counted at once
+SLICE = 1 << 20  # bytes of text that an operator takes from a batch at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -39,43 +43,61 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): the words' byte ranges; words first[i] to first[i + 1] - 1 are text i's. No word crosses texts."""
-    inside = word[buf]
-    before = np.zeros(len(buf), bool)
-    before[1:] = inside[:-1]
-    cuts = offsets[:-1][offsets[:-1] < len(buf)]
-    before[cuts] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.zeros(len(buf), bool)
-    after[:-1] = inside[1:]
-    after[cuts[cuts > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    """(starts, ends, first): the words' byte ranges; words first[i] to first[i + 1] - 1 are text i's. No word crosses texts.
+
+    The bytes are searched in pieces, so that a long text costs the words' places alone.
+    """
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(buf), PIECE):
+        b = min(len(buf), a + PIECE)
+        inside = word[buf[a:b]]
+        before, after = np.empty_like(inside), np.empty_like(inside)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        before[0] = a > 0 and word[buf[a - 1]]
+        after[-1] = b < len(buf) and word[buf[b]]
+        cuts = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
+        before[cuts[cuts < b - a]] = False
+        after[cuts[cuts > 0] - 1] = False
+        starts.append(np.flatnonzero(inside & ~before) + a)
+        ends.append(np.flatnonzero(inside & ~after) + a + 1)
+    starts = np.concatenate(starts)
+    return starts, np.concatenate(ends), np.searchsorted(starts, offsets)
 
 
 @functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    forth, back = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    forth, back = np.full(SEGMENT, _BASE, np.uint64), np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64)
     forth[0] = back[0] = 1
     return np.multiply.accumulate(forth), np.multiply.accumulate(back)
 
 
 @functools.cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+def _byte_values(lower: bool) -> np.ndarray:
+    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+    return values[ASCII_LOWER] if lower else values
+
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte range, from prefix sums of a polynomial over the bytes; ``lower``: as if A-Z were lower-cased.
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from prefix sums of a polynomial over the bytes."""
-    out, i = np.empty(len(starts), np.uint64), 0
+    Words are taken a segment at a time; one that is longer than a segment adds up its parts.
+    """
+    out, i, values = np.empty(len(starts), np.uint64), 0, _byte_values(lower)
+    forth, back = _powers()
+    sums = np.zeros(SEGMENT + 1, np.uint64)
     while i < len(starts):
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + SEGMENT, "right")))
-        size = int(ends[j - 1] - at)
-        forth, back = _powers(max(21, size.bit_length()))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_byte_values()[buf[at : at + size]] * forth[:size], out=sums[1:])
+        at = int(starts[i])
+        j = int(np.searchsorted(ends, at + SEGMENT, "right"))
+        if j <= i:
+            total = 0
+            for k in range(at, int(ends[i]), SEGMENT):
+                part = values[buf[k : min(k + SEGMENT, int(ends[i]))]]
+                total += int((part * forth[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k - at, 1 << 64)
+            out[i] = mix(np.array([total % (1 << 64)], np.uint64))[0]
+            i += 1
+            continue
+        size = int(ends[j - 1]) - at
+        np.cumsum(values[buf[at : at + size]] * forth[:size], out=sums[1 : size + 1])
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix((sums[e] - sums[s]) * back[s])
         i = j
@@ -107,7 +129,7 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21):
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE):
     """The batch in slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
     offsets = utf8(batch.column(batch.schema.get_field_index(column)))[1]
     i = 0
@@ -115,3 +137,21 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def thrifty(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as a task that returns freed memory to the system at its end: workers live on, idle, between stages."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass

@@ -5,10 +5,11 @@ is a block of whole documents: ``shard``, ``block``, ``first_doc``, ``last_doc``
 shard before it), ``n_tokens`` and ``payload``. A payload is little-endian: magic ``RPR1``; u32 bytes of a symbol (2 or
 4), first nonterminal, rules, symbols, documents; the rules' left symbols, then their right symbols, then their
 expansion lengths (u32); the symbols of the sequence; the documents' ids (i64, with a bitmap byte each for null) and
-lengths (u32). Expansion lengths let a reader find the symbols of any range without expanding what stands before it.
+lengths (u32). Expansion lengths let a reader find the symbols of any range without expanding what stands before it. A
+block's grammar is its own, so a block is what Re-Pair calls a file: about ``block_tokens`` ids, or one longer document.
 
-Defined cases: a null text is an empty one; an empty text is the end id alone; equal doc_ids follow one another by text;
-null doc_ids come first; an empty table gives no blocks; further columns are ignored.
+Defined cases: a null text is an empty one; an empty text is the end id alone; equal doc_ids follow one another in the
+order of the table's rows; null doc_ids come first; a long text makes one block; an empty table gives no blocks; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import shuffle_partitions, table_path
+from .textbytes import text_slices, thrifty
 from .tokens import default_path, word_bpe
 
 MAGIC = b"RPR1"
@@ -30,42 +32,58 @@ BLOCKS = "shard int, block int, first_doc long, last_doc long, start long, n_tok
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def repair(ids: np.ndarray, rounds: int = 6, least: int = 8, most: int = 512) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+#: A pair that occurs this often is frequent: it pays for its rule.
+FREQUENT = 8
+
+
+def _frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, counts, at, which): the sorted keys that occur ``least`` times or more; the places of their occurrences in order, and each one's pair.
+
+    Keys that are rare even together with those of the same fold aren't sorted.
+    """
+    fold = ((keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(keys.dtype.itemsize * 8 - 18)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(fold, minlength=1 << 18) >= least)[fold])
+    own = keys[at]
+    ordered = np.sort(own)
+    cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(cut, len(ordered)))
+    cut, counts = cut[counts >= least], counts[counts >= least]
+    pairs = ordered[cut]
+    if not len(pairs):
+        return pairs, counts, at[:0], at[:0]
+    which = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+    hit = pairs[which] == own
+    return pairs, counts, at[hit], which[hit]
+
+
+def repair(ids: np.ndarray, least: int = FREQUENT) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first nonterminal, left, right, expansion lengths) of a Re-Pair grammar of ``ids``.
 
-    A round replaces up to ``most`` pairs that occur ``least`` times or more, the most frequent ones; where occurrences
-    overlap, the leftmost counts. It ends after ``rounds`` or when no pair is frequent.
+    A round replaces all pairs that occur ``least`` times or more; where occurrences overlap, the more frequent pair has
+    it, and of equals every other one from the left. Rounds go on until no pair is frequent.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    small = base + rounds * most <= 1 << 16
-    kind, shift = (np.uint32, 16) if small else (np.uint64, 32)
-    if not small and base + rounds * most > 1 << 32:
-        raise ValueError("ids need more than 32 bits")
+    kind, shift = (np.uint32, 16) if base <= 1 << 16 else (np.uint64, 32)
     seq, lengths = ids.astype(kind), [np.ones(0, np.int64)]
     lefts, rights, top = [], [], base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1] << kind(shift)) | seq[1:]
-        ordered = np.sort(keys)
-        cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(cut, len(ordered)))
-        frequent = np.flatnonzero(counts >= least)
-        if not len(frequent):
+    open_ = np.arange(max(0, len(seq) - 1))  # pairs elsewhere can't have become frequent
+    while len(open_):
+        pairs, counts, at, which = _frequent_pairs((seq[open_] << kind(shift)) | seq[open_ + 1], least)
+        at = open_[at]
+        if not len(pairs):
             break
-        if len(frequent) > most:
-            cutoff = np.partition(counts[frequent], len(frequent) - most)[len(frequent) - most]
-            frequent = np.concatenate((frequent[counts[frequent] > cutoff], frequent[counts[frequent] == cutoff]))[:most]
-        pairs = np.sort(ordered[cut[frequent]])
-        mark = np.zeros(1 << 16, bool)  # cheap test before the search
-        fold = lambda x: ((x >> kind(shift)) * kind(40503) ^ x) & kind(0xFFFF)
-        mark[fold(pairs)] = True
-        at = np.flatnonzero(mark[fold(keys)])
-        which = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-        hit = pairs[which] == keys[at]
-        at, which = at[hit], which[hit]
-        touching = np.flatnonzero(np.diff(at) == 1)
-        if len(touching):  # runs of overlapping pairs: every other one stays
+        if kind is np.uint32 and top + len(pairs) > 1 << 16:  # symbols of more than 16 bits from here on
+            kind, shift, seq = np.uint64, 32, seq.astype(np.uint64)
+            continue
+        touch = np.diff(at) == 1
+        lower, higher = counts[which[1:]] < counts[which[:-1]], counts[which[1:]] > counts[which[:-1]]
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~(touch & lower)
+        wins[:-1] &= ~(touch & higher)
+        again = np.zeros(len(seq), bool)
+        again[at] = True
+        at, which = at[wins], which[wins]
+        if len(touching := np.flatnonzero(np.diff(at) == 1)):
             run = np.ones(len(at), bool)
             run[touching + 1] = False
             even = (np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
@@ -81,10 +99,13 @@ def repair(ids: np.ndarray, rounds: int = 6, least: int = 8, most: int = 512) ->
         lengths.append(own[0] + own[1])
         seq = seq.copy()
         seq[at] = (top + which).astype(kind)
+        again[at] = True
+        again[np.maximum(at, 1) - 1] = True  # pairs that begin or end with the new symbols
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, top = seq[keep], top + len(used)
-    join = lambda x: np.concatenate(x).astype(np.uint32) if x else np.zeros(0, np.uint32)
+        open_ = np.flatnonzero(again[keep][:-1])
+    join = lambda x: np.concatenate([y.astype(np.uint32) for y in x]) if x else np.zeros(0, np.uint32)
     return seq.astype(np.uint32), base, join(lefts), join(rights), np.concatenate(lengths).astype(np.uint32)
 
 
@@ -166,25 +187,29 @@ class Block:
 def _to_blocks(batches: Iterable[pa.RecordBatch], path: str, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    shard, bpe, end = TaskContext.get().partitionId(), word_bpe(path), np.array([end_id], "<u4").tobytes()
+    shard, bpe = TaskContext.get().partitionId(), word_bpe(path)
     data, docs, sizes, held, start, number = [], [], [], 0, 0, 0
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def block() -> pa.RecordBatch:
-        payload = to_payload(np.frombuffer(b"".join(data), "<u4"), docs, sizes)
+        payload = to_payload(np.concatenate(data), docs, sizes)
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, number, docs[0], docs[-1], start, held, payload), schema)], schema=schema)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = bpe.encode(text.as_py() or "") + end
-            data.append(ids)
-            docs.append(doc)
-            sizes.append(len(ids) // 4)
-            held += sizes[-1]
-            if held >= block_tokens:
-                yield block()
-                start, number, held = start + held, number + 1, 0
-                data, docs, sizes = [], [], []
+        for part in text_slices(batch):
+            ids, at = bpe.encode(part.column(1), end_id)
+            names, i = part.column(0).to_pylist(), 0
+            while i < len(names):
+                j = min(len(names), int(np.searchsorted(at, at[i] + block_tokens - held)))  # the first that fills the block ends it
+                data.append(ids[at[i] : at[j]])
+                docs += names[i:j]
+                sizes += np.diff(at[i : j + 1]).tolist()
+                held += int(at[j] - at[i])
+                i = j
+                if held >= block_tokens:
+                    yield block()
+                    start, number, held = start + held, number + 1, 0
+                    data, docs, sizes = [], [], []
     if docs:
         yield block()
 
@@ -192,12 +217,12 @@ def _to_blocks(batches: Iterable[pa.RecordBatch], path: str, end_id: int, block_
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, block_tokens: int = 1 << 18, shards: int | None = None) -> None:
     """Write the ids of every text of ``docs`` (doc_id, text) to ``folder``, in ascending doc_id order.
 
-    A range shuffle puts the shards in order; the text's hash and the row's number let it part equal doc_ids.
+    A range shuffle puts the shards in order; the row's number lets it part equal doc_ids.
     """
     path = path or default_path()
-    rows = docs.select("doc_id", "text").withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    dealt = rows.repartitionByRange(shards or shuffle_partitions(docs.sparkSession), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
-    dealt.select("doc_id", "text").mapInArrow(lambda b: _to_blocks(b, path, end_id, block_tokens), BLOCKS).write.parquet(folder)
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards or shuffle_partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    dealt.select("doc_id", "text").mapInArrow(thrifty(lambda b: _to_blocks(b, path, end_id, block_tokens)), BLOCKS).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -215,14 +240,14 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 block = Block(payload.as_py())
                 ids = expand(block.symbols, block.base, block.left, block.right, block.lengths)
                 first = base[shard.as_py()] + start.as_py()
-                own = [ids[a:b] for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
-                out = [pa.array(block.docs, pa.int64()), pa.array(first + block.starts[:-1]), pa.array(np.diff(block.starts)), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
+                cuts, data = block.starts.tolist(), memoryview(ids).cast("B")
+                out = [pa.array(block.docs, pa.int64()), pa.array(first + block.starts[:-1]), pa.array(np.diff(block.starts)), pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    out, names = [*out, pa.array([x.tolist() for x in own], pa.list_(pa.int64()))], [*names, "ids"]
+                    out, names = [*out, pa.array([ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return blocks.select("shard", "start", "payload").mapInArrow(decode, DOCUMENTS + ", ids array<long>" * with_ids)
+    return blocks.select("shard", "start", "payload").mapInArrow(thrifty(decode), DOCUMENTS + ", ids array<long>" * with_ids)
 
 
 def lookup(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:

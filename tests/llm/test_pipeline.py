@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pedalspark.llm import decontam, langid, neardup, packing, quality
 
 from .fixtures import SF, documents, table
-from .test_texts import brute_classes, brute_report
+from .test_texts import brute_kept, brute_report
 
 
 def test_each_stage_on_its_predecessor(spark):
@@ -25,7 +25,7 @@ def test_each_stage_on_its_predecessor(spark):
 
     unique = stage["near-dedup"](spark, known, SF).cache()
     rows = [(r.doc_id, r.text) for r in known.collect()]
-    assert {r.doc_id for r in unique.collect()} == {d for d, _, _, kept in brute_classes(rows) if kept}
+    assert {r.doc_id for r in unique.collect()} == {d for d, _ in brute_kept(rows)}
 
     clean = stage["benchmark decontamination"](spark, unique, SF).cache()
     rows, items = [(r.doc_id, r.text) for r in unique.collect()], [(r.item_id, r.text) for r in bench.collect()]

@@ -34,7 +34,20 @@ def test_words_on_bytes(texts):
         assert own == re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def brute_classes(rows, width=2):
+def brute_classes(rows, width=5):
+    groups, sets = brute_groups(rows, width)
+    named = {g: min((rows[i][0] for i in own if rows[i][0] is not None), default=None) for g, own in groups.items()}
+    return Counter((rows[i][0], len(sets[i]), named[g], rows[i][0] is not None and rows[i][0] == named[g]) for g, own in groups.items() for i in own)
+
+
+def brute_kept(rows, width=5):
+    """The rows that deduplication leaves."""
+    groups, _ = brute_groups(rows, width)
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    return sorted((min((rows[i] for i in own), key=order) for own in groups.values()), key=order)
+
+
+def brute_groups(rows, width):
     sets, parent = [shingle_set(t, width) for _, t in rows], list(range(len(rows)))
 
     def find(i):
@@ -47,10 +60,9 @@ def brute_classes(rows, width=2):
             if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 parent[find(i)] = find(j)
     groups = {}
-    for i, (doc, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(doc)
-    named = {g: min((d for d in ds if d is not None), default=None) for g, ds in groups.items()}
-    return Counter((rows[i][0], len(sets[i]), named[find(i)], rows[i][0] is not None and rows[i][0] == named[find(i)]) for i in range(len(rows)))
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return groups, sets
 
 
 def copies(n, edits):
@@ -65,14 +77,24 @@ def copies(n, edits):
     return out
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SALTED", 8)
     for rows in (documents(), copies(60, 6)):
-        got = neardup.classes(table(spark, rows)).collect()
-        assert Counter(tuple(r) for r in got) == brute_classes(rows)
+        for width in (2, 5):
+            got = neardup.classes(table(spark, rows), width).collect()
+            assert Counter(tuple(r) for r in got) == brute_classes(rows, width)
     assert neardup.classes(table(spark, [])).collect() == []
-    kept = neardup.deduplicated(table(spark))
+
+
+def test_deduplication(spark):
+    """Also rows without an id, different texts under one id, repeated rows and rows without words."""
+    twin = prose(8, 60)
+    rows = documents() + [(None, twin), (None, twin), (None, prose(1, 120)), (300, prose(30, 50)), (300, prose(31, 50)), (None, ""), (5, "")]
+    kept = neardup.deduplicated(table(spark, rows))
     assert kept.columns == table(spark).columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _, c, k in brute_classes(documents()) if k})
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest(), r[1] is None)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == sorted(brute_kept(rows), key=order)
+    assert neardup.deduplicated(table(spark, [])).collect() == []
 
 
 def test_registers_merge_and_estimate():
@@ -182,7 +204,9 @@ def test_language(spark):
 def test_whole_text_is_seen():
     """Windows cover every run of bytes as wide as the widest filter."""
     text = prose(3, 400)
-    windows, first = langid.windows_of(*utf8(pa.array([text, "", "ab"])))
+    buf, offsets = utf8(pa.array([text, "", "ab"]))
+    first, own = langid.window_places(offsets)
+    windows = langid.windows_of(buf, offsets, first, own, 0, len(own))
     raw = text.encode()
     runs = {bytes(w[i : i + 4]) for w in windows[: first[1]] for i in range(langid.WINDOW - 3)}
     assert all(raw[i : i + 4] in runs for i in range(len(raw) - 3))

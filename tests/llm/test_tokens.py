@@ -1,16 +1,18 @@
+import json
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pedalspark.llm import packing, tokenfiles
+from pedalspark.llm import packing, tokenfiles, tokens
 from pedalspark.llm.cluster import table_path
 from pedalspark.llm.tokens import default_path, word_bpe
 
-from .fixtures import documents, table
+from .fixtures import documents, prose, table
 
 
 @pytest.fixture(scope="module")
@@ -34,10 +36,34 @@ def test_words_as_the_library(text):
     from tokenizers import Tokenizer
 
     bpe = word_bpe(default_path())
-    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
+    column = [text, "two words", None, "", text + " end", "naïve été"]
+    for end in (None, 7):
+        ids, at = bpe.encode(pa.array(column, pa.string()), end)
+        for i, x in enumerate(column):
+            assert ids[at[i] : at[i + 1]].tolist() == bpe.tokenizer.encode(x or "", add_special_tokens=False).ids + [7] * (end == 7)
     assert Tokenizer
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE", 64)
+    monkeypatch.setattr(tokens.pieces, "__defaults__", (64,))
+    bpe = word_bpe(default_path())
+    for text in (prose(4, 200), "x" * 300 + " " + prose(5, 30), "y" * 500, "日本 " * 60, prose(6, 20) + " <|endoftext|> " + prose(7, 30), "été " * 40 + "’" * 90):
+        assert bpe.encode(pa.array(["a", text]))[0].tolist() == bpe.tokenizer.encode("a", add_special_tokens=False).ids + bpe.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files(tmp_path):
+    """A file of another kind is left to the library."""
+    file = json.load(open(default_path()))
+    file["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(file))
+    bpe = tokens.WordBpe(str(path))
+    assert not bpe.known and tokens.WordBpe(default_path()).known
+    text = "Cased WORDS don't Merge"
+    assert bpe.encode(pa.array([text]))[0].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark, tokenizer):
     rows = packing.pack(table(spark)).collect()
     expected = Counter()
@@ -110,4 +136,25 @@ def test_repair_round_trip(ids, shift):
 
 def test_repair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 100)
-    assert len(tokenfiles.repair(ids)[0]) < 200
+    assert len(tokenfiles.repair(ids)[0]) < 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=600), st.integers(2, 8))
+def test_repair_ends_when_no_pair_is_frequent(ids, least):
+    symbols, *_ = tokenfiles.repair(np.array(ids, np.uint32), least)
+    times, last = Counter(), {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+        if last.get(pair) != i - 1:  # overlapping occurrences count once
+            times[pair] += 1
+            last[pair] = i
+    assert max(times.values(), default=0) < least
+
+
+def test_repair_of_more_symbols_than_16_bits():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 65_000, 3000).astype(np.uint32)
+    ids = np.concatenate([ids] * 3)
+    symbols, base, left, right, lengths = tokenfiles.repair(ids, 2)
+    assert base + len(left) > 1 << 16 and len(symbols) < 10
+    assert (tokenfiles.expand(symbols, base, left, right, lengths) == ids).all()
