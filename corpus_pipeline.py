@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and
 reads it again as the next stage's ``docs``. All stages but the last return the columns of ``docs``.
+
+Defined cases: a null or empty text is scored like any other by the quality stage and rejected by the language stage, as
+it has no letters; null doc_ids are kept as documents of their own, but share the quality stage's decision, as rows of
+one doc_id do; repeated rows are near duplicates, so one stays; ties among near duplicates go to the smallest doc_id and
+then the smallest digest; texts of any length are read whole; further columns are carried along, whatever their names;
+an empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
     prepare(spark)
     return neardup.deduplicated(docs)
 
