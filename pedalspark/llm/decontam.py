@@ -14,6 +14,8 @@ empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # of lower-cased text
 PARTS = "([0-9A-Za-z\\x{80}-\\x{10FFFF}]+|[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+)"  # of the text itself: words and what stands between
 BROADCAST_WINDOWS = 2_000_000
 WIDTH = 10
+SEGMENT = 1 << 16  # words of a text that are hashed at once
 
 
 def words(text: Column) -> Column:
@@ -35,46 +38,87 @@ def once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
-def windows(of: Column, size: int | Column) -> Column:
-    """Hashes of all runs of ``size`` words, in order; none if there are fewer words."""
-    size = F.lit(size) if isinstance(size, int) else size
-    places = F.sequence(F.lit(1), F.size(of) - size + 1)
-    return F.when(F.size(of) >= size, F.transform(places, lambda i: F.xxhash64(F.slice(of, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def name() -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+def window_hashes(of: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words, in order; none if there are fewer words.
+
+    Words are hashed once. Hashes of runs of 2, 4, 8 ... words come from those of their halves, so that a window costs a few
+    hashes of two numbers, whatever its size.
+    """
+    pair = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    after = lambda a, k: F.slice(a, k + 1, F.size(a))
 
+    def joined(runs: dict[int, Column]) -> Column:
+        n = max(runs)
+        if 2 * n <= size:
+            return let(pair(runs[n], after(runs[n], n)), lambda x: joined({**runs, 2 * n: x}))
+        out = runs[n]
+        for k in sorted((k for k in runs if k < n and size & k), reverse=True):
+            out, n = pair(out, after(runs[k], n)), n + k
+        return F.slice(out, 1, F.greatest(F.size(runs[1]) - size + 1, F.lit(0)))
 
-def named(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", name().alias("key"))
+    return let(F.transform(of, lambda w: F.xxhash64(w)), lambda x: joined({1: x}))
+
+
+def name() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, size, hash, window) of every item, without repetition."""
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", once(words(F.col("text"))).alias("words")).filter(F.size("words") > 0)
-    items = items.withColumn("size", F.least(F.size("words"), F.lit(width)))
-    rows = items.select("item_id", "size", "words", F.posexplode(windows(F.col("words"), F.col("size"))).alias("i", "hash"))
-    return rows.select("item_id", "size", "hash", F.slice("words", F.col("i") + 1, F.col("size")).alias("window")).distinct()
+    found = None
+    for size in range(1, width + 1):
+        own = items.filter(F.size("words") == size if size < width else F.size("words") >= width)
+        rows = own.select("item_id", "words", F.posexplode(window_hashes(F.col("words"), size)).alias("i", "hash"))
+        rows = rows.select("item_id", F.lit(size).alias("size"), "hash", F.slice("words", F.col("i") + 1, F.lit(size)).alias("window"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
+
 
+def segments(docs: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """(columns, n_words, at, words): the words of each text; a long one in segments that overlap by ``size`` - 1 words, from word ``at``."""
+    n = F.size("words")
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(SEGMENT)), lambda i: F.struct(i.alias("at"), F.slice("words", i + 1, F.lit(SEGMENT + size - 1)).alias("words")))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("words")))
+    return docs.select(*columns, once(words(F.col("text"))).alias("words")).select(*columns, n.alias("n_words"), F.explode(F.when(n <= SEGMENT, whole).otherwise(cut)).alias("s")).select(*columns, "n_words", "s.at", "s.words")
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, start, size, hash): the places in each document where a window of ``items`` occurs. ``items`` must be stored."""
-    known = items.select("size", "hash", "window").distinct()
-    sizes = [r.size for r in known.select("size").distinct().collect()]  # WIDTH rows at most
+
+def hits(docs: DataFrame, items: DataFrame, with_rows: bool = False) -> DataFrame:
+    """(key, start, size, hash): the places in each document where a window of ``items`` occurs. ``items`` must be stored.
+
+    ``with_rows``: also doc_id and n_words, and a row with ``first`` for every document, hit or not: both come from one pass.
+    """
+    known = stored(items.groupBy("size", "hash").agg(F.collect_set("window").alias("windows")), "known")
+    sizes = sorted(r.size for r in known.select("size").distinct().collect())  # WIDTH rows at most
     few = known.count() <= BROADCAST_WINDOWS
-    found = None
-    texts = named(docs).select("key", once(words(F.col("text"))).alias("words"))
+    rows = docs.select("doc_id", "text", name().alias("key"))
+    columns, out = ["key", "doc_id"] if with_rows else ["key"], None
+    kept = [*columns, *(["n_words", "first"] if with_rows else []), "start", "size", "hash"]
     for size in sizes:
-        own = known.filter(F.col("size") == size).select(F.col("hash"), "window")
-        places = texts.select("key", "words", windows(F.col("words"), size).alias("hashes")).select("key", "words", F.posexplode("hashes").alias("start", "hash"))
+        first = with_rows and size == sizes[0]
+        own = known.filter(F.col("size") == size).select("hash", "windows")
+        explode = F.posexplode_outer if first else F.posexplode
+        places = segments(rows, columns, size).select("*", window_hashes(F.col("words"), size).alias("hashes"))
+        places = places.select(*columns, "n_words", "at", "words", explode("hashes").alias("i", "hash"))
+        window = F.slice("words", F.col("i") + 1, F.lit(size))
         if few:
-            at = places.join(F.broadcast(own), "hash").filter(F.slice("words", F.col("start") + 1, F.lit(size)) == F.col("window"))
-        else:
-            at = places.select("key", "start", "hash", F.slice("words", F.col("start") + 1, F.lit(size)).alias("window")).join(own, ["hash", "window"])
-        at = at.select("key", "start", F.lit(size).alias("size"), "hash")
-        found = at if found is None else found.unionByName(at)
-    return found if found is not None else texts.select("key", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash")).limit(0)
+            at = places.join(F.broadcast(own), "hash", "left" if first else "inner")
+        else:  # both sides are shuffled by hash, each place with its own words alone
+            at = places.withColumn("window", window).drop("words").join(own.hint("shuffle_hash"), "hash", "left" if first else "inner")
+            window = F.col("window")
+        hit = F.coalesce(F.array_contains("windows", window), F.lit(False))
+        at = at.withColumn("first", (F.col("at") == 0) & (F.coalesce("i", F.lit(0)) == 0) & F.lit(first)).withColumn("hit", hit).filter("first OR hit")
+        at = at.withColumns({"start": F.col("at") + F.col("i"), "size": F.lit(size), "hash": F.when(F.col("hit"), F.col("hash"))}).select(kept)
+        out = at if out is None else out.unionByName(at)
+    if out is None:  # nothing to find
+        empty = segments(rows, columns, 1).filter("at = 0").withColumns({"first": F.lit(True), "start": F.lit(0), "size": F.lit(0), "hash": F.lit(None).cast("long")}).select(kept)
+        out = empty if with_rows else empty.limit(0)
+    return out
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -88,7 +132,8 @@ def spans(found: DataFrame) -> DataFrame:
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``."""
     items = stored(item_windows(benchmark, width), "windows")
-    found = stored(hits(docs, items), "hits")
+    both = stored(hits(docs, items, with_rows=True), "hits")
+    found = both.filter("hash IS NOT NULL").select("key", "start", "size", "hash")
     covered = spans(found).groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"))
     by_window = items.select("size", "hash", "item_id")
     if items.count() <= BROADCAST_WINDOWS:
@@ -96,7 +141,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     of_items = found.select("key", "size", "hash").distinct().join(by_window, ["size", "hash"]).select("key", F.col("item_id").cast("string").alias("item")).distinct()
     named_items = of_items.groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     result = covered.join(named_items, "key")
-    rows = named(docs).select("key", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    rows = both.filter("first").select("key", "doc_id", F.col("n_words").cast("long").alias("n_words"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return rows.join(result, "key", "left").select("doc_id", "n_words", n("n_hit").alias("n_hit"), n("n_items").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n("n_hit") > 0).alias("contaminated"))
 
