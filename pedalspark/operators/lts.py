@@ -1,8 +1,8 @@
-"""Level of traffic stress of streets and junctions: ordered rule tables in one projection.
+"""Level of traffic stress of streets and junctions: ordered rule tables over one scan.
 
 Stress is 0 where cycling is not permitted, 1 (lowest) to 4 else. Each table lists (code, stress, predicate); the first
-rule that holds decides. No table is split and put together again: a street's class, assumed values and rule are columns
-of one projection that Catalyst compiles into one stage.
+rule that holds decides. No table is split and put together again. Assumed values, rule and stress are computed once for
+each street, one after another (``settled``): a filter on stress tests a column, it doesn't repeat the rules.
 """
 
 from __future__ import annotations
@@ -126,6 +126,16 @@ def stress_of(rule: Column) -> Column:
     return F.try_element_at(table, rule)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns that later expressions and filters refer to without computing them anew.
+
+    They come as the one row of a generator, which the optimizer neither merges with what follows nor moves filters past.
+    """
+    kept = [tag(c) for c in df.columns if c not in columns]
+    row = F.explode(F.array(F.struct(*(v.alias(c) for c, v in columns.items()))))
+    return df.select(*kept, row.alias("_settled")).select(*kept, *(F.col(f"_settled.{c}").alias(c) for c in columns))
+
+
 def classify(edges: DataFrame) -> DataFrame:
     """``edges`` with lanes_assumed, maxspeed_assumed, width_assumed, path_class, rule and base_lts.
 
@@ -133,11 +143,11 @@ def classify(edges: DataFrame) -> DataFrame:
     """
     cycleway, parking = family(edges, "cycleway"), family(edges, "parking")
     df = with_tags(edges)
-    df = df.withColumns({"lanes_assumed": lanes_assumed(df), "maxspeed_assumed": maxspeed_assumed(df), "width_assumed": width_assumed(), "_p": permitted_rule(), "_s": separated_rule(cycleway), "_l": bike_lane(cycleway), "_k": parking_present(parking)})
+    df = settled(df, lanes_assumed=lanes_assumed(df), maxspeed_assumed=maxspeed_assumed(df), width_assumed=width_assumed(), _p=permitted_rule(), _s=separated_rule(cycleway), _l=bike_lane(cycleway), _k=parking_present(parking))
     lanes, speed, width = F.col("lanes_assumed"), F.col("maxspeed_assumed"), F.col("width_assumed")
     path = F.when(F.col("_p") != "p0", "not_permitted").when(F.col("_s") != "s0", "separated").when(F.col("_l") & F.col("_k"), "lane_parking").when(F.col("_l"), "lane_no_parking").otherwise("mixed")
     rule = F.when(F.col("_p") != "p0", F.col("_p")).when(F.col("_s") != "s0", F.col("_s")).when(F.col("_l"), lane_rule(lanes, speed, width)).otherwise(mixed_rule(lanes, speed))
-    df = df.withColumns({"path_class": path, "rule": rule}).withColumn("base_lts", stress_of(F.col("rule")))
+    df = settled(settled(df, path_class=path, rule=rule), base_lts=stress_of(F.col("rule")))
     added = ["lanes_assumed", "maxspeed_assumed", "width_assumed", "path_class", "rule", "base_lts"]
     return df.select(*(tag(c) for c in dict.fromkeys([*edges.columns, *added])))
 
@@ -170,7 +180,7 @@ def edge_stress(edges: DataFrame, **penalty: bool) -> DataFrame:
     df = classify(edges)
     if "slope" in edges.columns:
         df = df.withColumn("slope_class", slope_class(F.col("slope")))
-    df = with_tags(df).withColumn("lts", penalised(**penalty))
+    df = settled(with_tags(df), lts=penalised(**penalty))
     lookup = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("rule"))
     return df.withColumns({"message": lookup(MESSAGES), "short_message": lookup(SHORT_MESSAGES)})
 
