@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .graph import by_stress
-from .paths import distances
+from .paths import distances, marked_paths
 
 
 def contact_nodes(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,16 @@ def hop_stress(edges: DataFrame, order: list[str]) -> DataFrame:
 
 
 def high_stress_paths(edges: DataFrame, order: list[str], compat: bool = False) -> DataFrame:
-    """(source, target, distance, path) between contact nodes whose shortest path has high stress on every hop."""
-    contacts = stored(contact_nodes(edges), "contacts")
-    all_paths = distances(edges, contacts, with_path=True).join(contacts.withColumnRenamed("node", "target"), "target").filter("source <> target")
-    paths = stored(all_paths.select("source", "target", "distance", "path"), "paths")
-    judged = hops(paths, ["source", "target"]).join(hop_stress(edges, order), ["u", "v"], "left").groupBy("source", "target")
-    high = judged.agg(F.coalesce(F.bool_and(F.col("hop_lts").isin(3, 4)), F.lit(compat)).alias("high")).filter("high")
-    return paths.join(high.select("source", "target"), ["source", "target"])
+    """(source, target, distance, path) between contact nodes whose shortest path has high stress on every hop.
+
+    Hops without known stress pass, but for a path of such hops alone, which only ``compat`` lets pass.
+    """
+    high = F.when(F.col("hop_lts").isin(3, 4), 1).otherwise(2)
+    marks = hop_stress(edges, order).select("u", "v", high.alias("mark"))
+    if compat:  # what has no stress counts as stressful
+        pairs = edges.select("u", "v").distinct()
+        marks = pairs.join(marks, ["u", "v"], "left").withColumn("mark", F.coalesce("mark", F.lit(1)))
+    return marked_paths(edges, stored(contact_nodes(edges), "contacts"), marks)
 
 
 def one_direction(paths: DataFrame, compat: bool = False) -> DataFrame:

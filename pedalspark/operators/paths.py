@@ -22,20 +22,21 @@ BROADCAST_EDGES = 5_000_000
 
 
 class Graph:
-    """Arrays by source node: ``ids`` sorted, ``to`` and ``weight`` of node i at start[i] to start[i + 1]."""
+    """Arrays by source node: ``ids`` sorted, ``to``, ``weight`` and ``mark`` of node i's edges at start[i] to start[i + 1]."""
 
-    def __init__(self, u: np.ndarray, v: np.ndarray, weight: np.ndarray, nodes: np.ndarray | None = None):
+    def __init__(self, u: np.ndarray, v: np.ndarray, weight: np.ndarray, nodes: np.ndarray | None = None, mark: np.ndarray | None = None):
         self.ids = np.unique(np.concatenate([u, v] + ([nodes] if nodes is not None else [])))
         a, b = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
         order = np.lexsort((b, a))
         self.to, self.weight = b[order], weight[order].astype(float)
+        self.mark = mark[order] if mark is not None else None
         self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
 
     def reversed(self) -> Graph:
         out = object.__new__(Graph)
         source = np.repeat(np.arange(len(self.ids)), np.diff(self.start))
         order = np.lexsort((source, self.to))
-        out.ids, out.to, out.weight = self.ids, source[order], self.weight[order]
+        out.ids, out.to, out.weight, out.mark = self.ids, source[order], self.weight[order], self.mark[order] if self.mark is not None else None
         out.start = np.searchsorted(self.to[order], np.arange(len(self.ids) + 1))
         return out
 
@@ -61,6 +62,10 @@ class Graph:
                 heapq.heappush(heap, x)
         return distance, before, settled
 
+    def edge(self, a: int, b: int) -> int:
+        """The number of the edge from a to b."""
+        return int(self.start[a] + np.searchsorted(self.to[self.start[a] : self.start[a + 1]], b))
+
     def path(self, before: np.ndarray, node: int) -> list[int]:
         out = [node]
         while before[out[-1]] >= 0:
@@ -68,37 +73,75 @@ class Graph:
         return out[::-1]
 
 
-def too_large(edges: DataFrame, limit: int = BROADCAST_EDGES) -> bool:
-    return edges.limit(limit + 1).count() > limit
+def too_large(rows: DataFrame, limit: int = BROADCAST_EDGES) -> bool:
+    return rows.limit(limit + 1).count() > limit
 
 
-def graph_of(edges: DataFrame, weight: str = "length", nodes: DataFrame | None = None) -> Graph:
-    """The simple directed graph of ``edges`` on the driver; raises if it is not within the limit."""
-    simple = stored(simple_edges(edges, weight=weight), "simple")
-    if too_large(simple):
-        raise ValueError(f"more than {BROADCAST_EDGES} edges: use relaxed()")
+def graph_of(edges: DataFrame, weight: str = "length", nodes: DataFrame | None = None, marks: DataFrame | None = None) -> Graph:
+    """The simple directed graph of ``edges`` on the driver; raises if edges or nodes are not within the limit.
+
+    ``marks`` (u, v, mark): a whole number for each edge, 0 where there is none.
+    """
+    simple = simple_edges(edges, weight=weight)
+    if marks is not None:
+        simple = simple.join(marks, ["u", "v"], "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    simple = stored(simple, "simple")
+    named = stored(nodes.select(F.col("node").cast("long")).distinct(), "named") if nodes is not None else None
+    if too_large(simple) or named is not None and too_large(named):
+        raise ValueError(f"more than {BROADCAST_EDGES} edges or nodes: use relaxed()")
     table = simple.toArrow()
-    more = np.array([r.node for r in nodes.select("node").distinct().collect()], np.int64) if nodes is not None else None
-    return Graph(*(table.column(c).to_numpy().astype(t) for c, t in (("u", np.int64), ("v", np.int64), (weight, float))), more)
+    more = named.toArrow().column("node").to_numpy().astype(np.int64) if named is not None else None
+    u, v, w = (table.column(c).to_numpy().astype(t) for c, t in (("u", np.int64), ("v", np.int64), (weight, float)))
+    return Graph(u, v, w, more, table.column("mark").to_numpy().astype(np.int64) if marks is not None else None)
 
 
 def by_source(sources: DataFrame, graph: Graph, each: Callable[[Graph, int], pa.RecordBatch], schema: str, tasks: int | None = None) -> DataFrame:
     """``each(graph, number of the source)`` for the nodes of ``sources`` (node) that the graph has."""
+    return _dealt(sources, graph, lambda g, numbers: (each(g, i) for i in numbers), schema, tasks)
+
+
+def _dealt(sources: DataFrame, graph: Graph, work: Callable[[Graph, Iterator[int]], Iterator[pa.RecordBatch]], schema: str, tasks: int | None = None) -> DataFrame:
     spark = sources.sparkSession
     held = spark.sparkContext.broadcast(graph)
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = held.value
-        for batch in batches:
-            for node in batch.column(0).to_pylist():
-                i = int(np.searchsorted(g.ids, node))
-                if i < len(g.ids) and g.ids[i] == node:
-                    yield each(g, i)
+
+        def numbers() -> Iterator[int]:
+            for batch in batches:
+                for node in batch.column(0).to_pylist():
+                    i = int(np.searchsorted(g.ids, node))
+                    if i < len(g.ids) and g.ids[i] == node:
+                        yield i
+
+        yield from work(g, numbers())
 
     return sources.select(F.col("node").cast("long")).distinct().repartition(tasks, "node").mapInArrow(run, schema)
 
 
+def summed(sources: DataFrame, graph: Graph, add: Callable[[Graph, int, np.ndarray], None], of_edges: bool = False) -> DataFrame:
+    """(node, value), or (u, v, value) of edges: what ``add`` has added up for all sources. A task sends one row for each node or edge, at its end."""
+
+    def work(g: Graph, numbers: Iterator[int]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(g.to) if of_edges else len(g.ids))
+        for i in numbers:
+            add(g, i, total)
+        some = np.flatnonzero(total)
+        if of_edges:
+            names = {"u": g.ids[np.searchsorted(g.start, some, "right") - 1], "v": g.ids[g.to[some]]}
+        else:
+            names = {"node": g.ids[some]}
+        yield pa.RecordBatch.from_pydict({**names, "value": total[some]})
+
+    keys = ["u", "v"] if of_edges else ["node"]
+    return _dealt(sources, graph, work, ", ".join(f"{k} long" for k in keys) + ", value double").groupBy(*keys).agg(F.sum("value").alias("value"))
+
+
+def every_node(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.filter("u <> v").select(F.explode(F.array("u", "v")).alias("node")).unionByName(nodes.select("node")).distinct()
+
+
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, weight: str = "length", with_path: bool = False) -> DataFrame:
     """(source, target, distance) and the path, an array of nodes, for all targets in reach, the source itself included."""
     if not with_path and too_large(edges):
@@ -172,16 +215,15 @@ def _credits(g: Graph, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "length") -> DataFrame:
-    """(node, betweenness), over 1/((n - 1)(n - 2)); each source's credits are summed up by Spark."""
+    """(node, betweenness), over 1/((n - 1)(n - 2)); sources' credits are added up in their tasks."""
     graph = graph_of(edges, weight, nodes)
     n = len(graph.ids)
 
-    def each(g: Graph, i: int) -> pa.RecordBatch:
-        credit = _credits(g, i)[0]
-        return pa.RecordBatch.from_arrays([pa.array(g.ids), pa.array(credit)], ["node", "credit"])
+    def add(g: Graph, i: int, total: np.ndarray) -> None:
+        total += _credits(g, i)[0]
 
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return by_source(nodes, graph, each, "node long, credit double").groupBy("node").agg((F.sum("credit") * scale).alias("betweenness"))
+    return every_node(edges, nodes).join(summed(nodes, graph, add), "node", "left").select("node", (F.coalesce("value", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "length") -> DataFrame:
@@ -189,14 +231,12 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "length")
     graph = graph_of(edges, weight, nodes)
     n = len(graph.ids)
 
-    def each(g: Graph, i: int) -> pa.RecordBatch:
+    def add(g: Graph, i: int, total: np.ndarray) -> None:
         _, tight, shares = _credits(g, i)
-        source = np.searchsorted(g.start, tight, "right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(g.ids[source]), pa.array(g.ids[g.to[tight]]), pa.array(shares)], ["u", "v", "credit"])
+        total[tight] += shares  # an edge is named once
 
-    credit = by_source(nodes, graph, each, "u long, v long, credit double").groupBy("u", "v").agg(F.sum("credit").alias("credit"))
     all_ = simple_edges(edges, weight=weight).select("u", "v")
-    return all_.join(credit, ["u", "v"], "left").select("u", "v", (F.coalesce("credit", F.lit(0.0)) / max(1, n * (n - 1))).alias("betweenness"))
+    return all_.join(summed(nodes, graph, add, of_edges=True), ["u", "v"], "left").select("u", "v", (F.coalesce("value", F.lit(0.0)) / max(1, n * (n - 1))).alias("betweenness"))
 
 
 def local_betweenness(edges: DataFrame, nodes: DataFrame, cutoff: float = 2000.0, weight: str = "length") -> DataFrame:
@@ -204,17 +244,43 @@ def local_betweenness(edges: DataFrame, nodes: DataFrame, cutoff: float = 2000.0
     graph = graph_of(edges, weight, nodes)
     n = len(graph.ids)
 
-    def each(g: Graph, i: int) -> pa.RecordBatch:
+    def add(g: Graph, i: int, total: np.ndarray) -> None:
         _, before, settled = g.search(i, cutoff)
         below = np.zeros(len(g.ids))  # targets behind each node in the tree of paths
         for t in reversed(settled[1:]):
             below[before[t]] += 1 + below[t]
         below[i] = 0
-        some = np.flatnonzero(below)
-        return pa.RecordBatch.from_arrays([pa.array(g.ids[some]), pa.array(below[some])], ["node", "pairs"])
+        total += below
+
+    return nodes.select("node").distinct().join(summed(nodes, graph, add), "node", "left").select("node", (F.coalesce("value", F.lit(0.0)) / max(1, n - 1)).alias("betweenness"))
+
 
-    counts = by_source(nodes, graph, each, "node long, pairs double").groupBy("node").agg(F.sum("pairs").alias("pairs"))
-    return nodes.select("node").distinct().join(counts, "node", "left").select("node", (F.coalesce("pairs", F.lit(0.0)) / max(1, n - 1)).alias("betweenness"))
+def marked_paths(edges: DataFrame, sources: DataFrame, marks: DataFrame, weight: str = "length") -> DataFrame:
+    """(source, target, distance, path) of the shortest paths between ``sources`` with a mark of 1 on some edge and of 2 on none.
+
+    ``marks`` (u, v, mark). Marks are followed down each tree of paths, so only the paths asked for leave a task.
+    """
+    graph = graph_of(edges, weight, sources, marks)
+    ends = graph.ids[np.isin(graph.ids, sources.select(F.col("node").cast("long")).distinct().toArrow().column("node").to_numpy())]  # within the limit that graph_of checks
+
+    def work(g: Graph, numbers: Iterator[int]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(len(g.ids), bool)
+        wanted[np.searchsorted(g.ids, ends)] = True
+        for i in numbers:
+            d, before, settled = g.search(i)
+            clean, some = np.zeros(len(g.ids), bool), np.zeros(len(g.ids), bool)
+            clean[i], found = True, []
+            for t in settled[1:]:
+                b = before[t]
+                if clean[b]:
+                    mark = g.mark[g.edge(b, t)]
+                    clean[t], some[t] = mark != 2, some[b] or mark == 1
+                    if clean[t] and some[t] and wanted[t]:
+                        found.append(t)
+            paths = [g.ids[g.path(before, t)].tolist() for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), g.ids[i])), pa.array(g.ids[found]), pa.array(d[found]), pa.array(paths, pa.list_(pa.int64()))], ["source", "target", "distance", "path"])
+
+    return _dealt(sources, graph, work, "source long, target long, distance double, path array<long>")
 
 
 def stress_weighted(edges: DataFrame, penalise: bool = False) -> DataFrame:
