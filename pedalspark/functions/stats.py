@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def gamma_q(a: float, x: float) -> float:
     """The regularised upper incomplete gamma function, by series or continued fraction."""
@@ -134,17 +136,47 @@ def shares(df: DataFrame, column: str, n: str = "n") -> DataFrame:
     return counts.withColumn("share", 100.0 * F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(1))))
 
 
+def running_before(df: DataFrame, keys: list[str], order: list[str], n: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``n`` over the rows of the same keys that stand before in the order, which has no ties.
+
+    Each range of the order counts by itself and adds the totals of earlier ranges, so no task sees all rows.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(ranges, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*keys or [F.lit(1)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = dealt.groupBy(*keys, "_p").agg(F.sum(n).alias("_t")).select(*keys, "_p", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_t"))
+    own = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("_o", F.coalesce(F.sum(n).over(own), F.lit(0))).join(totals, [*keys, "_p"]).withColumn(out, F.col("_o") + F.col("_t")).drop("_o", "_t", "_p")
+
+
+def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the percentiles asked for by name, interpolated linearly. Values are found by their rank, not gathered."""
+    counts = df.select(F.col(column).cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias("_n"))
+    ranked = running_before(counts, [], ["_v"], "_n", "_b")
+    ranked = stored(ranked, "ranked")
+    total = ranked.agg(F.sum("_n")).first()[0] or 0
+    at = lambda k: F.max(F.when((F.col("_b") <= k) & (F.lit(k) < F.col("_b") + F.col("_n")), F.col("_v")))
+
+    def value(share: float) -> Column:
+        place = max(0, total - 1) * share
+        low = math.floor(place)
+        return at(low) + (at(math.ceil(place)) - at(low)) * (place - low)
+
+    return ranked.agg(*(value(share).alias(name) for name, share in shares.items()))
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *(F.percentile(x, p).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)), F.max(x).alias("max"))
+    whole = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_k", F.lit(1))
+    parts = percentiles(df, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumn("_k", F.lit(1))
+    return whole.join(parts, "_k").select("n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def mid_ranks(df: DataFrame, column: str, out: str, by: str | None = None) -> DataFrame:
-    """``df`` with the mean rank of equal values. Counts of distinct values are ranked, not rows."""
+    """``df`` with the mean rank of equal values. Counts of distinct values are ranked, not rows, and by ranges."""
     keys = [by] if by else []
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys or [F.lit(1)]).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running_before(counts, keys, [column], "_n", "_b").withColumn(out, F.col("_b") + (F.col("_n") + 1) / 2).drop("_n", "_b")
     return df.join(ranks, [*keys, column], "left")
 
 

@@ -124,6 +124,12 @@ def hex_sums(points: DataFrame, hexes: DataFrame, size: float, value: str | None
     return hexes.select("q", "r").join(sums, ["q", "r"], "left").withColumn(name, F.coalesce(name, F.lit(1 if count_empty and not value else 0)))
 
 
+def hex_means(points: DataFrame, values: DataFrame, size: float, columns: list[str], key: str = "node") -> DataFrame:
+    """(q, r, n and the mean of each column) of ``values`` (key, columns) by the hexagon of their point (key, x, y)."""
+    at = with_hex(points.select(key, "x", "y"), size).select(key, "q", "r")
+    return values.join(at, key).groupBy("q", "r").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in columns))
+
+
 def prevalent_stress(edges: DataFrame, key: list[str]) -> DataFrame:
     """(key, lts, not_cyclable): the most frequent stress of a hexagon's streets, ties to the lower one, and whether a name bars bicycles."""
     from .lts import bars_bicycles

@@ -67,6 +67,21 @@ def global_moran(values: DataFrame, weights: DataFrame, key: str = "id") -> Data
     return sums.select("n", (F.col("n") / F.col("s0") * F.col("cross") / F.col("square")).alias("moran_i"))
 
 
+def moran_test(values: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:
+    """(n, moran_i, expected, variance, z) under normality, for row-standardised weights over symmetric neighbours."""
+    found = global_moran(values, weights, key).withColumn("_k", F.lit(1))
+    degree = weights.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("k"))
+    a, b = degree.select(F.col("node").alias("a"), F.col("k").alias("ka")), degree.select(F.col("node").alias("b"), F.col("k").alias("kb"))
+    both = stored(weights.join(a, "a").join(b, "b").withColumn("s", 1 / F.col("ka") + 1 / F.col("kb")), "both")
+    s1 = both.agg((F.sum(F.col("s") * F.col("s")) / 2).alias("s1")).withColumn("_k", F.lit(1))
+    s2 = both.groupBy("a").agg((1 + F.sum(1 / F.col("kb"))).alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("s2"), F.count("*").cast("double").alias("s0")).withColumn("_k", F.lit(1))
+    n, s0 = F.col("n").cast("double"), F.col("s0")
+    expected = -1 / (n - 1)
+    variance = (n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0) / (s0 * s0 * (n * n - 1)) - expected * expected
+    out = found.join(s1, "_k").join(s2, "_k").select("n", "moran_i", expected.alias("expected"), variance.alias("variance"))
+    return out.withColumn("z", (F.col("moran_i") - F.col("expected")) / F.sqrt("variance"))
+
+
 def local_moran(values: DataFrame, weights: DataFrame, key: str = "id", least: int = 3) -> DataFrame:
     """(key, component, z, lag, local_i, quadrant) within each connected component of ``least`` lines or more whose counts differ."""
     labels = components(weights.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import running_before
 from ..storage import stored
 from .graph import components
 
@@ -64,7 +65,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "id") ->
     grouped = core.join(core_cells.select("i", "j", "c"), ["i", "j"]).join(labels.withColumnRenamed("node", "c"), "c").select("i", "j", "p", "x", "y", "component")
     grouped = stored(grouped, "grouped")
     first = grouped.groupBy("component").agg(F.min(F.struct("x", "y")).alias("f"))  # a row for each cluster
-    numbers = first.select("component", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("f")) - 1).alias("cluster"))
+    numbers = running_before(first.select("component", "f.x", "f.y", F.lit(1).alias("one")), [], ["x", "y"], "one", "cluster").select("component", "cluster")
     rest = stored(places.join(core.select("p"), "p", "left_anti").select("i", "j", "p", "x", "y"), "rest")
     ring = _reach(rest).select("p", "x", "y", F.col("ti").alias("i"), F.col("tj").alias("j"))
     touch = ring.join(grouped.select("i", "j", F.col("x").alias("ox"), F.col("y").alias("oy"), "component"), ["i", "j"]).filter(d2 <= eps * eps)

@@ -6,9 +6,10 @@ without any low-stress way are dropped, and paths along which no stress is known
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import running_before
 from ..storage import stored
 from .graph import by_stress
 from .paths import distances, marked_paths
@@ -72,12 +73,8 @@ def ranked(gaps: DataFrame) -> DataFrame:
 
     Ranks count on from each range of benefits to the next, so no task orders them all.
     """
-    n = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(gaps.repartitionByRange(n, F.desc("benefit"), "source", "target").withColumn("_p", F.spark_partition_id()), "ranked")
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("benefit"), "source", "target"))
-    return dealt.withColumn("_r", own).join(sizes.select("_p", before.alias("_b")), "_p").withColumn("rank", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    ordered = gaps.withColumns({"_down": -F.col("benefit"), "_one": F.lit(1)})
+    return running_before(ordered, [], ["_down", "source", "target"], "_one", "_b").withColumn("rank", F.col("_b") + 1).drop("_down", "_one", "_b")
 
 
 def declustered(gaps: DataFrame, least: float = 180.0) -> DataFrame:

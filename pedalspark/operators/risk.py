@@ -11,6 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles
 from ..storage import stored
 
 SEED = 42
@@ -18,7 +19,7 @@ SEED = 42
 
 def risk_label(df: DataFrame, count: str = "accidents", share: float = 0.85) -> DataFrame:
     """``df`` with label 1 where the count is above the percentile, interpolated linearly."""
-    cut = df.agg(F.percentile(count, share).alias("_c")).withColumn("_k", F.lit(1))
+    cut = percentiles(df, count, {"_c": share}).withColumn("_k", F.lit(1))
     return df.withColumn("_k", F.lit(1)).join(cut, "_k").withColumn("label", (F.col(count) > F.col("_c")).cast("int")).drop("_k", "_c")
 
 

@@ -80,6 +80,23 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
         radius = min(radius * 2, reach * 1.001)
 
 
+def crossing_segments(left: DataFrame, right: DataFrame, size: float, keys: list[str], other: list[str]) -> DataFrame:
+    """(keys, other): segments (x0, y0, x1, y1) of both tables that cross or touch, by the cells of their boxes; each pair once."""
+    names = ("x0", "y0", "x1", "y1")
+
+    def in_cells(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_i", F.explode(F.sequence(_cell(F.least("x0", "x1"), size), _cell(F.greatest("x0", "x1"), size))))
+        return df.withColumn("_j", F.explode(F.sequence(_cell(F.least("y0", "y1"), size), _cell(F.greatest("y0", "y1"), size))))
+
+    a = in_cells(left.select(*keys, *names))
+    b = in_cells(right.select(*other, *names)).select(*other, *(F.col(c).alias(f"o{c}") for c in names), "_i", "_j")
+    turn = lambda ax, ay, bx, by, cx, cy: F.signum((F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax)))
+    p, q = ("x0", "y0", "x1", "y1"), ("ox0", "oy0", "ox1", "oy1")
+    apart = (turn(*p, *q[:2]) * turn(*p, *q[2:]) > 0) | (turn(*q, *p[:2]) * turn(*q, *p[2:]) > 0)
+    boxes = (F.least("x0", "x1") <= F.greatest("ox0", "ox1")) & (F.least("ox0", "ox1") <= F.greatest("x0", "x1")) & (F.least("y0", "y1") <= F.greatest("oy0", "oy1")) & (F.least("oy0", "oy1") <= F.greatest("y0", "y1"))
+    return a.join(b, ["_i", "_j"]).filter(boxes & ~apart).select(*keys, *other).distinct()
+
+
 def in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """Pairs of points (x, y) and polygons (ring) that hold them, by the cells of each ring's box."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles
 from .lts import slope_class
 from .spatial import nearest, within
 
@@ -63,7 +64,7 @@ def building_distances(buildings: DataFrame) -> DataFrame:
 
 def quintiles(distances: DataFrame, column: str = "distance") -> DataFrame:
     """One row, p20 to p100, interpolated linearly."""
-    return distances.agg(*(F.percentile(column, p / 100).alias(f"p{p}") for p in (20, 40, 60, 80, 100)))
+    return percentiles(distances, column, {f"p{p}": p / 100 for p in (20, 40, 60, 80, 100)})
 
 
 def context(edges: DataFrame, buildings: DataFrame, radius: float, key: str = "id") -> DataFrame:
@@ -75,5 +76,5 @@ def context(edges: DataFrame, buildings: DataFrame, radius: float, key: str = "i
 
 def context_by_quintile(edges: DataFrame, buildings: DataFrame, key: str = "id") -> DataFrame:
     """The radius is the 60th percentile of the distances between neighbouring buildings."""
-    radius = building_distances(buildings).agg(F.percentile("distance", 0.6)).first()[0]
+    radius = percentiles(building_distances(buildings), "distance", {"p60": 0.6}).first()[0]
     return context(edges, buildings, radius, key) if radius and not math.isnan(radius) else edges.withColumn("context", F.lit("countryside"))

@@ -9,7 +9,7 @@ from ..functions import geo
 from ..operators import access, gaps, graph, paths, spatial
 from ..storage import stored
 from .adapters import oracle, table
-from .queries_places import HEX, _at, _cells, placed, points
+from .queries_places import HEX, _at, _cells, _hex, placed, points
 from .queries_streets import JUNCTIONS, STREETS, junctions, stressed
 
 QUERIES: dict = {}
@@ -159,6 +159,20 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.betweenness(exact(table(spark, sf_dir, "edges")), table(spark, sf_dir, "nodes")).withColumn("betweenness", F.round("betweenness", 9))
 
 
+_MEANS = "round(avg(closeness), 7) AS closeness, round(avg(betweenness), 7) AS betweenness, round(avg(degree), 7) AS degree"
+
+
+@query(f"""WITH RECURSIVE {oracle('edges')}, {_at('nodes', 'x', 'y')}, {_hex('nodes')}, {_ALL}, {_WALK}, near AS ({_closeness('dist', UNIT)}),
+between_ AS (SELECT node, sum(share) / (({_N} - 1) * ({_N} - 2)) AS b FROM (SELECT unnest(path[2:-2]) AS node, share FROM ways WHERE len(path) > 2) GROUP BY 1),
+ends AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY 1),
+every AS (SELECT q, r, closeness, round(coalesce(b, 0), 9) AS betweenness, degree FROM nodes_hex JOIN near USING (node) LEFT JOIN between_ USING (node) JOIN ends USING (node))
+SELECT q, r, count(*) AS n, {_MEANS} FROM every GROUP BY q, r""")
+def hex_centrality_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = stored(paths.merged(closeness(spark, sf_dir), betweenness(spark, sf_dir), graph.degrees(table(spark, sf_dir, "edges")).select("node", "degree")), "centralities")
+    found = access.hex_means(points(spark, sf_dir, "nodes"), values, HEX, ["closeness", "betweenness", "degree"])
+    return found.select("q", "r", "n", *(F.round(c, 7).alias(c) for c in ("closeness", "betweenness", "degree")))
+
+
 @query(f"WITH RECURSIVE {oracle('edges')}, {oracle('nodes')}, {_ALL}, {_WALK}, hops AS (SELECT path, share, unnest(range(1, len(path))) AS i FROM ways) SELECT u, v, round(coalesce(c, 0) / ({_N} * ({_N} - 1)), 9) AS betweenness FROM dist_e LEFT JOIN (SELECT path[i] AS u, path[i + 1] AS v, sum(share) AS c FROM hops GROUP BY 1, 2) USING (u, v)")
 def edge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.edge_betweenness(exact(table(spark, sf_dir, "edges")), table(spark, sf_dir, "nodes")).withColumn("betweenness", F.round("betweenness", 9))

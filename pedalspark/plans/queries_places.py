@@ -194,18 +194,30 @@ def wkt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("i", "p.x", "p.y")
 
 
-@query()
+@query(f"""WITH {_at('accidents')}, c AS (SELECT floor(x / 30e0) AS a, floor(y / 30e0) AS b, count(*) AS n, avg(x) AS x, avg(y) AS y FROM accidents_at GROUP BY 1, 2),
+ci AS (SELECT n, x, y, unnest(range(CAST(floor(x / 300e0) AS BIGINT) - 4, CAST(floor(x / 300e0) AS BIGINT) + 6)) AS i FROM c),
+cij AS (SELECT n, x, y, i, unnest(range(CAST(floor(y / 300e0) AS BIGINT) - 4, CAST(floor(y / 300e0) AS BIGINT) + 6)) AS j FROM ci),
+d AS (SELECT n, i, j, (i * 300e0 - x) ** 2 + (j * 300e0 - y) ** 2 AS d2 FROM cij)
+SELECT i, j, round(sum(n * exp(-d2 / 180000e0) / (2 * pi() * 90000e0)), 12) AS density FROM d WHERE d2 <= 810000e0 GROUP BY i, j""")
 def kde_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.kernel_density(points(spark, sf_dir, "accidents").select("x", "y"), 300.0, 300.0)
+    return spatial.kernel_density(points(spark, sf_dir, "accidents").select("x", "y"), 300.0, 300.0).withColumn("density", F.round("density", 12))
 
 
-@query()
+_UTM_E = 2 * geo._N**0.5 / (1 + geo._N)
+
+
+@query(f"""WITH {oracle('accidents')}, p AS (SELECT id, radians(lat) AS phi, radians(lon - 9) AS lam FROM accidents), t AS (SELECT id, lam, sinh(atanh(sin(phi)) - {_UTM_E!r}e0 * atanh({_UTM_E!r}e0 * sin(phi))) AS t FROM p),
+x AS (SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT id, round({geo._EAST!r}e0 + {geo._K0 * geo._R!r}e0 * (eta + {' + '.join(f'{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, a in enumerate(geo._ALPHA, 1))}), 4) AS east,
+ round({geo._K0 * geo._R!r}e0 * (xi + {' + '.join(f'{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, a in enumerate(geo._ALPHA, 1))}), 4) AS north, 0e0 AS d_lon, 0e0 AS d_lat FROM x""")
 def utm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates and what the way there and back loses, to the ten-millionth of a degree."""
     df = table(spark, sf_dir, "accidents")
     east, north = geo.utm(F.col("lon"), F.col("lat"))
     df = df.withColumns({"east": east, "north": north})
     lon, lat = geo.from_utm(F.col("east"), F.col("north"))
-    return df.select("id", "east", "north", (lon - F.col("lon")).alias("d_lon"), (lat - F.col("lat")).alias("d_lat"))
+    lost = lambda a, b: F.abs(F.round(a - F.col(b), 7))
+    return df.select("id", F.round("east", 4).alias("east"), F.round("north", 4).alias("north"), lost(lon, "lon").alias("d_lon"), lost(lat, "lat").alias("d_lat"))
 
 
 @query(f"""WITH {STREETS}, {oracle('nodes')}, e AS (SELECT radians(b.y) AS p1, radians(a.y) AS p0, radians(b.x - a.x) AS d FROM streets s JOIN nodes a ON s.u = a.node JOIN nodes b ON s.v = b.node WHERE s.u <> s.v),
@@ -295,6 +307,37 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.confusion(df)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.col("embedding")[0].cast("double")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("label") >= 5).cast("int").alias("label"), (first > 0).cast("int").alias("prediction"), (0.5 + first / (2 * (1 + F.abs(first)))).alias("score"))
+
+
+_SCORED = "WITH s AS (SELECT CAST(label >= 5 AS INTEGER) AS label, CAST(embedding[1] > 0 AS INTEGER) AS prediction, 0.5e0 + CAST(embedding[1] AS DOUBLE) / (2 * (1 + abs(CAST(embedding[1] AS DOUBLE)))) AS score FROM embeddings)"
+
+
+@query(f"""{_SCORED}, k AS (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (prediction = class) AS said, count(*) FILTER (label = class AND prediction = class) AS hit FROM s, (VALUES (0), (1)) c(class) GROUP BY 1),
+r AS (SELECT class, support, CASE WHEN said > 0 THEN CAST(hit AS DOUBLE) / said ELSE 0 END AS p, CASE WHEN support > 0 THEN CAST(hit AS DOUBLE) / support ELSE 0 END AS r FROM k)
+SELECT class, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, support FROM r""")
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.report(_scored(spark, sf_dir))
+    return found.select("class", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), F.col("support").cast("long").alias("support"))
+
+
+@query(f"{_SCORED}, b AS (SELECT floor(score * 1000) / 1000 AS threshold, sum(label) AS p, sum(1 - label) AS q FROM s GROUP BY 1) SELECT threshold, round(sum(p) OVER w / CAST(sum(p) OVER () AS DOUBLE), 9) AS tpr, round(sum(q) OVER w / CAST(sum(q) OVER () AS DOUBLE), 9) AS fpr FROM b WINDOW w AS (ORDER BY threshold DESC)")
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.roc_points(_scored(spark, sf_dir)).select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
+
+
+@query()
+def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of the logistic model that the grid search finds best, on the rows it has not seen."""
+    df = _risk_table(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in _FEATURES})
+    train, test = risk.split(df, "hex")
+    train, test = risk.standardised(train, test, features=_FEATURES)
+    found = risk.areas(risk.grid_search(train, "logreg").transform(test))
+    return spark.createDataFrame([(name, float(value)) for name, value in found.items()], "metric string, value double")
+
+
 def _risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hexagons with buildings, population and destinations as features."""
     df = risk.risk_label(_risk_counts(spark, sf_dir), "n")
@@ -321,25 +364,42 @@ def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.smote(df, _FEATURES, "hex").groupBy("label").agg(F.count("*").alias("n"), F.count("hex").alias("n_real"))
 
 
-@query()
+_EPS = 0.0015
+_DBSCAN = f"""WITH RECURSIVE {oracle('accidents')}, places AS MATERIALIZED (SELECT lon AS x, lat AS y, count(*) AS w, row_number() OVER (ORDER BY lon, lat) AS p FROM accidents GROUP BY 1, 2),
+boxes AS MATERIALIZED (SELECT *, CAST(floor(x / {_EPS}) AS BIGINT) AS i, CAST(floor(y / {_EPS}) AS BIGINT) AS j FROM places), around AS (SELECT * EXCLUDE (i), unnest([i - 1, i, i + 1]) AS i FROM boxes),
+pairs AS MATERIALIZED (SELECT a.p, b.p AS o, b.w, b.x, b.y, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM around a JOIN boxes b ON a.i = b.i AND b.j BETWEEN a.j - 1 AND a.j + 1 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {_EPS}e0 * {_EPS}e0),
+cores AS MATERIALIZED (SELECT p FROM pairs GROUP BY p HAVING sum(w) >= 4), links AS MATERIALIZED (SELECT p, o FROM pairs WHERE p IN (SELECT p FROM cores) AND o IN (SELECT p FROM cores)),
+lab(p, c) USING KEY (p) AS (SELECT p, p FROM cores UNION SELECT k.o, min(f.c) FROM lab f JOIN links k ON k.p = f.p JOIN recurring.lab r ON r.p = k.o WHERE f.c < r.c GROUP BY k.o),
+border AS (SELECT p, arg_min(c, (d2, x, y)) AS c FROM (SELECT pairs.p, c, d2, x, y FROM pairs JOIN lab ON lab.p = pairs.o WHERE pairs.p NOT IN (SELECT p FROM cores)) GROUP BY p),
+every AS (SELECT p, c, true AS core FROM lab UNION ALL SELECT p, c, false FROM border), numbers AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT c FROM lab)),
+labels AS (SELECT id, coalesce(cluster, -1) AS cluster, coalesce(core, false) AS core FROM accidents JOIN places ON x = lon AND y = lat LEFT JOIN every USING (p) LEFT JOIN numbers USING (c))"""
+
+
+@query(f"{_DBSCAN} SELECT * FROM labels")
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "accidents").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return clusters.dbscan(df, 0.0015, 4)
+    return clusters.dbscan(df, _EPS, 4)
 
 
-@query()
+@query(f"{_DBSCAN} SELECT cluster, count(*) AS n FROM labels GROUP BY 1")
 def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_counts(dbscan(spark, sf_dir))
 
 
-@query()
+@query(f"{_DBSCAN} SELECT cluster, count(*) AS n, round(avg(lon), 9) AS x, round(avg(lat), 9) AS y FROM labels JOIN accidents USING (id) WHERE cluster >= 0 GROUP BY 1")
+def cluster_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "accidents").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return clusters.cluster_centres(df, dbscan(spark, sf_dir)).select("cluster", "n", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query(f"{_DBSCAN} SELECT round(avg(CASE WHEN cluster < 0 THEN 1e0 ELSE 0e0 END), 9) AS noise_share FROM labels")
 def noise_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.noise_share(dbscan(spark, sf_dir))
+    return clusters.noise_share(dbscan(spark, sf_dir)).select(F.round("noise_share", 9).alias("noise_share"))
 
 
-@query()
+@query(f"WITH {_at('destinations')}, d AS (SELECT id, x, y FROM destinations_at) SELECT a.id, round(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 2)[2]), 3) AS distance FROM d a JOIN d b ON a.id <> b.id GROUP BY a.id")
 def k_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.k_distance(points(spark, sf_dir, "destinations").select("id", "x", "y"))
+    return clusters.k_distance(points(spark, sf_dir, "destinations").select("id", "x", "y")).select("id", F.round("distance", 3).alias("distance"))
 
 
 @query()
@@ -404,9 +464,67 @@ def global_moran(spark: SparkSession, sf_dir: str) -> DataFrame:
     return autocorrelation.global_moran(*_line_counts(spark, sf_dir)).select("n", F.round("moran_i", 6).alias("moran_i"))
 
 
-@query()
+@query(f"""{_MORAN}, k AS (SELECT a, CAST(count(*) AS DOUBLE) AS k FROM w GROUP BY 1), i AS (SELECT count(*) AS n, count(*) / CAST(count(lag.id) AS DOUBLE) * sum(z * coalesce(lag, 0)) / sum(z * z) AS i FROM z LEFT JOIN lag USING (id)),
+s1 AS (SELECT sum((1 / x.k + 1 / y.k) ** 2) / 2 AS s1 FROM w JOIN k x ON x.a = w.a JOIN k y ON y.a = w.b), s2 AS (SELECT sum(c * c) AS s2, CAST(count(*) AS DOUBLE) AS s0 FROM (SELECT w.a, 1 + sum(1 / y.k) AS c FROM w JOIN k y ON y.a = w.b GROUP BY 1)),
+e AS (SELECT n, i, -1e0 / (n - 1) AS expected, (CAST(n AS DOUBLE) * n * s1 - n * s2 + 3 * s0 * s0) / (s0 * s0 * (CAST(n AS DOUBLE) * n - 1)) - (1e0 / (n - 1)) ** 2 AS variance FROM i, s1, s2)
+SELECT n, round(i, 6) AS moran_i, round(expected, 9) AS expected, round(variance, 9) AS variance, round((i - expected) / sqrt(variance), 5) AS z FROM e""")
+def moran_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = autocorrelation.moran_test(*_line_counts(spark, sf_dir))
+    return found.select("n", F.round("moran_i", 6).alias("moran_i"), F.round("expected", 9).alias("expected"), F.round("variance", 9).alias("variance"), F.round("z", 5).alias("z"))
+
+
+_LOCAL_MORAN = f"""{_MORAN.replace('WITH', 'WITH RECURSIVE', 1)}, lab(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM w UNION SELECT w.b, min(f.c) FROM lab f JOIN w ON w.a = f.id JOIN recurring.lab r ON r.id = w.b WHERE f.c < r.c GROUP BY w.b),
+own AS (SELECT v.id, c, y FROM v JOIN lab USING (id)), m AS (SELECT c, avg(y) AS mean, var_pop(y) AS m2, count(*) AS size FROM own GROUP BY 1), zs AS (SELECT id, c, y - mean AS z, m2, size FROM own JOIN m USING (c)),
+lags AS (SELECT w.a AS id, avg(z) AS lag FROM w JOIN zs ON zs.id = w.b GROUP BY 1),
+marks AS (SELECT id, c AS component, z, lag, z * lag / m2 * (size - 1) / size AS local_i, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM zs JOIN lags USING (id) WHERE size >= 3 AND m2 > 0)"""
+
+
+@query(f"{_LOCAL_MORAN} SELECT id, component, round(z, 6) AS z, round(lag, 6) AS lag, round(local_i, 6) AS local_i, quadrant FROM marks")
 def local_moran_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return autocorrelation.local_moran(*_line_counts(spark, sf_dir))
+    found = autocorrelation.local_moran(*_line_counts(spark, sf_dir))
+    return found.select("id", "component", *(F.round(c, 6).alias(c) for c in ("z", "lag", "local_i")), "quadrant")
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their quadrant, the hexagon of their first junction and the name of its first street."""
+    hexes = spatial.with_hex(points(spark, sf_dir, "nodes"), HEX).select(F.col("node").alias("id"), F.concat_ws("/", "q", "r").alias("gap"))
+    names = table(spark, sf_dir, "edges").groupBy(F.col("u").alias("id")).agg(F.min_by("name", F.struct("l_orderkey", "l_linenumber", "length")).alias("name"))
+    return stored(autocorrelation.local_moran(*_line_counts(spark, sf_dir)).join(hexes, "id").join(names, "id", "left"), "marks")
+
+
+@query(f"{_LOCAL_MORAN}, {_hex('nodes')}, c4 AS (SELECT q || '/' || r AS gap, quadrant, count(*) AS n FROM marks JOIN nodes_hex ON node = id GROUP BY 1, 2) SELECT gap, arg_max(quadrant, n * 10 - quadrant) AS quadrant FROM c4 GROUP BY 1")
+def quadrant_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By hexagon."""
+    return autocorrelation.quadrant_mode(_marks(spark, sf_dir))
+
+
+@query(f"{_LOCAL_MORAN} SELECT quadrant, count(DISTINCT component) AS components FROM marks GROUP BY 1")
+def components_by_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autocorrelation.components_by_quadrant(_marks(spark, sf_dir))
+
+
+@query(f"{_LOCAL_MORAN}, {oracle('edges')}, f AS (SELECT u AS id, arg_min(name, (l_orderkey, l_linenumber, length)) AS name FROM edges GROUP BY 1) SELECT DISTINCT quadrant, name FROM marks JOIN f USING (id)")
+def names_by_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autocorrelation.names_by_quadrant(_marks(spark, sf_dir))
+
+
+_TURN = "sign(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+def _apart(p: str, q: str, r: str, s: str) -> str:
+    return f"{_TURN.format(a=p, b=q, c=r)} * {_TURN.format(a=p, b=q, c=s)} > 0"
+
+
+@query(f"""WITH {_NODES}, {oracle('edges')}, l AS (SELECT a.node AS id, a.x AS p_x, a.y AS p_y, b.x AS q_x, b.y AS q_y FROM nodes_at a JOIN nodes_at b ON b.node = (a.node + 97) % 500),
+s AS (SELECT u, piece, x AS r_x, y AS r_y, x + (piece - 3) * 20e0 AS s_x, y + (piece - 2) * 15e0 AS s_y FROM (SELECT DISTINCT u, v % 7 AS piece FROM edges) JOIN nodes_at ON node = u)
+SELECT id, count(*) AS n FROM l, s WHERE least(p_x, q_x) <= greatest(r_x, s_x) AND least(r_x, s_x) <= greatest(p_x, q_x) AND least(p_y, q_y) <= greatest(r_y, s_y) AND least(r_y, s_y) <= greatest(p_y, q_y)
+ AND NOT ({_apart('p_', 'q_', 'r_', 's_')} OR {_apart('r_', 's_', 'p_', 'q_')}) GROUP BY id""")
+def lines_across_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pieces of streets each line crosses or touches."""
+    lines = autocorrelation.segments(_lines(spark, sf_dir))
+    n = points(spark, sf_dir, "nodes").select(F.col("node").alias("u"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    seg = pieces(table(spark, sf_dir, "edges").select("u", "v").distinct().join(n, "u"))
+    return spatial.crossing_segments(lines, seg, 300.0, ["id"], ["u", "piece"]).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -444,12 +562,15 @@ def raster_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.slopes(_dem(spark, sf_dir), 100.0).select("row", "col", F.round("slope", 6).alias("slope"))
 
 
-@query()
+@query(f"""{_MOSAIC}{_HORN}, {oracle('edges')}, e AS (SELECT DISTINCT u || '/' || v AS id, u % 40 * 100e0 + 50 AS x0, v % 30 * 100e0 + 50 AS y0 FROM edges), k AS (SELECT ceil(sqrt(150e0 * 150 + 90e0 * 90) / 25e0) + 1 AS n),
+s AS (SELECT id, x0, y0, n, unnest(range(0, CAST(n AS BIGINT) + 1)) AS i FROM e, k), under AS (SELECT DISTINCT id, floor((y0 + 90e0 * i / n) / 100e0) AS r, floor((x0 + 150e0 * i / n) / 100e0) AS c FROM s),
+m AS (SELECT id, avg(slope) AS slope FROM under LEFT JOIN slopes USING (r, c) GROUP BY 1)
+SELECT id, round(slope, 6) AS slope, CASE WHEN slope < 0 THEN NULL WHEN slope < 3 THEN '0-3: flat' WHEN slope < 5 THEN '3-5: mild' WHEN slope < 8 THEN '5-8: medium' WHEN slope < 10 THEN '8-10: hard' WHEN slope < 20 THEN '10-20: extreme' WHEN slope IS NOT NULL THEN '>20: impossible' END AS slope_class FROM m""")
 def edge_mean_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets lie across the raster by their numbers."""
     e = table(spark, sf_dir, "edges").select("u", "v").distinct().withColumns({"id": F.concat_ws("/", "u", "v"), "x0": F.col("u") % 40 * 100.0 + 50, "y0": F.col("v") % 30 * 100.0 + 50})
     e = e.withColumns({"x1": F.col("x0") + 150, "y1": F.col("y0") + 90})
-    return terrain.edge_slopes(e, terrain.slopes(_dem(spark, sf_dir), 100.0), 100.0, "id")
+    return terrain.edge_slopes(e, terrain.slopes(_dem(spark, sf_dir), 100.0), 100.0, "id").withColumn("slope", F.round("slope", 6))
 
 
 @query(f"WITH {oracle('edges')} SELECT DISTINCT name, unnest(string_split(name, ' ')) AS part FROM edges")
