@@ -116,7 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _digests(spark, known_texts()) + sorted(DIGESTS.items())
     known = F.broadcast(spark.createDataFrame(texts, "digest string, license_id string"))
-    lines = F.filter(F.split("text", "\\n"), lambda x: F.lower(x).contains("under "))
+    lines = F.filter(F.split("text", "\\n"), lambda x: F.lower(x).rlike("under[^a-z0-9\\x{80}-\\x{10FFFF}]"))  # as the canonical form would have "under "
     notices = _digests(spark, known_notices())
     listed = lambda pairs: F.from_json(F.lit("{" + ",".join(f'"{d}":"{n}"' for d, n in pairs) + "}"), "map<string,string>")
     found = F.array_intersect(F.transform(lines, lambda x: digest(F.regexp_replace(x, _NOTICED, "$1"))), F.array(*(F.lit(d) for d, _ in notices)))
@@ -143,7 +143,7 @@ WITH texts AS (SELECT DISTINCT license_id, sha256({_canonical_sql('t')}) AS dige
 notes AS (SELECT DISTINCT license, sha256({_canonical_sql('t')}) AS digest FROM (VALUES {_values_sql(known_notices())}) k(license, t)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, {_canonical_sql('text')} AS form FROM documents),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-found AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT rid, license FROM lines JOIN notes ON sha256({_canonical_sql('line')}) = notes.digest WHERE line ILIKE '%under %') GROUP BY rid)
+found AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT rid, license FROM lines JOIN notes ON sha256({_canonical_sql('line')}) = notes.digest WHERE regexp_matches(lower(line), 'under[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]')) GROUP BY rid)
 SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, license_id, coalesce(notices, '') AS notices
 FROM d LEFT JOIN texts ON form <> '' AND sha256(form) = texts.digest LEFT JOIN found USING (rid)
 """

@@ -40,7 +40,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A pair is checked if its estimate is at most this far below the threshold: over five standard deviations.
 SLACK = 0.2
 STRAY_BLOCK, MEMBER_BLOCK = 256, 512
-SALTED, BROADCAST_KEYS = 4096, 1_000_000
+SALTED, BROADCAST_KEYS = 512, 1_000_000
 
 _rng = np.random.default_rng(20140)
 _A = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)

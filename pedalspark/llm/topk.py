@@ -3,14 +3,16 @@
 Components are whole numbers, ``floor(scale * x)``. The approximation file keeps one of 64 cells for each component
 (cells by quantiles of a bounded sample, bounded outside by the true extremes). A first scan reads cells alone and bounds
 every score; the kth best lower bound of a query rules out all vectors whose upper bound is below it. Exact vectors are
-then read in the order of their bounds until the kth result is certain.
+then read in the order of their bounds: the first ``FIRST`` of each query, and after them only those whose bound is not
+below the kth score found, until the kth result is certain.
 
 Queries and vectors are dealt in blocks of bounded size, and a task sees one block of each. Equal vectors are one entry
 with its k + 1 smallest ids, the only ones that can be results, so copies cost nothing.
 
 Defined cases: null and empty vectors, those with null or non-finite components and rows with a null id take part in nothing;
-vectors are compared with those of their own length; a repeated id stands once for each row; fewer than k others: all of
-them; an empty table gives an empty result; further columns are ignored.
+vectors are compared with those of their own length; every row is a vector and, if its id asks, a query of its own, so a
+repeated id is a candidate of its other rows and a repeated query returns its results once for each row; ties go to the
+smaller id; fewer than k others: all of them; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .cluster import stored
 
-CELLS, SAMPLE = 64, 20_000
+CELLS, SAMPLE, FIRST = 64, 20_000, 32
 QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -86,8 +88,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     nodes = stored(distinct_vectors(rows, k), "vectors")
     bounds = cell_bounds(nodes)
     cells = stored(approximations(nodes, bounds), "cells")
-    asked = rows.filter(F.col("vec_id") % every == 0).distinct()
-    queries = stored(asked.join(nodes, "code").select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "code").alias("query"), "code", "dim", F.col("node").alias("own"), (F.size("ids") == 1).alias("alone")), "queries")
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "code").agg(F.count("*").alias("times"))
+    queries = stored(asked.join(nodes, "code").select("times", F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "code").alias("query"), "code", "dim", F.col("node").alias("own"), (F.size("ids") == 1).alias("alone")), "queries")
     query_blocks, vector_blocks = -(-queries.count() // QUERY_BLOCK) or 1, -(-cells.count() // VECTOR_BLOCK) or 1
     dealt = lambda df, key, n, m, mine, other: df.withColumn(mine, F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
     left = dealt(queries.select("query", "own", "alone", "code", "dim"), "query", query_blocks, vector_blocks, "qb", "vb")
@@ -117,13 +119,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     kth = F.min(F.when(F.col("r") <= k, F.col("low"))).over(Window.partitionBy("query"))
     full = F.max("r").over(Window.partitionBy("query")) >= k
     near = ranked.withColumn("kth", F.when(full, kth)).filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query", "node", "high")
-    exact = near.join(nodes.select("node", F.col("code").alias("other"), "ids"), "node").join(queries.select("query", "query_id", "code"), "query")
+    near = stored(near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("high"), "node"))), "near")
 
     def read(table: pa.Table) -> pa.Table:
         """One query: exact vectors by descending bound, k at a time, until the kth score is above all bounds left."""
         order = np.argsort(-table.column("high").to_numpy(), kind="stable")
         high = table.column("high").to_numpy()[order]
-        q = np.array(table.column("code")[0].as_py(), np.int64)
+        q, own = np.array(table.column("code")[0].as_py(), np.int64), table.column("own")[0].as_py()
         query, best = table.column("query_id")[0].as_py(), []
         for i in range(0, len(order), k):
             if len(best) == k and -best[-1][0] > high[i]:
@@ -131,11 +133,20 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             for at in order[i : i + k].tolist():
                 score = int(q @ np.array(table.column("other")[at].as_py(), np.int64))
                 ids = list(table.column("ids")[at].as_py())
-                if query in ids:
+                if table.column("node")[at].as_py() == own and query in ids:
                     ids.remove(query)
                 best += [(-score, vec) for vec in ids]
             best = sorted(best)[:k]
-        n = len(best)
-        return pa.table({"query_id": pa.array([query] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([v for _, v in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.int64())})
-
-    return exact.groupBy("query").applyInArrow(read, RESULT)
+        n, times = len(best), table.column("times")[0].as_py()
+        return pa.table({"query": pa.array([table.column("query")[0].as_py()] * n, pa.int64()), "query_id": pa.array([query] * n, pa.int64()), "times": pa.array([times] * n, pa.int64()), "vec_id": pa.array([v for _, v in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.int64())})
+
+    def exact(wanted: DataFrame) -> DataFrame:
+        both = wanted.join(nodes.select("node", F.col("code").alias("other"), "ids"), "node").join(queries.select("query", "query_id", "code", "own", "times"), "query")
+        return both.groupBy("query").applyInArrow(read, "query long, query_id long, times long, vec_id long, score long")
+
+    first = stored(exact(near.filter(F.col("r") <= FIRST)), "first")
+    sure = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    rest = near.filter(F.col("r") > FIRST).join(sure, "query", "left").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).drop("kth")
+    ranked = first.unionByName(exact(rest)).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    again = ranked.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return again.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
