@@ -21,13 +21,16 @@ def wkt_boundary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with a map ``tags`` of named attributes, all text; absent attributes are absent from the map."""
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    """(nodes, edges) with a map ``tags`` of named attributes, all text; absent attributes are absent from the map.
+
+    ``path`` is a file or a folder with files at any depth, as the sink writes them. Attributes without a key keep their id.
+    """
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", True).schema(schema).load(path)
     data = "data array<struct<_VALUE:string,_key:string>>"
     keys = read("key", "_id string, `_attr.name` string, _for string")
     names = keys.select(F.struct("_id", "`_attr.name`").alias("e"))
     names = names.agg(F.map_from_entries(F.collect_list("e")).alias("names")).withColumn("one", F.lit(1))  # the file's few attribute names
-    tags = F.map_from_entries(F.transform(F.filter("data", lambda d: d["_VALUE"].isNotNull()), lambda d: F.struct(F.element_at("names", d["_key"]), d["_VALUE"])))
+    tags = F.map_from_entries(F.transform(F.filter("data", lambda d: d["_VALUE"].isNotNull()), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]), d["_VALUE"])))
     named = lambda df: df.withColumn("one", F.lit(1)).join(F.broadcast(names), "one")
     nodes = named(read("node", f"_id long, {data}")).select(F.col("_id").alias("node"), tags.alias("tags"))
     edges = named(read("edge", f"_source long, _target long, _id int, {data}")).select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.coalesce("_id", F.lit(0)).alias("key"), tags.alias("tags"))
@@ -39,10 +42,16 @@ def listed_names(text: Column) -> Column:
     return F.when(text.isNotNull(), F.split(F.regexp_replace(text, "[\\[\\]']", ""), ", "))
 
 
-def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """(properties, kind, points): features with their coordinates flattened to array<struct<x, y>>, whatever the nesting."""
-    schema = f"features array<struct<properties:struct<{properties}>,geometry:string>>"
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+def geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """(properties, kind, points): features with their coordinates flattened to array<struct<x, y>>, whatever the nesting.
+
+    ``lines``: files with a feature a line, as the sink writes them, instead of whole collections.
+    """
+    feature = f"struct<properties:struct<{properties}>,geometry:string>"
+    if lines:
+        features = spark.read.schema(f"properties struct<{properties}>, geometry string").json(path).select(F.struct("properties", "geometry").alias("f"))
+    else:
+        features = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     numbers = F.regexp_extract_all(F.get_json_object("f.geometry", "$.coordinates"), F.lit("\\[\\s*(-?[0-9.eE+-]+\\s*,\\s*-?[0-9.eE+-]+)[^\\[\\]]*\\]"), 1)
     points = F.transform(numbers, lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("x"), F.trim(F.split(p, ",")[1]).cast("double").alias("y")))
     return features.select("f.properties.*", F.get_json_object("f.geometry", "$.type").alias("kind"), points.alias("points"))
@@ -73,9 +82,9 @@ def pair_key(text: Column) -> Column:
     return F.struct(part(1).alias("source"), part(2).alias("target"))
 
 
-def keyed_paths(spark: SparkSession, path: str) -> DataFrame:
-    """(source, target, path) of a JSON object whose keys are texts of pairs."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<long>>").alias("m"))
+def keyed_paths(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(source, target, path) of a JSON object whose keys are texts of pairs; ``lines``: of an object a line, as the sink writes them."""
+    text = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,array<long>>").alias("m"))
     return text.select(F.explode("m").alias("k", "path")).select(pair_key(F.col("k")).alias("k"), "path").select("k.*", "path")
 
 

@@ -29,7 +29,7 @@ def whole_text(value: Column) -> Column:
 
 
 def graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Folders ``nodes`` and ``edges`` of XML; a missing attribute is absent."""
+    """Folders ``keys``, ``nodes`` and ``edges`` of XML, which the reader takes together; a missing attribute is absent."""
 
     def data(df: DataFrame, ids: list[str]) -> Column:
         rest = [c for c in df.columns if c not in ids]
@@ -37,6 +37,8 @@ def graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         return F.filter(pairs, lambda p: p["_VALUE"].isNotNull() & (p["_VALUE"] != "NaN")).alias("data")
 
     out = lambda df, tag: df.write.format("xml").option("rootTag", "graph").option("rowTag", tag).save(f"{path}/{tag}s")
+    named = [(c, kind, c, "string") for df, kind, ids in ((nodes, "node", ["node"]), (edges, "edge", ["u", "v"])) for c in df.columns if c not in ids]
+    out(nodes.sparkSession.createDataFrame(named, "`_id` string, `_for` string, `_attr.name` string, `_attr.type` string").coalesce(1), "key")
     out(nodes.select(F.col("node").alias("_id"), data(nodes, ["node"])), "node")
     out(edges.select(F.col("u").alias("_source"), F.col("v").alias("_target"), data(edges, ["u", "v"])), "edge")
 
@@ -56,9 +58,11 @@ def geojson(df: DataFrame, path: str, geometry: str, kind: str, properties: list
 
 
 def keyed_json(df: DataFrame, path: str) -> None:
-    """(source, target, ...) with the pair as one text key."""
+    """(source, target, ...): an object a line, from the pair as text to the one further column, or to an object of them."""
     rest = [c for c in df.columns if c not in ("source", "target")]
-    df.select(F.concat(F.lit("("), F.col("source"), F.lit(", "), F.col("target"), F.lit(")")).alias("key"), *rest).write.json(path)
+    value = F.col(rest[0]) if len(rest) == 1 else F.struct(*rest)
+    key = F.concat(F.lit("("), F.col("source"), F.lit(", "), F.col("target"), F.lit(")"))
+    df.select(F.to_json(F.create_map(key, value)).alias("value")).write.text(path)
 
 
 def hexagon_table(df: DataFrame, path: str) -> None:

@@ -9,11 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def folder(spark: SparkSession) -> str:
-    """A temporary folder stands in only where the setting is unset, as in local tests."""
+    """A temporary folder stands in only on one machine, where the setting is unset, as in local tests; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         named = f"file://{tempfile.mkdtemp(prefix='steps-')}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -27,10 +32,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def release() -> None:
+    """Remove all tables stored so far: for callers that have taken their results. It also runs when the driver ends."""
+    while _made:
+        _drop(*_made.pop())
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path, removed when the driver ends."""
+    """A fresh path, removed by ``release``."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    _made.append((spark, path))
     return path
 
 

@@ -25,6 +25,9 @@ def test_graphml(spark, tmp_path):
     sinks.graphml(spark.createDataFrame([(5, 1.5)], "node long, x double"), df, f"{tmp_path}/out")
     text = "".join(r.value for r in spark.read.text(f"{tmp_path}/out/edges").collect())
     assert 'source="5"' in text and ">3<" in text and "name" not in text
+    nodes, edges = readers.graphml(spark, f"{tmp_path}/out")
+    assert [(r.node, dict(r.tags)) for r in nodes.collect()] == [(5, {"x": "1.5"})]
+    assert [(r.u, r.v, dict(r.tags)) for r in edges.collect()] == [(5, 6, {"lanes": "3"})]
 
 
 def test_geojson(spark, tmp_path):
@@ -37,13 +40,17 @@ def test_geojson(spark, tmp_path):
     df = spark.createDataFrame([("1", [(1.0, 2.0), (3.0, 4.0)])], "n string, line array<struct<x:double,y:double>>")
     sinks.geojson(df, f"{tmp_path}/g", "line", "LineString", ["n"])
     assert spark.read.json(f"{tmp_path}/g").first().geometry.coordinates == [[1.0, 2.0], [3.0, 4.0]]
+    back = readers.geojson(spark, f"{tmp_path}/g", "n:string", lines=True).first()
+    assert (back.n, back.kind) == ("1", "LineString") and [(p.x, p.y) for p in back.points] == [(1.0, 2.0), (3.0, 4.0)]
 
 
 def test_json_keys_and_names(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"(1, 22)": [1, 5, 22], "(3, 4)": [3, 4]}')
     assert {(r.source, r.target): list(r.path) for r in readers.keyed_paths(spark, f"{tmp_path}/p.json").collect()} == {(1, 22): [1, 5, 22], (3, 4): [3, 4]}
     sinks.keyed_json(spark.createDataFrame([(1, 22, 5.0)], "source long, target long, d double"), f"{tmp_path}/k")
-    assert spark.read.json(f"{tmp_path}/k").first().key == "(1, 22)"
+    assert spark.read.text(f"{tmp_path}/k").first().value == '{"(1, 22)":5.0}'
+    sinks.keyed_json(spark.createDataFrame([(1, 22, [1, 5, 22]), (3, 4, [3, 4])], "source long, target long, path array<long>"), f"{tmp_path}/kp")
+    assert {(r.source, r.target): list(r.path) for r in readers.keyed_paths(spark, f"{tmp_path}/kp", lines=True).collect()} == {(1, 22): [1, 5, 22], (3, 4): [3, 4]}
     df = spark.createDataFrame([("<osm><relation><tag k='name' v='X'/><tag k='population' v='107317'/></relation></osm>",), ("<osm/>",)], "d string")
     assert [r.p for r in df.select(readers.population_of(F.col("d")).alias("p")).collect()] == [107317, None]
     f = spark.createDataFrame([('A/B "x"', "school", None, 1.0, 2.0), ("c", None, "bar", 1.0, 2.0)], "name string, amenity string, leisure string, lon double, lat double")

@@ -55,8 +55,9 @@ def closure(rows, both=False):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, small", [(1, 0), (2, 0), (1, 1000), (2, 1000)])
+def test_components(spark, seed, small, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", small)
     rows = random_edges(seed, 40, 30)
     df = frame(spark, rows)
     weak = closure(rows, True)
@@ -68,7 +69,10 @@ def test_components(spark, seed):
     assert {r.node for r in graph.components(df, nodes_of(spark, 45)).collect()} == set(range(45))
 
 
-def test_long_chain(spark):
+def test_long_chain(spark, monkeypatch):
+    assert graph.components(spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))).select("component").distinct().count() == 1
+    assert graph.components(spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))).count() == 0
+    monkeypatch.setattr(graph, "SMALL", 0)
     df = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert graph.components(df).select("component").distinct().count() == 1
 
