@@ -36,6 +36,12 @@ def usable(destinations: DataFrame, keep_unnamed: bool = False) -> DataFrame:
     return destinations.filter(named & F.col("type").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
 
 
+def of_taxonomy(spark: SparkSession, features: DataFrame, tag: str = "amenity") -> DataFrame:
+    """The features whose ``tag`` is a type of the taxonomy, with it as ``type``."""
+    types = F.broadcast(taxonomy(spark).select("type"))  # the fixed table above
+    return features.withColumn("type", F.col(tag)).join(types, "type", "left_semi")
+
+
 def first_at_place(destinations: DataFrame, order: list[str]) -> DataFrame:
     """One destination for each place, the first by ``order``."""
     rest = [c for c in destinations.columns if c not in ("lon", "lat")]
@@ -124,6 +130,13 @@ def hex_sums(points: DataFrame, hexes: DataFrame, size: float, value: str | None
     return hexes.select("q", "r").join(sums, ["q", "r"], "left").withColumn(name, F.coalesce(name, F.lit(1 if count_empty and not value else 0)))
 
 
+def hex_edges(edges: DataFrame, nodes: DataFrame, size: float, low_only: bool = False) -> DataFrame:
+    """(q, r, u, v): the streets that leave each hexagon's nodes (node, x, y), a row each; ``low_only``: those of low stress."""
+    at = with_hex(nodes.select(F.col("node").alias("u"), "x", "y"), size).select("u", "q", "r")
+    of = edges.filter(F.col("lts").isin(1, 2)) if low_only else edges
+    return of.select("u", "v").join(at, "u").select("q", "r", "u", "v").distinct()
+
+
 def hex_means(points: DataFrame, values: DataFrame, size: float, columns: list[str], key: str = "node") -> DataFrame:
     """(q, r, n and the mean of each column) of ``values`` (key, columns) by the hexagon of their point (key, x, y)."""
     at = with_hex(points.select(key, "x", "y"), size).select(key, "q", "r")

@@ -191,3 +191,16 @@ def consolidated(nodes: DataFrame, edges: DataFrame, tolerance: float = 5.0, dea
     centre = kept.join(labels, "node").groupBy("component").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return labels.join(centre, "component").select("node", F.col("component").alias("junction"), "x", "y")
 
+
+
+def reconnected(edges: DataFrame, junctions: DataFrame) -> DataFrame:
+    """(u, v, n): the streets between consolidated ``junctions`` (node, junction), those within one left out; n streets each."""
+    of = lambda c: junctions.select(F.col("node").alias(c), F.col("junction").alias(f"j{c}"))
+    return edges.join(of("u"), "u").join(of("v"), "v").filter("ju <> jv").groupBy(F.col("ju").alias("u"), F.col("jv").alias("v")).agg(F.count("*").alias("n"))
+
+
+def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, degree, centrality): the degree over the number of other nodes; 0 for nodes without a street."""
+    one = nodes.agg((F.count("*") - 1).alias("_n")).withColumn("_k", F.lit(1))
+    all_ = nodes.select("node").join(degrees(edges).select("node", "degree"), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return all_.withColumn("_k", F.lit(1)).join(one, "_k").select("node", "degree", (F.col("degree") / F.col("_n")).alias("centrality"))

@@ -80,6 +80,12 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
         radius = min(radius * 2, reach * 1.001)
 
 
+def near_any(points: DataFrame, segments: DataFrame, radius: float, key: str) -> DataFrame:
+    """``points`` (key, x, y) at most ``radius`` from any segment: inside the boundary that widened streets draw."""
+    found = near_segments(points.select(key, "x", "y"), segments.select("x0", "y0", "x1", "y1"), radius, [key])
+    return points.join(found.select(key), key, "left_semi")
+
+
 def crossing_segments(left: DataFrame, right: DataFrame, size: float, keys: list[str], other: list[str]) -> DataFrame:
     """(keys, other): segments (x0, y0, x1, y1) of both tables that cross or touch, by the cells of their boxes; each pair once."""
     names = ("x0", "y0", "x1", "y1")

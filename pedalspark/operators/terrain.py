@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import percentiles
-from .lts import slope_class
+from ..functions.stats import percentiles, running_before
+from ..storage import stored
+from .graph import components
+from .lts import major_roads, slope_class
 from .spatial import nearest, within
 
 
@@ -78,3 +80,15 @@ def context_by_quintile(edges: DataFrame, buildings: DataFrame, key: str = "id")
     """The radius is the 60th percentile of the distances between neighbouring buildings."""
     radius = percentiles(building_distances(buildings), "distance", {"p60": 0.6}).first()[0]
     return context(edges, buildings, radius, key) if radius and not math.isnan(radius) else edges.withColumn("context", F.lit("countryside"))
+
+
+def legacy_network(edges: DataFrame) -> DataFrame:
+    """(u, v, group): main roads by the connected part of the network they are in; parts are numbered from 1, the largest first.
+
+    ``filter("group = 1")`` leaves the one network that an older procedure kept.
+    """
+    roads = stored(major_roads(edges).filter("u <> v").select("u", "v"), "roads")
+    labels = stored(components(roads), "labels")
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n")).withColumns({"_down": -F.col("n"), "_one": F.lit(1)})
+    numbers = running_before(sizes, [], ["_down", "component"], "_one", "_b").select("component", (F.col("_b") + 1).alias("group"))
+    return roads.join(labels.withColumnRenamed("node", "u"), "u").join(numbers, "component").select("u", "v", "group")

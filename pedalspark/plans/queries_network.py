@@ -37,16 +37,21 @@ def top_k_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top(graph.degrees(table(spark, sf_dir, "edges")), "degree", "node", 10).select("node", "degree")
 
 
-@query(f"WITH {oracle('edges')}, {oracle('nodes')}, n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT count(*) AS m FROM edges) SELECT n AS n_nodes, m AS n_edges, CAST(0 AS BIGINT) AS n_isolates, round(2.0e0 * m / n, 9) AS average_degree, round(m / (n * (n - 1.0e0)), 9) AS density FROM n, m")
+@query(f"WITH {oracle('edges')}, {oracle('nodes')}, n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT count(*) AS m FROM edges), o AS (SELECT count(*) AS o FROM nodes WHERE node NOT IN (SELECT u FROM edges) AND node NOT IN (SELECT v FROM edges)) SELECT n AS n_nodes, m AS n_edges, o AS n_isolates, round(2.0e0 * m / n, 9) AS average_degree, round(m / (n * (n - 1.0e0)), 9) AS density FROM n, m, o")
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = graph.summary(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges"))
     return df.select("n_nodes", "n_edges", "n_isolates", F.round("average_degree", 9).alias("average_degree"), F.round("density", 9).alias("density"))
 
 
-@query(f"WITH {oracle('nodes')}, {STREETS}, low AS (SELECT u, v FROM streets WHERE lts = 1) SELECT node FROM nodes WHERE node NOT IN (SELECT u FROM low) AND node NOT IN (SELECT v FROM low)")
+@query(f"WITH {oracle('nodes')}, {STREETS}, lanes AS (SELECT u, v FROM streets WHERE rule = 'b7') SELECT node FROM nodes WHERE node NOT IN (SELECT u FROM lanes) AND node NOT IN (SELECT v FROM lanes)")
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junctions that no street of the lowest stress meets."""
-    return graph.isolates(table(spark, sf_dir, "nodes"), graph.by_stress(stressed(spark, sf_dir), 1)).select("node")
+    """Junctions that no street with a bike lane at 51 to 55 km/h meets."""
+    return graph.isolates(table(spark, sf_dir, "nodes"), stressed(spark, sf_dir).filter("rule = 'b7'")).select("node")
+
+
+@query(f"WITH {oracle('edges')}, {oracle('nodes')}, d AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY 1) SELECT node, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) / (SELECT count(*) - 1.0e0 FROM nodes), 9) AS centrality FROM nodes LEFT JOIN d USING (node)")
+def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree_centrality(table(spark, sf_dir, "edges"), table(spark, sf_dir, "nodes")).withColumn("centrality", F.round("centrality", 9))
 
 
 @query(f"WITH {STREETS} SELECT u AS node FROM streets GROUP BY u HAVING bool_or(lts IN (1, 2)) AND bool_or(lts IN (3, 4))")
@@ -110,6 +115,15 @@ def consolidated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("node", "junction", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+@query(f"""WITH RECURSIVE {oracle('edges')}, {_at('nodes', 'x', 'y')}, ends AS (SELECT node, count(DISTINCT o) AS k FROM (SELECT u AS node, v AS o FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v) GROUP BY 1),
+n AS (SELECT node, x, y FROM nodes_at LEFT JOIN ends USING (node) WHERE coalesce(k, 0) <> 1), links AS MATERIALIZED (SELECT a.node AS u, b.node AS v FROM n a JOIN n b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 150),
+reach(a, b) AS (SELECT node, node FROM n UNION SELECT reach.a, links.v FROM reach JOIN links ON reach.b = links.u), c AS (SELECT a AS node, min(b) AS j FROM reach GROUP BY 1)
+SELECT a.j AS u, b.j AS v, count(*) AS n FROM edges e JOIN c a ON e.u = a.node JOIN c b ON e.v = b.node WHERE a.j <> b.j GROUP BY 1, 2""")
+def consolidated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "edges")
+    return graph.reconnected(e, graph.consolidated(points(spark, sf_dir, "nodes"), e, 150.0))
+
+
 #: Lengths count tenths of a millimetre where paths are compared, so that sums are whole numbers and ties are exact.
 UNIT = 10_000
 CUTOFF = 2000.0
@@ -343,3 +357,8 @@ def gap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_edge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, found = _gaps(spark, sf_dir)
     return gaps.gap_edges(found, e).groupBy("is_gap").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {STREETS}, {_at('nodes', 'x', 'y')}, {_hex('nodes')} SELECT DISTINCT q, r, u, v FROM streets JOIN (SELECT node AS u, q, r FROM nodes_hex) USING (u) WHERE lts IN (1, 2)")
+def hex_low_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.hex_edges(stressed(spark, sf_dir), points(spark, sf_dir, "nodes"), HEX, low_only=True)

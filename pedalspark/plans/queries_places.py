@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from ..operators import access, accidents, autocorrelation, clusters, clusters_hierarchical, risk, spatial, terrain
+from ..operators import access, accidents, autocorrelation, clusters, clusters_hierarchical, lts, risk, spatial, terrain
 from ..sources import readers
 from ..storage import stored
 from .adapters import oracle, table
@@ -73,6 +73,12 @@ def urban_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.context(points(spark, sf_dir, "nodes"), points(spark, sf_dir, "buildings"), 30.0, "node").select("node", "context")
 
 
+@query(f"""WITH {_at('buildings')}, {_at('nodes', 'x', 'y')}, d AS (SELECT sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS distance FROM (SELECT id, x, y FROM buildings_at) a JOIN (SELECT id AS other, x, y FROM buildings_at) b ON a.id <> b.other AND b.x BETWEEN a.x - 400 AND a.x + 400 GROUP BY id), far AS (SELECT quantile_cont(distance, 0.6) AS r FROM d)
+SELECT node, CASE WHEN EXISTS (SELECT 1 FROM buildings_at b, far WHERE (b.x - n.x) * (b.x - n.x) + (b.y - n.y) * (b.y - n.y) <= r * r) THEN 'urban' ELSE 'countryside' END AS context FROM nodes_at n""")
+def context_by_quintile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.context_by_quintile(points(spark, sf_dir, "nodes"), points(spark, sf_dir, "buildings"), "node").select("node", "context")
+
+
 _NODES = _at("nodes", "x", "y")
 
 
@@ -102,6 +108,21 @@ near AS (SELECT id, lts, highway, coalesce(lanes, CAST(lanes_assumed AS VARCHAR)
  FROM t JOIN streets s ON t.u = s.u AND t.piece = s.v % 7 WHERE sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2) <= 10)"""
 
 
+@query(f"{_NEAR} SELECT a.id, count(near.id) AS n FROM accidents_at a LEFT JOIN near ON near.id = a.id WHERE anno BETWEEN 2018 AND 2023 GROUP BY 1")
+def accident_street_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many streets each accident of the years matches, 0 included."""
+    n = accidents_on_streets(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
+    return accidents.in_years(points(spark, sf_dir, "accidents")).select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"{_NEAR} SELECT kind, count(*) AS n FROM accidents_at WHERE id IN (SELECT id FROM accidents_at a JOIN seg ON a.x BETWEEN x0 - 130 AND x0 + 130 AND a.y BETWEEN y0 - 130 AND y0 + 130 WHERE sqrt((x - x0 - CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN greatest(0e0, least(1e0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) ELSE 0e0 END * (x1 - x0)) ** 2 + (y - y0 - CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN greatest(0e0, least(1e0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) ELSE 0e0 END * (y1 - y0)) ** 2) <= 40) GROUP BY 1")
+def within_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accidents at most 40 m from any piece of street, by kind."""
+    n = points(spark, sf_dir, "nodes").select(F.col("node").alias("u"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    seg = pieces(table(spark, sf_dir, "edges").select("u", "v").distinct().join(n, "u"))
+    return spatial.near_any(points(spark, sf_dir, "accidents"), seg, 40.0, "id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query(f"{_NEAR} SELECT highway, count(*) AS accident_count FROM near GROUP BY 1")
 def accidents_by_highway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accidents.by_highway(accidents_on_streets(spark, sf_dir))
@@ -282,6 +303,11 @@ def destination_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.first_at_place(table(spark, sf_dir, "destinations"), ["id"]).select("lon", "lat", "id", "type")
 
 
+@query(f"WITH {oracle('destinations')}, tax AS (SELECT DISTINCT type FROM (VALUES {_TYPES}) t(type, category, type_weight, category_weight, points)) SELECT type, count(*) AS n FROM destinations JOIN tax USING (type) GROUP BY 1")
+def destinations_of_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.of_taxonomy(spark, table(spark, sf_dir, "destinations").withColumnRenamed("type", "amenity")).groupBy("type").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {oracle('destinations')} SELECT type, count(*) AS n FROM destinations WHERE name IS NOT NULL GROUP BY 1")
 def destination_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.usable(table(spark, sf_dir, "destinations")).groupBy("type").agg(F.count("*").alias("n"))
@@ -541,6 +567,14 @@ def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("component", F.to_json("counts").alias("counts"), F.to_json("mean_z").alias("mean_z"), "share_significant")
 
 
+@query(f"""WITH RECURSIVE {oracle('edges')}, roads AS MATERIALIZED (SELECT u, v FROM edges WHERE u <> v AND highway IN ({', '.join(repr(r) for r in lts.MAJOR_ROADS)})), w AS (SELECT u AS a, v AS b FROM roads UNION SELECT v, u FROM roads),
+lab(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM w UNION SELECT w.b, min(f.c) FROM lab f JOIN w ON w.a = f.id JOIN recurring.lab r ON r.id = w.b WHERE f.c < r.c GROUP BY w.b),
+sizes AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) AS g FROM lab GROUP BY c) SELECT g AS "group", count(*) AS n FROM roads JOIN lab ON lab.id = u JOIN sizes USING (c) GROUP BY 1""")
+def legacy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main roads by the part of the network that they are in."""
+    return terrain.legacy_network(table(spark, sf_dir, "edges")).groupBy("group").agg(F.count("*").alias("n"))
+
+
 def _dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     raw = o.select(F.floor(F.col("o_orderkey") / 40).cast("int").alias("row"), (F.col("o_orderkey") % 40).cast("int").alias("col"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") * 3) % 200).cast("double").alias("z"), F.col("o_custkey").alias("tile"))

@@ -104,3 +104,18 @@ def clean_name(name: Column) -> Column:
 def raster_csv(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, z) of a raster exported in long form."""
     return spark.read.schema("row int, col int, z double").option("header", True).csv(path)
+
+
+def raster_parquet(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, rows_a_band: int = 512) -> DataFrame:
+    """(row, col, value) of a raster in bands, or of the rows from ``rows[0]`` up to ``rows[1]``."""
+    df = spark.read.parquet(path)
+    if rows:
+        df = df.filter(F.col("band").between(rows[0] // rows_a_band, rows[1] // rows_a_band) & F.col("row").between(*rows))
+    return df.drop("band")
+
+
+def centroids(features: DataFrame, points: str = "points") -> DataFrame:
+    """``features`` with lon and lat of the middle of their outline's corners, each corner once."""
+    corners = F.array_distinct(F.col(points))
+    mean = lambda c: F.aggregate(corners, F.lit(0.0), lambda a, p: a + p[c]) / F.size(corners)
+    return features.withColumns({"lon": mean("x"), "lat": mean("y")})

@@ -72,3 +72,9 @@ def hexagon_table(df: DataFrame, path: str) -> None:
 
 def text_dump(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
+
+
+def raster_parquet(raster: DataFrame, path: str, value: str = "z", rows_a_band: int = 512) -> None:
+    """A raster in long form (row, col, value), in bands of rows, so that a reader of a region skips the others."""
+    band = F.floor(F.col("row") / rows_a_band)
+    raster.select("row", "col", value, band.alias("band")).repartitionByRange("band", "row").sortWithinPartitions("row", "col").write.partitionBy("band").parquet(path)

@@ -76,3 +76,13 @@ def test_report(spark):
     text = report.markdown("Bolzano", {"Gap Analysis": {"Gaps": t}}, accidents=False)
     assert "| 1 | a |" in text and "Accident" not in text
     assert "Section 8: Sum-Up Analysis" in report.markdown("Trento", {}, accidents=True)
+
+
+def test_rasters_and_centroids(spark, tmp_path):
+    dem = spark.range(2000).select((F.col("id") / 2).cast("int").alias("row"), (F.col("id") % 2).cast("int").alias("col"), F.col("id").cast("double").alias("z"))
+    sinks.raster_parquet(dem, f"{tmp_path}/r", rows_a_band=100)
+    assert sorted(map(tuple, readers.raster_parquet(spark, f"{tmp_path}/r").collect())) == sorted(map(tuple, dem.collect()))
+    some = readers.raster_parquet(spark, f"{tmp_path}/r", (150, 160), 100)
+    assert {r.row for r in some.collect()} == set(range(150, 161)) and "PartitionFilters: [" in some._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)],)], "points array<struct<x:double,y:double>>")
+    assert tuple(readers.centroids(df).select("lon", "lat").first()) == (2.0, 1.0)
