@@ -9,8 +9,9 @@ Training takes windows at hashed places of at most about ``per_language`` texts
 number), on the driver.
 
 Defined cases: ``und`` and score 0 for null texts and those without a letter, or if no labelled text is there; null
-languages are not learned; repeated rows are predicted alike; extra columns are ignored; an empty table gives an empty
-result.
+languages are not learned; repeated rows are predicted alike; equal probabilities go to the language that stands first
+in the alphabet; a text of any length is cut into windows block by block; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ without the statement; the digest column stays that of the first form. The lists
 broadcast; no text is shuffled.
 
 Defined cases: null texts and those without letters or digits have a null digest and no licence; repeated rows have
-equal results; extra columns are ignored; an empty table gives an empty result.
+equal results; several notices are listed in alphabetical order, each once; a text of any length has one digest; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

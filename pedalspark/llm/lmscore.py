@@ -14,7 +14,9 @@ A document's losses are means over its tokens; ``score`` is the target's loss le
 to the target.
 
 Defined cases: null, empty and wordless texts have no tokens and null losses; an empty target leaves uniform
-probabilities; repeated rows are counted and scored each; an empty table gives an empty result.
+probabilities; repeated rows are counted and scored each; equal scores are no case of their own, as nothing is ranked; a
+text of any length is a slice of its own, whose tokens are dealt out like all others; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -220,8 +220,8 @@ def block_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
     """
     sizes = members.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
     info = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("major_c"), F.sum("n").alias("q"), F.max("n").alias("m"))
-    info = info.select("band", "key", "major_c", F.ceil(F.col("q") / MEMBER_BLOCK).alias("mbs"), F.ceil((F.col("q") - F.col("m")) / STRAY_BLOCK).alias("sbs"))
-    rows = members.join(info, ["band", "key"]).withColumn("major", F.col("c") == F.col("major_c")).join(nodes.select("node", "registers", "n_shingles"), "node")
+    info = stored(info.select("band", "key", "major_c", "q", F.ceil(F.col("q") / MEMBER_BLOCK).alias("mbs"), F.ceil((F.col("q") - F.col("m")) / STRAY_BLOCK).alias("sbs")), "info")
+    rows = spread(members, info.drop("q"), ["band", "key"], info.select("band", "key", F.col("q").alias("n"))).withColumn("major", F.col("c") == F.col("major_c")).join(nodes.select("node", "registers", "n_shingles"), "node")
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = rows.filter(~F.col("major")).withColumn("sb", block("sbs")).withColumn("mb", every("mbs"))

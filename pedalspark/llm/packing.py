@@ -6,7 +6,8 @@ a count in the piece's own partition plus the sum over earlier partitions: no gr
 different from any other.
 
 Defined cases: a null text is an empty one; an empty text is one piece that holds the end id alone; repeated rows are
-documents of their own; a null doc_id is kept; an empty table gives an empty result; further columns are ignored.
+documents of their own; a null doc_id is kept; pieces of equal length are placed in the order of their tasks and rows;
+a text of any length is encoded in parts and cut into pieces; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ fixed number of score bins. Both take all labelled rows; no sample is drawn.
 
 Defined cases: null and empty texts have statistics of their own (zeros) and a score; labels that are null or without a
 document are left out, repeated labels count as often as they stand; without labels of both classes every score is the
-share of ones, 0.5 if there are none; an empty table gives an empty result.
+share of ones, 0.5 if there are none; repeated rows have equal scores, and equal scores are no case of their own, as
+nothing is ranked; a text of any length is counted in pieces; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ A row goes to the shard with the lowest ``-ln(u) / weight``, where u comes from
 One more shard takes rows only into itself, and no table of rows or shards is kept.
 
 Defined cases: a null text has no bytes (size 16, CRC 0); a null doc_id is one more key; repeated rows go to one shard
-under slots of their own; an empty table gives an empty result; further columns are ignored.
+under slots of their own; equal costs go to the lower shard; a text of any length is only measured; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
