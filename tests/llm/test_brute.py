@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pedalspark.llm import langid, licences, quality, sharding
+from pedalspark.llm import langid, licences, neardup, quality, sharding, textbytes
 from pedalspark.llm.textbytes import utf8
 
 from .fixtures import documents, prose, table
@@ -137,3 +137,35 @@ def test_every_known_licence_is_found(spark):
     got = {r.doc_id: r for r in licences.scan(table(spark, rows)).collect()}
     assert [got[i].license_id for i in range(len(known))] == [name for name, _ in known]
     assert [got[i].notices for i in (1000, 1001, 1002)] == ["MIT", "MIT", ""]
+
+
+def test_words_and_hashes_do_not_hang_on_pieces(monkeypatch):
+    texts = ["ab cd" * 40, "x" * 100, "", None, "tail " * 9 + "y" * 50]
+    column = pa.array(texts, pa.string())
+
+    def hashed():
+        textbytes._powers.cache_clear()
+        buf, offsets = utf8(column)
+        starts, ends, first = textbytes.spans(buf, offsets)
+        return starts.tolist(), ends.tolist(), first.tolist(), textbytes.word_hashes(buf, starts, ends, lower=True).tolist()
+
+    whole = hashed()
+    for piece, segment in ((7, 1 << 18), (1 << 20, 16), (5, 33)):
+        monkeypatch.setattr(textbytes, "PIECE", piece)
+        monkeypatch.setattr(textbytes, "SEGMENT", segment)
+        assert hashed() == whole
+    monkeypatch.undo()
+    textbytes._powers.cache_clear()
+
+
+def test_one_long_text_and_one_long_word():
+    """What the text operators do in Python, on 12 MB in one text and 6 MB in one word."""
+    column = pa.array([prose(1, 1000) + " ", "w" * 6_000_000, None], pa.string())
+    column = pa.concat_arrays([pa.array([column[0].as_py() * 2000]), column[1:]])
+    hashes, first = neardup.text_sets(column, 5)
+    assert np.diff(first).tolist()[1:] == [1, 0] and 990 <= first[1] <= 1010
+    stats = quality.statistics(column)
+    assert np.isfinite(stats).all() and stats[1, 1:13].max() > 0.9
+    net = langid.ByteCnn(["a", "b"])
+    monkey = langid.mean_probabilities(net, net.tables(), *utf8(column.slice(1)))
+    assert np.allclose(monkey.sum(1), [1, 0], atol=1e-3)
