@@ -1,8 +1,9 @@
 """Density clusters and their quality.
 
 ``dbscan`` works on distinct places with weights, in cells whose diagonal is the radius: all points of a cell with enough
-weight are core points and in one cluster, so dense places cost nothing. Only thin cells count neighbours, and cells are
-linked by the first close pair of core points that is found.
+weight are core points and in one cluster, so dense places cost nothing. Only thin cells count neighbours. Cells are
+linked where their outermost core points, eight a cell, are close; only pairs that these leave open compare all their core
+points, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -41,12 +42,17 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "id") ->
     weight = around.join(other, ["i", "j"]).filter(d2 <= eps * eps).groupBy("p").agg(F.sum("w").alias("nw"))
     thin_core = thin.join(weight.filter(F.col("nw") >= min_samples).select("p"), "p")
     core = stored(dense.select("i", "j", "p", "x", "y").unionByName(thin_core.select("i", "j", "p", "x", "y")), "core")
-    core_cells = core.groupBy("i", "j").agg(F.min("p").alias("c"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    at, plus, minus = F.struct("x", "y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")
+    outer = F.array(*(f(at, c) for c in (F.col("x"), F.col("y"), plus, minus) for f in (F.min_by, F.max_by)))
+    core_cells = core.groupBy("i", "j").agg(F.min("p").alias("c"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), outer.alias("o"))
     core_cells = stored(core_cells, "cells")
-    them = core_cells.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("c").alias("tc"), *(F.col(n).alias(f"t{n}") for n in ("x0", "x1", "y0", "y1")))
+    them = core_cells.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("c").alias("tc"), F.col("o").alias("to"), *(F.col(n).alias(f"t{n}") for n in ("x0", "x1", "y0", "y1")))
     gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"t{lo}") - F.col(hi), F.col(lo) - F.col(f"t{hi}"))
     near = _reach(core_cells).filter("ti > i OR (ti = i AND tj > j)").join(them, ["ti", "tj"]).filter(gap("x0", "x1") * gap("x0", "x1") + gap("y0", "y1") * gap("y0", "y1") <= eps * eps)
-    pairs = stored(near.select("i", "j", "ti", "tj", "c", "tc"), "cell_pairs")
+    apart = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
+    met = F.exists("o", lambda a: F.exists("to", lambda b: apart(a, b) <= eps * eps))
+    judged = stored(near.select("i", "j", "ti", "tj", "c", "tc", met.alias("met")), "cell_pairs")
+    pairs = judged.filter(~F.col("met"))
     side_of = lambda a, b: core.join(pairs.select(F.col(a).alias("i"), F.col(b).alias("j"), "c", "tc"), ["i", "j"]).select("c", "tc", "x", "y").toDF("c", "tc", "x", "y")
 
     def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +66,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "id") ->
                     return pd.DataFrame({"u": [left.c.iloc[0]], "v": [left.tc.iloc[0]]})
         return pd.DataFrame({"u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
 
-    links = side_of("i", "j").groupBy("c", "tc").cogroup(side_of("ti", "tj").groupBy("c", "tc")).applyInPandas(close, "u long, v long")
+    found = side_of("i", "j").groupBy("c", "tc").cogroup(side_of("ti", "tj").groupBy("c", "tc")).applyInPandas(close, "u long, v long")
+    links = judged.filter("met").select(F.col("c").alias("u"), F.col("tc").alias("v")).unionByName(found)
     labels = components(links, core_cells.select(F.col("c").alias("node")))
     grouped = core.join(core_cells.select("i", "j", "c"), ["i", "j"]).join(labels.withColumnRenamed("node", "c"), "c").select("i", "j", "p", "x", "y", "component")
     grouped = stored(grouped, "grouped")
