@@ -105,6 +105,47 @@ def _smallest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"node": ids, "component": ids[label]})
 
 
+def _strong(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strong components of links by one depth-first search (Tarjan, 1972), named by their smallest node."""
+    table = [tuple(b.column(i).to_numpy().astype(np.int64) for i in range(2)) for b in batches]
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*table) if table else ((), ())))
+    ids = np.unique(np.concatenate((u, v)))
+    a, order = np.searchsorted(ids, u), np.argsort(u, kind="stable")
+    to, start = np.searchsorted(ids, v)[order].tolist(), np.searchsorted(np.sort(a), np.arange(len(ids) + 1)).tolist()
+    seen, low, found, component = [-1] * len(ids), [0] * len(ids), 0, [-1] * len(ids)
+    open_: list[int] = []
+    for root in range(len(ids)):
+        if seen[root] >= 0:
+            continue
+        seen[root] = low[root] = found
+        found += 1
+        open_.append(root)
+        work = [(root, start[root])]
+        while work:
+            x, e = work.pop()
+            if e < start[x + 1]:
+                work.append((x, e + 1))
+                y = to[e]
+                if seen[y] < 0:
+                    seen[y] = low[y] = found
+                    found += 1
+                    open_.append(y)
+                    work.append((y, start[y]))
+                elif component[y] < 0:
+                    low[x] = min(low[x], seen[y])
+                continue
+            if low[x] == seen[x]:
+                own = []
+                while not own or own[-1] != x:
+                    own.append(open_.pop())
+                name = min(own)
+                for y in own:
+                    component[y] = name
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[x])
+    yield pa.RecordBatch.from_pydict({"node": ids, "component": ids[np.array(component, np.int64)]})
+
+
 def _with_nodes(labels: DataFrame, nodes: DataFrame | None) -> DataFrame:
     if nodes is None:
         return labels
@@ -129,10 +170,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
 
     Each region has a pivot, its smallest node; what the pivot both reaches and is reached from is a component, and the
     rest falls into three regions that are searched at once. Regions start as weakly connected components; nodes without
-    an edge in or out within their region are components at once.
+    an edge in or out within their region are components at once. At most ``SMALL`` links are finished by one task.
     """
     links = stored(edges.filter("u <> v").select("u", "v").distinct(), "directed")
     every = nodes.select("node").distinct() if nodes is not None else links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    if links.limit(SMALL + 1).count() <= SMALL:
+        return _with_nodes(stored(links.coalesce(1).mapInArrow(_strong, "node long, component long"), "strong"), every)
     live = stored(components(links, every).select("node", F.col("component").cast("string").alias("region")), "live")
     done = None
     while not live.isEmpty():

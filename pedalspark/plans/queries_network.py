@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import access, gaps, graph, paths, spatial
+from ..operators import access, gaps, graph, lts, paths, spatial
 from ..storage import stored
 from .adapters import oracle, table
 from .queries_places import HEX, _at, _cells, _hex, placed, points
@@ -82,7 +82,8 @@ _LOW = "SELECT u, v FROM streets WHERE lts IN (1, 2) UNION SELECT v, u FROM stre
 
 @query(f"WITH RECURSIVE {JUNCTIONS}, {_closure(_LOW)}, c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1) SELECT node, component FROM c UNION SELECT node, node FROM junctions WHERE lts IN (1, 2) AND node NOT IN (SELECT node FROM c)")
 def low_stress_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.low_stress_components(stressed(spark, sf_dir), junctions(spark, sf_dir))
+    e = stored(stressed(spark, sf_dir).select("u", "v", "lts"), "streets")  # rules once for both branches
+    return graph.low_stress_components(e, lts.node_stress(table(spark, sf_dir, "nodes"), e))
 
 
 @query(f"WITH RECURSIVE {JUNCTIONS}, {_closure(_LOW)}, c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1), every AS (SELECT node, component FROM c UNION SELECT node, node FROM junctions WHERE lts IN (1, 2) AND node NOT IN (SELECT node FROM c)) SELECT component, count(*) AS size FROM every GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
