@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licences, lmscore, neardup, packing, quality, sharding, tokenfiles, topk
+from . import bytebpe, decontam, divergence, filteraudit, langid, licences, lmscore, neardup, packing, quality, sharding, tokenfiles, topk
 from .cluster import prepare
 
 
@@ -63,6 +63,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_rendezvous_sharding,
         op10_lm_score,
+        op11_byte_bpe,
+        op12_filter_audit,
+        op13_source_divergence,
     )
 }
 TOP_K_SQL = """
@@ -86,4 +101,4 @@ s AS (SELECT q.row, q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
-ORACLES: dict[str, str] = {"op4_license_scan": licences.SCAN_SQL, "op5_exact_top_k": TOP_K_SQL, "op7_decontamination": decontam.REPORT_SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": licences.SCAN_SQL, "op5_exact_top_k": TOP_K_SQL, "op7_decontamination": decontam.REPORT_SQL, "op12_filter_audit": filteraudit.AUDIT_SQL, "op13_source_divergence": divergence.AUDIT_SQL}
