@@ -5,13 +5,12 @@ feeds a softmax. Since the input is a byte, embedding and filters fold into one
 table lookups and sums. A text's probabilities are the mean over all of its windows, which overlap by the widest filter
 less one, so that every byte run of the whole text is seen.
 
-Training takes windows at hashed places of at most about ``per_language`` texts of each language (hashed ids, expected
-number), on the driver.
+Training takes windows at hashed places of at most ``per_language`` different texts of each language, on the driver.
 
-Defined cases: ``und`` and score 0 for null texts and those without a letter, or if no labelled text is there; null
-languages are not learned; repeated rows are predicted alike; equal probabilities go to the language that stands first
-in the alphabet; a text of any length is cut into windows block by block; extra columns are ignored; an empty table gives
-an empty result.
+Defined cases: ``und`` and score 0 for null texts and those without a letter, or if no labelled text has a byte; null
+languages are not learned; null and repeated doc_ids draw by their texts; repeated rows are learned once and predicted
+alike; equal probabilities go to the language that stands first in the alphabet; a text of any length is cut into windows
+block by block; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +19,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import stored
 from .textbytes import text_slices, thrifty, utf8
 
 WIDTHS, FILTERS, EMBED, WINDOW = (4, 3, 2), 16, 8, 256
 PER_LANGUAGE, WINDOWS_A_TEXT, STEPS, BATCH = 600, 6, 1500, 64
+#: Texts of all languages together that are collected for training.
+MOST_TEXTS = 20_000
 
 
 class ByteCnn:
@@ -126,22 +128,35 @@ def mean_probabilities(net: ByteCnn, tables: list[np.ndarray], buf: np.ndarray,
     return total / np.maximum(np.diff(first), 1)[:, None]
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
-    """A network from (doc_id, text, lang) rows; None if there are none."""
-    some = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    chosen = some.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 30)) < share * float(1 << 30))
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_TEXTS) -> list[tuple[str, list[str]]]:
+    """(lang, pieces): windows at hashed places of at most ``per_language`` different texts of each language, collected.
+
+    Texts are drawn by the smallest hashes of doc_id and text, the same ones at any partitioning; copies count once. All
+    languages together have at most ``most`` texts, or one each.
+    """
+    key = F.xxhash64("doc_id", "text", F.lit(77))
+    some = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("key", key)
+    known = stored(some.select("lang", "key").distinct(), "keys")
+    bound = min(per_language, max(1, most // max(1, known.select("lang").distinct().count())))
+    # each task passes on at most ``bound`` rows a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    keys = F.broadcast(known.withColumn("r", rank).filter(F.col("r") <= bound).select("lang", "key"))
     place = lambda j: F.pmod(F.xxhash64("doc_id", F.lit(j)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
     pieces = F.array(*(F.col("text").substr(place(j).cast("int"), F.lit(WINDOW)) for j in range(WINDOWS_A_TEXT)))
-    rows = chosen.select("lang", pieces.alias("pieces")).collect()
-    classes = sorted(counts)
-    buf, offsets = utf8(pa.array([p for r in rows for p in r.pieces], pa.string()))
+    rows = some.join(keys, ["lang", "key"]).groupBy("lang", "key").agg(F.min(pieces).alias("pieces")).collect()
+    return sorted((r.lang, r.pieces) for r in rows)
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
+    """A network from (doc_id, text, lang) rows; None if no language has a text with a byte."""
+    rows = sample(labelled, per_language)
+    if not rows:
+        return None
+    classes = sorted({lang for lang, _ in rows})
+    buf, offsets = utf8(pa.array([p for _, pieces in rows for p in pieces], pa.string()))
     first, text = window_places(offsets)
     windows = windows_of(buf, offsets, first, text, 0, len(text))
-    labels = np.repeat(np.repeat([classes.index(r.lang) for r in rows], WINDOWS_A_TEXT), np.diff(first))
+    labels = np.repeat(np.repeat([classes.index(lang) for lang, _ in rows], WINDOWS_A_TEXT), np.diff(first))
     net = ByteCnn(classes)
     net.train(windows, labels)
     return net
