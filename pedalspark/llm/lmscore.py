@@ -7,7 +7,8 @@ unigrams, with a weight of MU.
 What is gathered grows with the corpus and meets in the executors only. Bigrams are dealt by their word over parts of
 about PART tokens, packed by slices of documents; a part counts its bigrams, their words and these words as histories,
 and returns each slice's sums of losses. Words of too many tokens for one part are spread by their bigrams; their own
-counts, at most 8 words for each part, are sent to the executors. A loss is -log(n(a, b) + MU p(b)) + log(n(a) + MU):
+counts are sent to the executors, at most 8 words for each part and ``MOST_HOT`` in all, as are the ``COMMON`` most
+frequent words, which have codes of two bytes as histories. A loss is -log(n(a, b) + MU p(b)) + log(n(a) + MU):
 the second half belongs to the part of a.
 
 A document's losses are means over its tokens; ``score`` is the target's loss less the background's: lower is closer
@@ -41,7 +42,11 @@ ALNUM = np.zeros(256, bool)
 for _range in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
     ALNUM[list(_range)] = True
 
-_PACKED = ("words", "pairs", "before", "tokens", "docs", "target", "ids", "n", "s0", "s1")
+#: Words of the short code, the most frequent ones, and the most words that are held by every executor.
+COMMON, MOST_HOT = 60_000, 1 << 20
+_OTHER = 0xFFFF
+
+_PACKED = ("words", "pairs", "before", "rest", "tokens", "docs", "target", "ids", "n", "s0", "s1")
 
 
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +91,10 @@ class Totals:
         counts = stored(word_counts(docs), "words")
         size, tokens = counts.agg(F.count("*"), F.sum("n")).first()
         self.size, self.parts = max(VOCABULARY, size), -(-(tokens or 0) // PART) or 1
-        least = max(2, (tokens or 0) // (8 * self.parts))
+        least = max(2, (tokens or 0) // (8 * min(self.parts, MOST_HOT // 8)))
         self.hot = hot = np.sort(np.array([r.word for r in counts.filter(F.col("n") >= least).select("word").collect()], np.int64).view(np.uint64))
+        frequent = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+        self.common = np.sort(np.concatenate((np.array(frequent, np.int64).view(np.uint64), [START, END])))
         width = 2 * len(hot) + 2
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +132,19 @@ class Totals:
         return (n * self.scale[k] + 1) / (self.tokens[k] * self.scale[k] + self.size)
 
 
+def coded(before: np.ndarray, common: np.ndarray) -> tuple[bytes, bytes]:
+    """Histories in two bytes each where they are in ``common``, and the others in eight."""
+    at = places(before, common)
+    return np.where(at < 0, _OTHER, at).astype("<u2").tobytes(), before[at < 0].astype("<u8").tobytes()
+
+
+def decoded(codes: np.ndarray, rest: np.ndarray, common: np.ndarray) -> np.ndarray:
+    other = codes == _OTHER
+    out = common[np.where(other, 0, codes)]
+    out[other] = rest
+    return out
+
+
 def packed(part: pa.RecordBatch, totals: Totals) -> Iterator[dict]:
     """The slice (doc_id, text, target): one row with its documents, and one for each part with the bigrams dealt there."""
     words, first = hashed_words(part.column(1))
@@ -159,12 +179,14 @@ def packed(part: pa.RecordBatch, totals: Totals) -> Iterator[dict]:
         i, j = cuts[p], cuts[p + 1]
         pairs = np.flatnonzero(new_pair[i:j])
         at = np.flatnonzero(new_word[i:j][pairs])
+        codes, rest = coded(before[i:j][pairs], totals.common)
         yield {
             "slice": key,
             "part": p,
             "words": words[i:j][pairs[at]].astype("<u8").tobytes(),
             "pairs": np.diff(np.append(at, len(pairs))).astype("<u4").tobytes(),
-            "before": before[i:j][pairs].astype("<u8").tobytes(),
+            "before": codes,
+            "rest": rest,
             "tokens": np.diff(np.append(pairs, j - i)).astype("<u4").tobytes(),
             "docs": docs[i:j].tobytes(),
             "target": target,
@@ -179,7 +201,8 @@ def part_losses(table: pa.Table, totals: Totals) -> list[dict]:
     if not rows:
         return out
     join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-    words, before, tokens = np.repeat(join("words", "<u8"), join("pairs", "<u4")), join("before", "<u8"), join("tokens", "<u4").astype(np.int64)
+    words, tokens = np.repeat(join("words", "<u8"), join("pairs", "<u4")), join("tokens", "<u4").astype(np.int64)
+    before = decoded(join("before", "<u2"), join("rest", "<u8"), totals.common)
     docs = [np.frombuffer(r["docs"], "<u4" if len(r["target"]) > 1 << 16 else "<u2") for r in rows]
     n_target = np.add.reduceat(np.concatenate([np.frombuffer(r["target"], "u1")[d] for r, d in zip(rows, docs)]).astype(np.int64), np.cumsum(tokens) - tokens)
     order = np.lexsort((before, words))
