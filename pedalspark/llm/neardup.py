@@ -5,7 +5,7 @@
 2. Documents of equal sets are one node. Four registers make a band; nodes that share a band's values are candidates.
 3. In each bucket every node is compared with the bucket's hub, so that a bucket of any size costs as many pairs as it
    has nodes: first the smallest node, then, where a bucket holds several components, its most central one. Pairs whose
-   likelihood estimate is far below the threshold go; the others are confirmed on the texts' full sets. In buckets that
+   likelihood estimate is far below the threshold go; the others are confirmed on the full sets of words. In buckets that
    still hold several components, every node outside the largest one meets all nodes of other components, in blocks that
    return links alone, so that no link that matters is left out.
 4. Components come from repeated star contraction.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .cluster import stored
 from .graphs import components
-from .textbytes import mix, shingles, spans, text_slices, thrifty, utf8, word_hashes
+from .textbytes import mix, overlap, shingles, spans, text_slices, thrifty, utf8, word_hashes
 
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
@@ -56,6 +56,12 @@ def text_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(word_hashes(buf, starts, ends, lower=True), first, width)
 
 
+def near_texts(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> bool:
+    """Whether the full shingle sets of two texts are as similar as asked, by their words and not by hashes."""
+    n, m, common = overlap(a.tobytes(), b.tobytes(), width)
+    return 100 * common >= percent * (n + m - common) > 0
+
+
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """uint16 [texts, REGISTERS]: 1 - log_b of the minimum of exponential variates, rounded down and truncated.
 
@@ -171,13 +177,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                (a, fa), (b, fb) = (text_sets(part.column(i), width) for i in (2, 3))
-                linked = np.zeros(part.num_rows, bool)
-                for i in range(part.num_rows):
-                    x, y = a[fa[i] : fa[i + 1]], b[fb[i] : fb[i + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield part.select([0, 1]).filter(pa.array(linked))
+                (a, fa), (b, fb) = (utf8(part.column(i)) for i in (2, 3))
+                linked = [near_texts(a[fa[i] : fa[i + 1]], b[fb[i] : fb[i + 1]], width, percent) for i in range(part.num_rows)]
+                yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     texts = keyed(docs)
     own = pairs.select("node", "hub", "doc1", "key1")
@@ -216,7 +218,8 @@ def block_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
 
     Nodes outside a bucket's largest component meet all of its nodes in blocks of bounded size. A first pass over the
     registers tells which nodes of a block have a near partner there; only their texts are fetched for the second, which
-    returns links alone. So rows grow with the buckets, never with their squares.
+    returns links alone. A bucket of q nodes, s of them outside, sends each stray to q / MEMBER_BLOCK blocks and each member
+    to s / STRAY_BLOCK: few for what hubs leave over, a square with a small factor where most of a large bucket stays apart.
     """
     sizes = members.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
     info = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("major_c"), F.sum("n").alias("q"), F.max("n").alias("m"))
@@ -239,12 +242,10 @@ def block_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            (a, fa), (b, fb) = (text_sets(t.column("text").combine_chunks(), width) for t in (left, right))
+            (a, fa), (b, fb) = (utf8(t.column("text")) for t in (left, right))
             u, v = left.column("node").to_pylist(), right.column("node").to_pylist()
             for i, j in zip(*(x.tolist() for x in _near(left, right, percent))):
-                x, y = a[fa[i] : fa[i + 1]], b[fb[j] : fb[j + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
+                if near_texts(a[fa[i] : fa[i + 1]], b[fb[j] : fb[j + 1]], width, percent):
                     out.append((u[i], v[j]))
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import functools
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +13,7 @@ SEGMENT = 1 << 18  # bytes that are hashed at once
 PIECE = 1 << 20  # bytes that are searched or counted at once
 SLICE = 1 << 20  # bytes of text that an operator takes from a batch at once
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SPREAD = np.uint64(_BASE)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: Lower-cases A-Z and nothing else.
@@ -36,6 +37,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
+#: Masks of the first 0 to 8 bytes of eight.
+_INSIDE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX1
     h = (h ^ (h >> np.uint64(27))) * _MIX2
@@ -64,46 +69,76 @@ def spans(buf: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPACE) ->
     return starts, np.concatenate(ends), np.searchsorted(starts, offsets)
 
 
-@functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    forth, back = np.full(SEGMENT, _BASE, np.uint64), np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64)
-    forth[0] = back[0] = 1
-    return np.multiply.accumulate(forth), np.multiply.accumulate(back)
+#: Bytes of a range from which it is hashed on its own.
+LONG_RANGE = 256
+_LOWER_TABLE = ASCII_LOWER.tobytes()
 
 
-@functools.cache
-def _byte_values(lower: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    return values[ASCII_LOWER] if lower else values
+def _long_hash(buf: np.ndarray, start: int, end: int, lower: bool) -> int:
+    name = hashlib.blake2b(digest_size=8)
+    for k in range(start, end, SEGMENT):
+        part = buf[k : min(k + SEGMENT, end)].tobytes()
+        name.update(part.translate(_LOWER_TABLE) if lower else part)
+    return int.from_bytes(name.digest(), "little")
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte range, from prefix sums of a polynomial over the bytes; ``lower``: as if A-Z were lower-cased.
+    """A 64-bit hash of each byte range; ``lower``: as if A-Z were lower-cased.
 
-    Words are taken a segment at a time; one that is longer than a segment adds up its parts.
+    Eight bytes of all ranges at a time go through a bijective mixer, so no two ranges that differ in eight bytes alone
+    share a hash, and no algebraic pattern of bytes does. Long ranges are hashed by blake2b, a segment at a time.
     """
-    out, i, values = np.empty(len(starts), np.uint64), 0, _byte_values(lower)
-    forth, back = _powers()
-    sums = np.zeros(SEGMENT + 1, np.uint64)
+    out, sizes, i = np.empty(len(starts), np.uint64), ends - starts, 0
     while i < len(starts):
         at = int(starts[i])
-        j = int(np.searchsorted(ends, at + SEGMENT, "right"))
-        if j <= i:
-            total = 0
-            for k in range(at, int(ends[i]), SEGMENT):
-                part = values[buf[k : min(k + SEGMENT, int(ends[i]))]]
-                total += int((part * forth[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k - at, 1 << 64)
-            out[i] = mix(np.array([total % (1 << 64)], np.uint64))[0]
+        j = max(i + 1, int(np.searchsorted(ends, at + SEGMENT, "right")))
+        if int(ends[j - 1]) - at > SEGMENT:
+            out[i] = _long_hash(buf, at, int(ends[i]), lower)
             i += 1
             continue
-        size = int(ends[j - 1]) - at
-        np.cumsum(values[buf[at : at + size]] * forth[:size], out=sums[1 : size + 1])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((sums[e] - sums[s]) * back[s])
+        own = buf[at : int(ends[j - 1])]
+        padded = np.concatenate((ASCII_LOWER[own] if lower else own, np.zeros(8, np.uint8)))
+        eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        size, which = sizes[i:j], np.arange(i, j)
+        h = mix(size.astype(np.uint64) * _SPREAD + _MIX1)
+        place, left, long_ = starts[i:j] - at, size, size > LONG_RANGE
+        for k in np.flatnonzero(long_).tolist():
+            out[i + k] = _long_hash(buf, int(starts[i + k]), int(ends[i + k]), lower)
+        keep = ~long_
+        while keep.any():
+            if not keep.all():
+                which, h, place, left = which[keep], h[keep], place[keep], left[keep]
+            inside = _INSIDE[np.minimum(left, 8)]
+            h = mix((h ^ (eights[place] & inside)) + _SPREAD)
+            keep = left > 8
+            done = ~keep
+            out[which[done]] = h[done]
+            place, left = place + 8, left - 8
         i = j
     return out
 
 
+def overlap(x: bytes, y: bytes, width: int) -> tuple[int, int, int]:
+    """Sizes of the sets of ``width``-word shingles of two texts and of what they share, by the words themselves.
+
+    A-Z are lower-cased, ASCII white space parts words. Words are numbered, and so are runs of words.
+    """
+    known: dict[bytes, int] = {}
+    ids = [np.array([known.setdefault(w, len(known)) for w in text.lower().split()], np.int64) for text in (x, y)]
+    if min(map(len, ids)) < width:
+        a, b = ({tuple(i[k : k + width].tolist()) for k in range(max(1, len(i) - width + 1))} if len(i) else set() for i in ids)
+        return len(a), len(b), len(a & b)
+    runs, m = [i[: len(i) - width + 1] for i in ids], len(known)
+    top = m
+    for k in range(1, width):
+        if top > (1 << 62) // m:
+            named, at = np.unique(np.concatenate(runs), return_inverse=True)
+            runs, top = [at[: len(runs[0])], at[len(runs[0]) :]], len(named)
+        runs, top = [r * m + i[k : k + len(r)] for r, i in zip(runs, ids)], top * m
+    a, b = map(np.unique, runs)
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
+
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): distinct ``width``-word shingles of each text, sorted within it.
 
