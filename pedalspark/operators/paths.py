@@ -1,8 +1,8 @@
 """Shortest paths and centralities.
 
 Searches are dealt out by source: each task gets a share of the sources and a compact copy of the graph, which is
-broadcast only if it has at most ``BROADCAST_EDGES`` edges. Larger graphs take ``relaxed``, rounds of joins over stored
-frontiers in which nothing is broadcast. Equal lengths are settled by the smaller predecessor.
+broadcast only if it has at most ``BROADCAST_EDGES`` edges. Larger graphs take the same measures by rounds of joins over
+stored frontiers, in which nothing is broadcast (``frontiers``). Equal lengths are settled by the smaller predecessor.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from . import frontiers
+from .frontiers import relaxed
 from .graph import simple_edges
 
-BROADCAST_EDGES = 5_000_000
+#: Edges of a graph that every task may hold: about 24 MB.
+BROADCAST_EDGES = 1_000_000
 
 
 class Graph:
@@ -73,8 +76,12 @@ class Graph:
         return out[::-1]
 
 
-def too_large(rows: DataFrame, limit: int = BROADCAST_EDGES) -> bool:
-    return rows.limit(limit + 1).count() > limit
+def too_large(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES
+
+
+def beyond(edges: DataFrame, nodes: DataFrame) -> bool:
+    return too_large(edges) or too_large(nodes)
 
 
 def graph_of(edges: DataFrame, weight: str = "length", nodes: DataFrame | None = None, marks: DataFrame | None = None) -> Graph:
@@ -88,7 +95,7 @@ def graph_of(edges: DataFrame, weight: str = "length", nodes: DataFrame | None =
     simple = stored(simple, "simple")
     named = stored(nodes.select(F.col("node").cast("long")).distinct(), "named") if nodes is not None else None
     if too_large(simple) or named is not None and too_large(named):
-        raise ValueError(f"more than {BROADCAST_EDGES} edges or nodes: use relaxed()")
+        raise ValueError(f"more than {BROADCAST_EDGES} edges or nodes: see frontiers")
     table = simple.toArrow()
     more = named.toArrow().column("node").to_numpy().astype(np.int64) if named is not None else None
     u, v, w = (table.column(c).to_numpy().astype(t) for c, t in (("u", np.int64), ("v", np.int64), (weight, float)))
@@ -144,8 +151,9 @@ def every_node(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, weight: str = "length", with_path: bool = False) -> DataFrame:
     """(source, target, distance) and the path, an array of nodes, for all targets in reach, the source itself included."""
-    if not with_path and too_large(edges):
-        return relaxed(edges, sources, cutoff, weight)
+    if too_large(edges):
+        known = sources.select("node").join(every_node(edges, sources.select("node").limit(0)), "node", "left_semi")
+        return (frontiers.routes if with_path else relaxed)(edges, known, cutoff, weight)
     graph = graph_of(edges, weight)
 
     def each(g: Graph, i: int) -> pa.RecordBatch:
@@ -160,24 +168,12 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None,
     return by_source(sources, graph, each, "source long, target long, distance double" + ", path array<long>" * with_path)
 
 
-def relaxed(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, weight: str = "length") -> DataFrame:
-    """(source, target, distance) by rounds of joins: each round extends what improved in the last one."""
-    simple = stored(simple_edges(edges, weight=weight), "simple")
-    best = stored(sources.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0.0).alias("distance")).distinct(), "best")
-    front = best
-    while True:
-        step = front.join(simple, front["target"] == simple["u"]).select("source", F.col("v").alias("target"), (F.col("distance") + F.col(weight)).alias("distance"))
-        if cutoff is not None:
-            step = step.filter(F.col("distance") <= cutoff)
-        step = step.groupBy("source", "target").agg(F.min("distance").alias("distance"))
-        front = stored(step.join(best.withColumnRenamed("distance", "known"), ["source", "target"], "left").filter("known IS NULL OR distance < known").drop("known"), "front")
-        if front.isEmpty():
-            return best
-        best = stored(best.unionByName(front).groupBy("source", "target").agg(F.min("distance").alias("distance")), "best")
-
-
 def closeness(edges: DataFrame, nodes: DataFrame, weight: str = "length") -> DataFrame:
     """(node, closeness): from incoming distances, times the share of the other nodes in reach."""
+    if beyond(edges, nodes):
+        n = every_node(edges, nodes).count()
+        value = F.when(F.col("total") > 0, F.col("reach") / F.col("total") * F.col("reach") / (n - 1)).otherwise(0.0)
+        return frontiers.reach_sums(edges, nodes, n, weight).select("node", value.alias("closeness"))
     graph = graph_of(edges, weight, nodes).reversed()
 
     def each(g: Graph, i: int) -> pa.RecordBatch:
@@ -216,33 +212,39 @@ def _credits(g: Graph, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "length") -> DataFrame:
     """(node, betweenness), over 1/((n - 1)(n - 2)); sources' credits are added up in their tasks."""
-    graph = graph_of(edges, weight, nodes)
-    n = len(graph.ids)
 
     def add(g: Graph, i: int, total: np.ndarray) -> None:
         total += _credits(g, i)[0]
 
+    if beyond(edges, nodes):
+        n = every_node(edges, nodes).count()
+        sums = frontiers.node_credits(edges, nodes, n, weight=weight)
+    else:
+        graph = graph_of(edges, weight, nodes)
+        n, sums = len(graph.ids), summed(nodes, graph, add)
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return every_node(edges, nodes).join(summed(nodes, graph, add), "node", "left").select("node", (F.coalesce("value", F.lit(0.0)) * scale).alias("betweenness"))
+    return every_node(edges, nodes).join(sums, "node", "left").select("node", (F.coalesce("value", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "length") -> DataFrame:
     """(u, v, betweenness) of the simple graph's edges, over 1/(n(n - 1))."""
-    graph = graph_of(edges, weight, nodes)
-    n = len(graph.ids)
 
     def add(g: Graph, i: int, total: np.ndarray) -> None:
         _, tight, shares = _credits(g, i)
         total[tight] += shares  # an edge is named once
 
+    if beyond(edges, nodes):
+        n = every_node(edges, nodes).count()
+        sums = frontiers.edge_credits(edges, nodes, n, weight)
+    else:
+        graph = graph_of(edges, weight, nodes)
+        n, sums = len(graph.ids), summed(nodes, graph, add, of_edges=True)
     all_ = simple_edges(edges, weight=weight).select("u", "v")
-    return all_.join(summed(nodes, graph, add, of_edges=True), ["u", "v"], "left").select("u", "v", (F.coalesce("value", F.lit(0.0)) / max(1, n * (n - 1))).alias("betweenness"))
+    return all_.join(sums, ["u", "v"], "left").select("u", "v", (F.coalesce("value", F.lit(0.0)) / max(1, n * (n - 1))).alias("betweenness"))
 
 
 def local_betweenness(edges: DataFrame, nodes: DataFrame, cutoff: float = 2000.0, weight: str = "length") -> DataFrame:
     """(node, betweenness): one for each ordered pair within ``cutoff`` whose one shortest path has the node inside, over n - 1."""
-    graph = graph_of(edges, weight, nodes)
-    n = len(graph.ids)
 
     def add(g: Graph, i: int, total: np.ndarray) -> None:
         _, before, settled = g.search(i, cutoff)
@@ -252,7 +254,13 @@ def local_betweenness(edges: DataFrame, nodes: DataFrame, cutoff: float = 2000.0
         below[i] = 0
         total += below
 
-    return nodes.select("node").distinct().join(summed(nodes, graph, add), "node", "left").select("node", (F.coalesce("value", F.lit(0.0)) / max(1, n - 1)).alias("betweenness"))
+    if beyond(edges, nodes):
+        n = every_node(edges, nodes).count()
+        sums = frontiers.node_credits(edges, nodes, n, cutoff, weight, trees=True)
+    else:
+        graph = graph_of(edges, weight, nodes)
+        n, sums = len(graph.ids), summed(nodes, graph, add)
+    return nodes.select("node").distinct().join(sums, "node", "left").select("node", (F.coalesce("value", F.lit(0.0)) / max(1, n - 1)).alias("betweenness"))
 
 
 def marked_paths(edges: DataFrame, sources: DataFrame, marks: DataFrame, weight: str = "length") -> DataFrame:
@@ -260,6 +268,9 @@ def marked_paths(edges: DataFrame, sources: DataFrame, marks: DataFrame, weight:
 
     ``marks`` (u, v, mark). Marks are followed down each tree of paths, so only the paths asked for leave a task.
     """
+    if beyond(edges, sources):
+        known = sources.select("node").join(every_node(edges, sources.select("node").limit(0)), "node", "left_semi")
+        return frontiers.marked_paths(edges, known, marks, every_node(edges, sources).count(), weight)
     graph = graph_of(edges, weight, sources, marks)
     ends = graph.ids[np.isin(graph.ids, sources.select(F.col("node").cast("long")).distinct().toArrow().column("node").to_numpy())]  # within the limit that graph_of checks
 
