@@ -126,14 +126,14 @@ def stress_of(rule: Column) -> Column:
     return F.try_element_at(table, rule)
 
 
-def settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with new columns that later expressions and filters refer to without computing them anew.
+def fenced(value: Column) -> Column:
+    """``value`` behind a test that always holds, which keeps the optimizer from repeating it in filters below its projection."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
-    They come as the one row of a generator, which the optimizer neither merges with what follows nor moves filters past.
-    """
-    kept = [tag(c) for c in df.columns if c not in columns]
-    row = F.explode(F.array(F.struct(*(v.alias(c) for c, v in columns.items()))))
-    return df.select(*kept, row.alias("_settled")).select(*kept, *(F.col(f"_settled.{c}").alias(c) for c in columns))
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns that later expressions and filters refer to without computing them anew; columns nobody asks for are pruned."""
+    return df.select(*(tag(c) for c in df.columns if c not in columns), *(fenced(v).alias(c) for c, v in columns.items()))
 
 
 def classify(edges: DataFrame) -> DataFrame:

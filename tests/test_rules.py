@@ -113,3 +113,14 @@ def test_names(spark):
     df = spark.createDataFrame([("Bolzano - Bozen, Italy", "Tangenziale Est", 2), ("San Vito, Italy", "Pista ciclabile Autostrada", 3), ("X", None, 0)], "place string, name string, lts int")
     got = df.select(lts.city_name(F.col("place")).alias("c"), lts.display_class(F.col("name"), F.col("lts")).alias("d")).collect()
     assert [tuple(r) for r in got] == [("Bolzano", "not cyclable"), ("San_Vito", "3"), ("X", "undefined")]
+
+
+def test_columns_nobody_asks_for_are_pruned(spark):
+    """Ends of streets come without the rules; a filter on stress doesn't repeat them below its projection."""
+    from pedalspark.plans.queries_streets import stressed
+
+    df = stressed(spark, "/root/testdata/sf0.001")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    ends = plan(df.select("u", "v").distinct())
+    assert "Generate" not in ends and "monotonically" not in ends and "highway" not in ends
+    assert plan(df.filter("lts > 2").select("u", "rule")).count("CASE WHEN") < 2 * plan(df.select("u", "rule", "lts")).count("CASE WHEN")
