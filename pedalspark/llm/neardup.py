@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .cluster import stored
 from .graphs import components
-from .textbytes import mix, overlap, shingles, spans, text_slices, thrifty, utf8, word_hashes
+from .textbytes import exact_sets, mix, shingles, spans, text_slices, thrifty, utf8, word_hashes
 
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
@@ -56,10 +56,21 @@ def text_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(word_hashes(buf, starts, ends, lower=True), first, width)
 
 
-def near_texts(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> bool:
-    """Whether the full shingle sets of two texts are as similar as asked, by their words and not by hashes."""
-    n, m, common = overlap(a.tobytes(), b.tobytes(), width)
-    return 100 * common >= percent * (n + m - common) > 0
+def exact_text_sets(columns: list[pa.Array], width: int) -> list[list[np.ndarray]]:
+    """``exact_sets`` of the texts of several columns, numbered together."""
+    texts = []
+    for column in columns:
+        buf, at = utf8(column)
+        texts += [buf[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+    sets = exact_sets(texts, width)
+    cuts = np.cumsum([0, *map(len, columns)])
+    return [sets[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets are as similar as asked; empty ones never are."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common) > 0
 
 
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -177,8 +188,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                (a, fa), (b, fb) = (utf8(part.column(i)) for i in (2, 3))
-                linked = [near_texts(a[fa[i] : fa[i + 1]], b[fb[i] : fb[i + 1]], width, percent) for i in range(part.num_rows)]
+                linked = [near(a, b, percent) for a, b in zip(*exact_text_sets([part.column(2), part.column(3)], width))]
                 yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     texts = keyed(docs)
@@ -242,19 +252,19 @@ def block_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, width: in
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
-            (a, fa), (b, fb) = (utf8(t.column("text")) for t in (left, right))
+            a, b = exact_text_sets([left.column("text"), right.column("text")], width)
             u, v = left.column("node").to_pylist(), right.column("node").to_pylist()
             for i, j in zip(*(x.tolist() for x in _near(left, right, percent))):
-                if near_texts(a[fa[i] : fa[i + 1]], b[fb[j] : fb[j + 1]], width, percent):
+                if near(a[i], b[j], percent):
                     out.append((u[i], v[j]))
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     # toDF: fresh columns, as both sides come from one table
-    near = strays.select(*kept).groupBy(*keys).cogroup(others.select(*kept).toDF(*kept).groupBy(*keys)).applyInArrow(partners, kinds + ", stray boolean")
-    near = stored(near, "near")
-    if near.isEmpty():
-        return near.select(F.col("node").alias("u"), F.col("c").alias("v"))
-    with_text = near.join(texts_of(near.select("node").distinct(), docs, nodes), "node")
+    found = strays.select(*kept).groupBy(*keys).cogroup(others.select(*kept).toDF(*kept).groupBy(*keys)).applyInArrow(partners, kinds + ", stray boolean")
+    found = stored(found, "near")
+    if found.isEmpty():
+        return found.select(F.col("node").alias("u"), F.col("c").alias("v"))
+    with_text = found.join(texts_of(found.select("node").distinct(), docs, nodes), "node")
     side = lambda stray: with_text.filter(F.col("stray") == stray).select(*kept, "text").toDF(*kept, "text").groupBy(*keys)
     return side(True).cogroup(side(False)).applyInArrow(links, "u long, v long")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -92,7 +94,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     while i < len(starts):
         at = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, at + SEGMENT, "right")))
-        if int(ends[j - 1]) - at > SEGMENT:
+        if sizes[i] > max(SEGMENT, LONG_RANGE):
             out[i] = _long_hash(buf, at, int(ends[i]), lower)
             i += 1
             continue
@@ -118,25 +120,31 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return out
 
 
-def overlap(x: bytes, y: bytes, width: int) -> tuple[int, int, int]:
-    """Sizes of the sets of ``width``-word shingles of two texts and of what they share, by the words themselves.
+def exact_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The set of ``width``-word shingles of each text as sorted numbers, which are equal where the words are: no hashes.
 
-    A-Z are lower-cased, ASCII white space parts words. Words are numbered, and so are runs of words.
+    A-Z are lower-cased, ASCII white space parts words. Words are numbered over all texts, and so are runs of words; the
+    whole sequence of a text of fewer words has a number below 0. Equal texts are read once.
     """
-    known: dict[bytes, int] = {}
-    ids = [np.array([known.setdefault(w, len(known)) for w in text.lower().split()], np.int64) for text in (x, y)]
-    if min(map(len, ids)) < width:
-        a, b = ({tuple(i[k : k + width].tolist()) for k in range(max(1, len(i) - width + 1))} if len(i) else set() for i in ids)
-        return len(a), len(b), len(a & b)
-    runs, m = [i[: len(i) - width + 1] for i in ids], len(known)
-    top = m
+    known: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    short: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
+    place = {text: k for k, text in enumerate(dict.fromkeys(texts))}
+    ids = [np.array(list(map(known.__getitem__, text.lower().split())), np.int64) for text in place]
+    first = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+    flat, m = np.concatenate([*ids, np.zeros(0, np.int64)]), len(known)
+    runs, top = flat[: max(0, len(flat) - width + 1)], m
     for k in range(1, width):
-        if top > (1 << 62) // m:
-            named, at = np.unique(np.concatenate(runs), return_inverse=True)
-            runs, top = [at[: len(runs[0])], at[len(runs[0]) :]], len(named)
-        runs, top = [r * m + i[k : k + len(r)] for r, i in zip(runs, ids)], top * m
-    a, b = map(np.unique, runs)
-    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+        if top * m > 1 << 62:
+            named, runs = np.unique(runs, return_inverse=True)
+            top = len(named)
+        runs, top = runs * m + flat[k : k + len(runs)], top * m
+    sets = []
+    for i, own in enumerate(ids):
+        if len(own) >= width:
+            sets.append(np.unique(runs[first[i] : first[i + 1] - width + 1]))
+        else:
+            sets.append(np.array([-short[own.tobytes()]] if len(own) else [], np.int64))
+    return [sets[place[text]] for text in texts]
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
