@@ -144,7 +144,6 @@ def test_words_and_hashes_do_not_hang_on_pieces(monkeypatch):
     column = pa.array(texts, pa.string())
 
     def hashed():
-        textbytes._powers.cache_clear()
         buf, offsets = utf8(column)
         starts, ends, first = textbytes.spans(buf, offsets)
         return starts.tolist(), ends.tolist(), first.tolist(), textbytes.word_hashes(buf, starts, ends, lower=True).tolist()
@@ -155,7 +154,6 @@ def test_words_and_hashes_do_not_hang_on_pieces(monkeypatch):
         monkeypatch.setattr(textbytes, "SEGMENT", segment)
         assert hashed() == whole
     monkeypatch.undo()
-    textbytes._powers.cache_clear()
 
 
 def test_one_long_text_and_one_long_word():
