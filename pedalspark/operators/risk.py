@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import percentiles
+from ..functions.stats import percentiles, running_before
 from ..storage import stored
 
 SEED = 42
@@ -83,9 +85,6 @@ def smote(train: DataFrame, features: list[str], key: str, label: str = "label",
 
 def neighbours(left: DataFrame, right: DataFrame, features: list[str], key: str, k: int, block: int = 4096) -> DataFrame:
     """(key, _o, d): the ``k`` nearest other rows of ``right`` for each of ``left``, compared in blocks."""
-    import numpy as np
-    import pandas as pd
-
     blocks = max(1, -(-right.count() // block))
     kind = dict(left.dtypes)[key]
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
@@ -112,20 +111,113 @@ def forest(train: DataFrame, weight: str | None = None, trees: int = 100, featur
     return (model.setWeightCol(weight) if weight else model).fit(train)
 
 
-def grid_search(train: DataFrame, model: str, folds: int = 5):
-    """The best of a grid by area under the ROC curve: ``logreg``, ``forest`` or ``svm`` (linear)."""
+def stratified(df: DataFrame, key: str, folds: int = 5, label: str = "label", seed: int = SEED) -> DataFrame:
+    """``df`` with ``fold``: the rows of each class in the order of their hashes, dealt out in turn, so all folds have the classes' shares.
+
+    ``key`` names rows; made-up rows without one are told apart by their features.
+    """
+    rows = stored(df.withColumn("_h", F.xxhash64(F.lit(seed), key, *(c for c, kind in df.dtypes if kind == "double"))).withColumns({"_n": F.monotonically_increasing_id(), "_one": F.lit(1)}), "rows")
+    return running_before(rows, [label], ["_h", "_n"], "_one", "_b").withColumn("fold", (F.col("_b") % folds).cast("int")).drop("_h", "_n", "_one", "_b")
+
+
+#: Grids of the three models; C is the inverse of the penalty's weight, as in other libraries.
+GRIDS = {"logreg": {"C": [0.01, 0.1, 1, 10, 100]}, "forest": {"trees": [10, 50, 100, 200], "features": ["sqrt", "log2"]}, "svm": {"C": [0.01, 0.1, 1, 10], "kernel": ["linear", "rbf", "poly"]}}
+
+
+class Searched:
+    """The best of a grid: ``transform`` maps tables with ``features`` as the model needs them."""
+
+    def __init__(self, model, score: float, choice: dict, kernel: Nystroem | None = None):
+        self.model, self.score, self.choice, self.kernel = model, score, choice, kernel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.kernel.transform(df) if self.kernel else df)
+
+
+def grid_search(train: DataFrame, model: str, folds: int = 5, grid: dict | None = None, weight: str | None = None, landmarks: int = 100) -> Searched:
+    """The best of a grid by area under the ROC curve: ``logreg``, ``forest`` or ``svm`` with linear, radial or cubic kernels.
+
+    A ``fold`` column of ``train`` deals out its rows (``stratified``); without one the rows are dealt by chance. Kernels
+    work on ``landmarks`` rows (``Nystroem``), so a model costs the same whatever the number of rows.
+    """
+    grid = grid or GRIDS[model]
+    n = train.count()
+    penalties = [1.0 / (c * max(1, n)) for c in grid.get("C", [])]
+    weigh = lambda est: est.setWeightCol(weight) if weight else est
+    by_fold = {"foldCol": "fold"} if "fold" in train.columns else {}
+
+    def best(est, params, df: DataFrame):
+        found = CrossValidator(estimator=weigh(est), estimatorParamMaps=params, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=SEED, parallelism=4, **by_fold).fit(df)
+        k = max(range(len(params)), key=lambda i: found.avgMetrics[i])
+        return found.bestModel, found.avgMetrics[k], {p.name: v for p, v in params[k].items()}
+
     if model == "logreg":
         est = LogisticRegression(labelCol="label")
-        grid = ParamGridBuilder().addGrid(est.regParam, [100.0, 10.0, 1.0, 0.1, 0.01]).build()
-    elif model == "forest":
+        return Searched(*best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), train))
+    if model == "forest":
         est = RandomForestClassifier(labelCol="label", seed=SEED)
-        grid = ParamGridBuilder().addGrid(est.numTrees, [10, 50, 100, 200]).addGrid(est.featureSubsetStrategy, ["sqrt", "log2"]).build()
-    elif model == "svm":
-        est = LinearSVC(labelCol="label")
-        grid = ParamGridBuilder().addGrid(est.regParam, [100.0, 10.0, 1.0, 0.1]).build()
-    else:
+        return Searched(*best(est, ParamGridBuilder().addGrid(est.numTrees, grid["trees"]).addGrid(est.featureSubsetStrategy, grid["features"]).build(), train))
+    if model != "svm":
         raise ValueError(model)
-    return CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=SEED).fit(train)
+    results = []
+    for name in grid["kernel"]:
+        kernel = Nystroem(train, name, landmarks) if name != "linear" else None
+        est = LinearSVC(labelCol="label", featuresCol="mapped" if kernel else "features")
+        df = kernel.transform(train).cache() if kernel else train
+        fitted, score, choice = best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), df)
+        df.unpersist() if kernel else None
+        results.append(Searched(fitted, score, choice | {"kernel": name}, kernel))
+    return max(results, key=lambda r: r.score)
+
+
+class Nystroem:
+    """Vectors ``mapped`` whose inner products approximate a kernel of ``features``, by landmarks (Williams and Seeger, 2001).
+
+    The landmarks are the ``m`` different rows of the smallest hashes: a bounded sample, whatever the table's size. ``rbf``
+    is exp(-gamma |x - y|^2), ``poly`` is (gamma x y)^3, with gamma one over the features' number times their variance.
+    """
+
+    def __init__(self, train: DataFrame, kind: str, m: int = 100):
+        if kind not in ("rbf", "poly"):
+            raise ValueError(kind)
+        rows = train.select(vector_to_array("features").alias("x"))
+        drawn = rows.distinct().orderBy(F.xxhash64(F.lit(SEED), "x"), "x").limit(m).collect()
+        one = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v").alias("v")).first()
+        self.kind, self.points = kind, np.array([r.x for r in drawn], float)
+        self.gamma = 1.0 / (self.points.shape[1] * one.v) if len(drawn) and one.v else 1.0
+        values, vectors = np.linalg.eigh(self.kernel(self.points)) if len(drawn) else (np.zeros(0), np.zeros((0, 0)))
+        some = values > 1e-10 * max(1.0, values.max(initial=0.0))
+        self.root = vectors[:, some] / np.sqrt(values[some])
+
+    def kernel(self, x: np.ndarray) -> np.ndarray:
+        inner = x @ self.points.T
+        if self.kind == "poly":
+            return (self.gamma * inner) ** 3
+        return np.exp(-self.gamma * np.maximum(0, (x * x).sum(1)[:, None] + (self.points**2).sum(1)[None] - 2 * inner))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        own = self
+
+        @F.pandas_udf("array<double>")
+        def mapped(x: pd.Series) -> pd.Series:
+            return pd.Series(list(own.kernel(np.stack(x.to_numpy())) @ own.root)) if len(x) else pd.Series([], dtype=object)
+
+        return df.withColumn("mapped", array_to_vector(mapped(vector_to_array("features"))))
+
+
+def searched_areas(train: DataFrame, test: DataFrame, features: list[str], key: str, samplers: tuple[str, ...] = ("smote", "adasyn", "borderline", "smoteenn"), models: tuple[str, ...] = ("logreg", "forest", "svm"), folds: int = 5, grids: dict | None = None) -> DataFrame:
+    """(sampler, model, choice, cv_area, roc_auc, pr_auc): every model's best of its grid after every sampler, on the rows held out."""
+    spark, out = train.sparkSession, []
+    for sampler in samplers:
+        more = smote(train, features, key, kind=sampler)
+        scaled, held = standardised(more, test, features=features)
+        dealt = stratified(scaled, key, folds).cache()
+        for model in models:
+            found = grid_search(dealt, model, folds, (grids or {}).get(model))
+            got = areas(found.transform(held))
+            out.append((sampler, model, str(found.choice), float(found.score), float(got["roc_auc"]), float(got["pr_auc"])))
+        dealt.unpersist()
+    return spark.createDataFrame(out, "sampler string, model string, choice string, cv_area double, roc_auc double, pr_auc double")
 
 
 def areas(scored: DataFrame) -> dict[str, float]:

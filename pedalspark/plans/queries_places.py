@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from ..operators import access, accidents, autocorrelation, clusters, clusters_hierarchical, lts, risk, spatial, terrain
+from ..operators import access, accidents, autocorrelation, clusters, clusters_hierarchical, lts, overlay, risk, spatial, terrain
 from ..sources import readers
 from ..storage import stored
 from .adapters import oracle, table
@@ -169,6 +169,51 @@ def hex_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.hex_sums(p, spatial.hexagons(p, HEX), HEX, "population")
 
 
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population by rectangles around its points."""
+    p = points(spark, sf_dir, "population").withColumns({"w": 30.0 + F.col("id") % 11 * 12.5, "h": 25.0 + F.col("id") % 7 * 20.0})
+    corner = lambda i, j: F.struct((F.col("x") + i * F.col("w")).alias("x"), (F.col("y") + j * F.col("h")).alias("y"))
+    return p.select("id", "population", F.array(*(corner(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))).alias("ring"))
+
+
+_AREAS = f"{_at('population')}, areas AS (SELECT id, population, x - (30 + id % 11 * 12.5e0) AS x0, x + (30 + id % 11 * 12.5e0) AS x1, y - (25 + id % 7 * 20e0) AS y0, y + (25 + id % 7 * 20e0) AS y1 FROM population_at)"
+_WIDE, _TALL = 3**0.5 * HEX, 1.5 * HEX
+#: Hexagons around a rectangle, with the breaks of the width that both share along y; between two of them it is linear.
+_UNDER = f"""{_AREAS}, near AS (SELECT a.*, r, unnest(range(CAST(floor((x0 - r / 2e0 * {_WIDE!r}e0) / {_WIDE!r}e0) AS BIGINT) - 1, CAST(ceil((x1 - r / 2e0 * {_WIDE!r}e0) / {_WIDE!r}e0) AS BIGINT) + 2)) AS q
+ FROM (SELECT *, unnest(range(CAST(floor((y0 - {HEX}) / {_TALL!r}e0) AS BIGINT) - 1, CAST(ceil((y1 + {HEX}) / {_TALL!r}e0) AS BIGINT) + 2)) AS r FROM areas) a),
+placed AS (SELECT *, {_WIDE!r}e0 * (q + r / 2e0) AS cx, {_TALL!r}e0 * r AS cy, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, (x1 - x0) / 2 AS w, (y1 - y0) / 2 AS h FROM near),
+touching AS (SELECT * FROM placed WHERE abs(cx - mx) <= w + {_WIDE / 2!r}e0 AND abs(cy - my) <= h + {HEX}
+ AND abs((cx - mx) + (cy - my) * {3**0.5!r}e0) / 2 <= (w + h * {3**0.5!r}e0) / 2 + {_WIDE / 2!r}e0 AND abs((cx - mx) - (cy - my) * {3**0.5!r}e0) / 2 <= (w + h * {3**0.5!r}e0) / 2 + {_WIDE / 2!r}e0)"""
+
+
+@query(f"WITH {_UNDER} SELECT q, r, CAST(sum(population) AS BIGINT) AS population FROM touching GROUP BY q, r")
+def hex_population_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hexagon's sum over the areas that touch it, whole."""
+    return overlay.hex_totals(areas(spark, sf_dir), HEX, "population")
+
+
+_BREAKS = ", ".join(f"cy + {s} * greatest(0, {HEX} - {HEX / 2} * abs({x} - cx) / {_WIDE / 2!r}e0)" for s in ("1", "(-1)") for x in ("x0", "x1"))
+_HALF_WIDTH = f"CASE WHEN abs(y - cy) <= {HEX / 2} THEN {_WIDE / 2!r}e0 ELSE {_WIDE / 2!r}e0 * greatest(0, {HEX} - abs(y - cy)) / {HEX / 2} END"
+
+
+@query(f"""WITH {_UNDER}, cuts AS (SELECT *, list_sort(list_transform([y0, y1, cy - {HEX}, cy + {HEX}, cy - {HEX / 2}, cy + {HEX / 2}, {_BREAKS}], lambda v: greatest(greatest(y0, cy - {HEX}), least(least(y1, cy + {HEX}), v)))) AS ys FROM touching),
+steps AS (SELECT *, unnest(ys) AS y, unnest(range(1, len(ys) + 1)) AS i FROM cuts), widths AS (SELECT *, greatest(0, least(x1, cx + {_HALF_WIDTH}) - greatest(x0, cx - ({_HALF_WIDTH}))) AS wide FROM steps),
+parts AS (SELECT id, q, r, population, x0, x1, y0, y1, (y - lag(y) OVER k) * (wide + lag(wide) OVER k) / 2 AS part FROM widths WINDOW k AS (PARTITION BY id, q, r ORDER BY i)),
+shares AS (SELECT q, r, population * sum(part) / ((x1 - x0) * (y1 - y0)) AS p, sum(part) AS area FROM parts GROUP BY id, q, r, population, x0, x1, y0, y1)
+SELECT q, r, round(sum(p), 4) AS population FROM shares WHERE area > 1e-6 GROUP BY q, r""")
+def hex_population_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hexagon's sum over the areas that overlap it, by their share of area."""
+    return overlay.hex_totals(areas(spark, sf_dir), HEX, "population", by_area=True).select("q", "r", F.round("population", 4).alias("population"))
+
+
+@query(f"WITH {_AREAS} SELECT a.id, b.id AS other, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 3) AS area FROM areas a JOIN areas b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def area_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of areas that have a point in common, with the area that they share."""
+    a = areas(spark, sf_dir)
+    found = overlay.overlapping(a.select("id", "ring"), a.select(F.col("id").alias("other"), F.col("ring").alias("other_ring")), 200.0).filter("id < other")
+    return found.select("id", "other", F.round(overlay.shared_area(F.col("ring"), F.col("other_ring")), 3).alias("area"))
+
+
 @query(f"WITH {_at('population')}, {_at('buildings')}, {_hex('buildings')}, {_cells('population')} SELECT q, r, count(id) AS n FROM hexes LEFT JOIN buildings_hex USING (q, r) GROUP BY q, r")
 def hex_building_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.hex_sums(points(spark, sf_dir, "buildings"), spatial.hexagons(points(spark, sf_dir, "population"), HEX), HEX)
@@ -384,6 +429,30 @@ def risk_rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.with_score(risk.forest(scaled).transform(every)).select("hex", "label", "score", F.col("prediction").cast("int").alias("prediction"))
 
 
+@query()
+def risk_model_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the forest of ``risk_rf_predict``, not of given predictions."""
+    return risk.confusion(risk_rf_predict(spark, sf_dir))
+
+
+@query()
+def risk_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.report(risk_rf_predict(spark, sf_dir)).select("class", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query()
+def risk_model_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.roc_points(risk_rf_predict(spark, sf_dir))
+
+
+@query()
+def risk_searched_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each model's grid, with linear, radial and cubic kernels, over stratified folds of the resampled rows."""
+    df = _risk_table(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in _FEATURES})
+    train, test = risk.split(df, "hex")
+    return risk.searched_areas(train, test, _FEATURES, "hex", samplers=("smote",))
+
+
 @query()
 def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _risk_table(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in _FEATURES})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import wkt_points
+from ..functions.geo import line_centroid, polygon_area, polygon_centroid, wkt_points
 
 
 def csv_with_wkt(spark: SparkSession, path: str, schema: str | None = None, geometry: str = "geometry") -> DataFrame:
@@ -115,7 +115,8 @@ def raster_parquet(spark: SparkSession, path: str, rows: tuple[int, int] | None
 
 
 def centroids(features: DataFrame, points: str = "points") -> DataFrame:
-    """``features`` with lon and lat of the middle of their outline's corners, each corner once."""
-    corners = F.array_distinct(F.col(points))
-    mean = lambda c: F.aggregate(corners, F.lit(0.0), lambda a, p: a + p[c]) / F.size(corners)
-    return features.withColumns({"lon": mean("x"), "lat": mean("y")})
+    """``features`` with lon and lat of their centroid: that of the area of a closed ring, of a line's length, or the point itself."""
+    p = F.col(points)
+    ring = (F.size(p) > 3) & (p[0] == F.element_at(p, -1)) & (F.abs(polygon_area(p)) > 0)
+    middle = F.when(ring, polygon_centroid(p)).otherwise(line_centroid(p))
+    return features.withColumns({"lon": middle["x"], "lat": middle["y"]})

@@ -86,3 +86,5 @@ def test_rasters_and_centroids(spark, tmp_path):
     assert {r.row for r in some.collect()} == set(range(150, 161)) and "PartitionFilters: [" in some._jdf.queryExecution().executedPlan().toString()
     df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)],)], "points array<struct<x:double,y:double>>")
     assert tuple(readers.centroids(df).select("lon", "lat").first()) == (2.0, 1.0)
+    df = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (3.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)],), ([(0.0, 0.0), (8.0, 0.0), (8.0, 2.0)],), ([(5.0, 6.0)],)], "points array<struct<x:double,y:double>>")
+    assert [tuple(r) for r in readers.centroids(df).select("lon", "lat").collect()] == [(2.0, 1.0), (4.8, 0.2), (5.0, 6.0)]  # many corners on one side, a line, a point
