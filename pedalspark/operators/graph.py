@@ -63,15 +63,16 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return triangles.join(triads, "k").select("triangles", "triads", F.when(F.col("triads") > 0, 3.0 * F.col("triangles") / F.col("triads")).otherwise(0.0).alias("transitivity"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """(node, component) with the smallest node as the component; nodes without an edge are their own.
 
     Minima over neighbours alternate with hops along the labels themselves, so rounds grow with the logarithm of a
-    component's extent, not with the extent. At most ``SMALL`` links are finished by one task at once.
+    component's extent, not with the extent. At most ``small`` (``SMALL``) links are finished by one task at once.
     """
     both = edges.filter("u <> v").select("u", "v").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = stored(both, "links")
-    if both.limit(SMALL + 1).count() <= SMALL:
+    small = SMALL if small is None else small
+    if small and both.limit(small + 1).count() <= small:
         return _with_nodes(stored(both.coalesce(1).mapInArrow(_smallest, "node long, component long"), "labels"), nodes)
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
     while True:
@@ -165,18 +166,19 @@ def _reached(edges: DataFrame, seeds: DataFrame, live: DataFrame) -> DataFrame:
         seen = stored(seen.unionByName(front), "seen")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """(node, component) of the directed graph, named by the smallest node.
 
     Each region has a pivot, its smallest node; what the pivot both reaches and is reached from is a component, and the
     rest falls into three regions that are searched at once. Regions start as weakly connected components; nodes without
-    an edge in or out within their region are components at once. At most ``SMALL`` links are finished by one task.
+    an edge in or out within their region are components at once. At most ``small`` (``SMALL``) links are finished by one task.
     """
     links = stored(edges.filter("u <> v").select("u", "v").distinct(), "directed")
     every = nodes.select("node").distinct() if nodes is not None else links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    if links.limit(SMALL + 1).count() <= SMALL:
+    small = SMALL if small is None else small
+    if small and links.limit(small + 1).count() <= small:
         return _with_nodes(stored(links.coalesce(1).mapInArrow(_strong, "node long, component long"), "strong"), every)
-    live = stored(components(links, every).select("node", F.col("component").cast("string").alias("region")), "live")
+    live = stored(components(links, every, small).select("node", F.col("component").cast("string").alias("region")), "live")
     done = None
     while not live.isEmpty():
         pivots = live.groupBy("region").agg(F.min("node").alias("node"))
@@ -204,11 +206,11 @@ def by_stress(edges: DataFrame, *levels: int) -> DataFrame:
     return edges.filter(F.col("lts").isin(*levels))
 
 
-def low_stress_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def low_stress_components(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> DataFrame:
     """Components of the low-stress edges, with the low-stress nodes that no such edge meets."""
     low = by_stress(edges, 1, 2)
     met = low.select(F.explode(F.array("u", "v")).alias("node")).unionByName(nodes.filter(F.col("lts").isin(1, 2)).select("node")).distinct()
-    return components(low, met)
+    return components(low, met, small)
 
 
 def largest(labels: DataFrame, k: int) -> DataFrame:

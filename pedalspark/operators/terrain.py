@@ -47,6 +47,37 @@ def edge_slopes(segments: DataFrame, raster: DataFrame, cell: float, key: str) -
     return means.withColumn("slope_class", slope_class(F.col("slope")))
 
 
+def crossed_cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
+    """array<struct<row, col, length>>: every cell that a segment crosses, in order, with its length there.
+
+    The segment is cut where it meets lines of the grid, and each piece belongs to the cell of its middle, so clipped
+    corners count. A segment of no length has its point's cell.
+    """
+    at = lambda a, b, t: a + (b - a) * t
+
+    def cuts(a: Column, b: Column) -> Column:
+        first, last = F.floor(F.least(a, b) / cell) + 1, F.ceil(F.greatest(a, b) / cell) - 1
+        return F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: (k * cell - a) / (b - a))).otherwise(F.array().cast("array<double>"))
+
+    ends, whole = F.array(F.lit(0.0), F.lit(1.0)), F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+    place = lambda t, length: F.struct(F.floor(at(y0, y1, t) / cell).alias("row"), F.floor(at(x0, x1, t) / cell).alias("col"), length.alias("length"))
+
+    def pieces(t: Column) -> Column:
+        n = F.size(t) - 1
+        return F.filter(F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: place((a + b) / 2, (b - a) * whole)), lambda p: p["length"] > 0)
+
+    cut = F.element_at(F.transform(F.array(F.array_sort(F.concat(ends, cuts(x0, x1), cuts(y0, y1)))), pieces), 1)
+    return F.when(whole > 0, cut).otherwise(F.array(place(F.lit(0.0), F.lit(0.0))))
+
+
+def slopes_by_length(segments: DataFrame, raster: DataFrame, cell: float, key: str) -> DataFrame:
+    """(key, slope, slope_class): the mean of the raster under each segment (x0, y0, x1, y1), by its length in each cell; null outside."""
+    cells = segments.select(key, F.explode(crossed_cells(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), cell)).alias("c")).select(key, "c.*")
+    known = F.when(F.col("slope").isNotNull(), F.col("length"))
+    sums = cells.join(raster, ["row", "col"], "left").groupBy(key).agg(F.sum(F.col("slope") * F.col("length")).alias("s"), F.sum(known).alias("n"), F.avg("slope").alias("point"))
+    return sums.select(key, F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.col("point")).alias("slope")).withColumn("slope_class", slope_class(F.col("slope")))
+
+
 def endpoint_slope(z0: Column, z1: Column, length: Column) -> Column:
     """Percent from the ends' elevations; steps of more than 100 m are taken for errors and count as flat."""
     return F.when(F.abs(z1 - z0) > 100, 0.0).otherwise((z1 - z0) / length * 100)

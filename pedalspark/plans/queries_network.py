@@ -81,9 +81,15 @@ _LOW = "SELECT u, v FROM streets WHERE lts IN (1, 2) UNION SELECT v, u FROM stre
 
 
 @query(f"WITH RECURSIVE {JUNCTIONS}, {_closure(_LOW)}, c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1) SELECT node, component FROM c UNION SELECT node, node FROM junctions WHERE lts IN (1, 2) AND node NOT IN (SELECT node FROM c)")
-def low_stress_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def low_stress_components(spark: SparkSession, sf_dir: str, small: int | None = None) -> DataFrame:
     e = stored(stressed(spark, sf_dir).select("u", "v", "lts"), "streets")  # rules once for both branches
-    return graph.low_stress_components(e, lts.node_stress(table(spark, sf_dir, "nodes"), e))
+    return graph.low_stress_components(e, lts.node_stress(table(spark, sf_dir, "nodes"), e), small)
+
+
+@query(ORACLES["low_stress_components"])
+def low_stress_components_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by rounds of joins from the first link on, as larger networks have it."""
+    return low_stress_components(spark, sf_dir, 0)
 
 
 @query(f"WITH RECURSIVE {JUNCTIONS}, {_closure(_LOW)}, c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1), every AS (SELECT node, component FROM c UNION SELECT node, node FROM junctions WHERE lts IN (1, 2) AND node NOT IN (SELECT node FROM c)) SELECT component, count(*) AS size FROM every GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -101,6 +107,12 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components(table(spark, sf_dir, "edges"))
 
 
+@query(ORACLES["scc"])
+def scc_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by rounds of joins from the first link on, as larger networks have it."""
+    return graph.strong_components(table(spark, sf_dir, "edges"), small=0)
+
+
 @query(f"WITH RECURSIVE {STREETS}, high AS (SELECT u, v FROM streets WHERE lts IN (3, 4)), every AS (SELECT u, v FROM high UNION SELECT v, v FROM high), {_strong('SELECT u, v FROM every')}")
 def high_stress_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong components of the high-stress network."""

@@ -446,11 +446,11 @@ def risk_model_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def risk_searched_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of each model's grid, with linear, radial and cubic kernels, over stratified folds of the resampled rows."""
+def risk_kernel_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of machines with linear, radial and cubic kernels over stratified folds of the resampled rows, each at the usual penalty."""
     df = _risk_table(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in _FEATURES})
     train, test = risk.split(df, "hex")
-    return risk.searched_areas(train, test, _FEATURES, "hex", samplers=("smote",))
+    return risk.searched_areas(train, test, _FEATURES, "hex", ("smote",), ("svm",), 3, {"svm": {"C": [1], "kernel": ["linear", "rbf", "poly"]}})
 
 
 @query()
@@ -676,6 +676,18 @@ def edge_mean_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.edge_slopes(e, terrain.slopes(_dem(spark, sf_dir), 100.0), 100.0, "id").withColumn("slope", F.round("slope", 6))
 
 
+@query(f"""{_MOSAIC}{_HORN}, {oracle('edges')}, e AS (SELECT DISTINCT u || '/' || v AS id, u % 40 * 100e0 + 50 AS x0, v % 30 * 100e0 + 50 AS y0, 60e0 + u % 7 * 40 AS dx, 45e0 + v % 5 * 55 AS dy FROM edges),
+r AS (SELECT *, unnest(range(CAST(floor(y0 / 100) AS BIGINT), CAST(floor((y0 + dy) / 100) AS BIGINT) + 1)) AS r FROM e), cells AS (SELECT *, unnest(range(CAST(floor(x0 / 100) AS BIGINT), CAST(floor((x0 + dx) / 100) AS BIGINT) + 1)) AS c FROM r),
+cut AS (SELECT id, r, c, least(1e0, ((c + 1) * 100e0 - x0) / dx, ((r + 1) * 100e0 - y0) / dy) - greatest(0e0, (c * 100e0 - x0) / dx, (r * 100e0 - y0) / dy) AS part FROM cells),
+m AS (SELECT id, sum(slope * part) / sum(part) FILTER (slope IS NOT NULL) AS slope FROM cut LEFT JOIN slopes USING (r, c) WHERE part > 1e-12 GROUP BY 1)
+SELECT id, round(slope, 6) AS slope, CASE WHEN slope < 0 THEN NULL WHEN slope < 3 THEN '0-3: flat' WHEN slope < 5 THEN '3-5: mild' WHEN slope < 8 THEN '5-8: medium' WHEN slope < 10 THEN '8-10: hard' WHEN slope < 20 THEN '10-20: extreme' WHEN slope IS NOT NULL THEN '>20: impossible' END AS slope_class FROM m""")
+def edge_slope_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets lie across the raster by their numbers; every cell that one crosses counts by its length there. The SQL clips it by each cell."""
+    e = table(spark, sf_dir, "edges").select("u", "v").distinct().withColumns({"id": F.concat_ws("/", "u", "v"), "x0": F.col("u") % 40 * 100.0 + 50, "y0": F.col("v") % 30 * 100.0 + 50})
+    e = e.withColumns({"x1": F.col("x0") + 60 + F.col("u") % 7 * 40, "y1": F.col("y0") + 45 + F.col("v") % 5 * 55})
+    return terrain.slopes_by_length(e, terrain.slopes(_dem(spark, sf_dir), 100.0), 100.0, "id").withColumn("slope", F.round("slope", 6))
+
+
 @query(f"WITH {oracle('edges')} SELECT DISTINCT name, unnest(string_split(name, ' ')) AS part FROM edges")
 def graphml_edge_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of names as a graph file has them, taken apart."""

@@ -87,3 +87,19 @@ def test_clip_keeps_what_is_inside(spark):
     df = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0), (-5.0, -5.0)])], f"ring {RING}, box {RING}")
     row = df.select(overlay.clipped(F.col("ring"), F.col("box")).alias("c"), geo.polygon_area(overlay.clipped(F.col("box"), F.col("box"))).alias("a")).first()
     assert {(p.x, p.y) for p in row.c} == {(0, 0), (1, 0), (1, 1)} and row.a == 100
+
+
+def test_cells_that_a_segment_crosses(spark):
+    """Against points close together along the segment; every corner that it clips is there."""
+    from pedalspark.operators import terrain
+
+    rng = random.Random(5)
+    rows = [(i, *(rng.uniform(-40, 40) for _ in range(4))) for i in range(40)] + [(90, 5.0, 5.0, 5.0, 5.0), (91, 3.0, -12.0, 3.0, 31.0), (92, 20.0, 1.0, -20.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    got = df.select("id", terrain.crossed_cells(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), 10.0).alias("cells")).collect()
+    for (i, x0, y0, x1, y1), cells in zip(rows, (r.cells for r in sorted(got, key=lambda r: r.id))):
+        length = math.hypot(x1 - x0, y1 - y0)
+        assert sum(c.length for c in cells) == pytest.approx(length) and len({(c.row, c.col) for c in cells}) == len(cells)
+        seen = {(math.floor((y0 + (y1 - y0) * k / 4000) / 10), math.floor((x0 + (x1 - x0) * k / 4000) / 10)) for k in range(1, 4000)}
+        assert seen <= {(c.row, c.col) for c in cells} | {(c.row, c.col) for c in cells if c.length < 0.1}, i
+        assert all(c.length < 0.1 or (c.row, c.col) in seen for c in cells) or length == 0
