@@ -134,12 +134,14 @@ class Searched:
         return self.model.transform(self.kernel.transform(df) if self.kernel else df)
 
 
-def grid_search(train: DataFrame, model: str, folds: int = 5, grid: dict | None = None, weight: str | None = None, landmarks: int = 100) -> Searched:
+def grid_search(train: DataFrame, model: str, folds: int = 5, grid: dict | None = None, weight: str | None = None, landmarks: int = 100, iterations: int = 100) -> Searched:
     """The best of a grid by area under the ROC curve: ``logreg``, ``forest`` or ``svm`` with linear, radial or cubic kernels.
 
     A ``fold`` column of ``train`` deals out its rows (``stratified``); without one the rows are dealt by chance. Kernels
     work on ``landmarks`` rows (``Nystroem``), so a model costs the same whatever the number of rows.
     """
+    if model not in GRIDS:
+        raise ValueError(model)
     grid = grid or GRIDS[model]
     n = train.count()
     penalties = [1.0 / (c * max(1, n)) for c in grid.get("C", [])]
@@ -157,15 +159,13 @@ def grid_search(train: DataFrame, model: str, folds: int = 5, grid: dict | None
     if model == "forest":
         est = RandomForestClassifier(labelCol="label", seed=SEED)
         return Searched(*best(est, ParamGridBuilder().addGrid(est.numTrees, grid["trees"]).addGrid(est.featureSubsetStrategy, grid["features"]).build(), train))
-    if model != "svm":
-        raise ValueError(model)
     results = []
     for name in grid["kernel"]:
         kernel = Nystroem(train, name, landmarks) if name != "linear" else None
-        est = LinearSVC(labelCol="label", featuresCol="mapped" if kernel else "features")
-        df = kernel.transform(train).cache() if kernel else train
+        est = LinearSVC(labelCol="label", featuresCol="mapped" if kernel else "features", maxIter=iterations, standardization=kernel is None)
+        df = (kernel.transform(train) if kernel else train).cache()
         fitted, score, choice = best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), df)
-        df.unpersist() if kernel else None
+        df.unpersist()
         results.append(Searched(fitted, score, choice | {"kernel": name}, kernel))
     return max(results, key=lambda r: r.score)
 
@@ -205,7 +205,7 @@ class Nystroem:
         return df.withColumn("mapped", array_to_vector(mapped(vector_to_array("features"))))
 
 
-def searched_areas(train: DataFrame, test: DataFrame, features: list[str], key: str, samplers: tuple[str, ...] = ("smote", "adasyn", "borderline", "smoteenn"), models: tuple[str, ...] = ("logreg", "forest", "svm"), folds: int = 5, grids: dict | None = None) -> DataFrame:
+def searched_areas(train: DataFrame, test: DataFrame, features: list[str], key: str, samplers: tuple[str, ...] = ("smote", "adasyn", "borderline", "smoteenn"), models: tuple[str, ...] = ("logreg", "forest", "svm"), folds: int = 5, grids: dict | None = None, iterations: int = 100) -> DataFrame:
     """(sampler, model, choice, cv_area, roc_auc, pr_auc): every model's best of its grid after every sampler, on the rows held out."""
     spark, out = train.sparkSession, []
     for sampler in samplers:
@@ -213,7 +213,7 @@ def searched_areas(train: DataFrame, test: DataFrame, features: list[str], key:
         scaled, held = standardised(more, test, features=features)
         dealt = stratified(scaled, key, folds).cache()
         for model in models:
-            found = grid_search(dealt, model, folds, (grids or {}).get(model))
+            found = grid_search(dealt, model, folds, (grids or {}).get(model), iterations=iterations)
             got = areas(found.transform(held))
             out.append((sampler, model, str(found.choice), float(found.score), float(got["roc_auc"]), float(got["pr_auc"])))
         dealt.unpersist()

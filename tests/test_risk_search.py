@@ -38,7 +38,7 @@ def test_kernels_are_exact_with_all_rows_as_landmarks(rings, kind):
 
 def test_a_kernel_wins_where_no_line_parts_the_classes(rings):
     grid = {"C": [10], "kernel": ["linear", "rbf"]}
-    found = risk.grid_search(risk.stratified(rings, "hex", 2).coalesce(1), "svm", 2, grid, landmarks=40)
+    found = risk.grid_search(risk.stratified(rings, "hex", 2).coalesce(1), "svm", 2, grid, landmarks=40, iterations=15)
     assert found.choice["kernel"] == "rbf" and found.score > 0.98
     assert risk.areas(found.transform(rings))["roc_auc"] > 0.98
     with pytest.raises(ValueError):
@@ -49,6 +49,6 @@ def test_areas_by_sampler_and_model(rings):
     df = rings.select("hex", "a", "b", "label")
     train, test = risk.split(df, "hex")
     grids = {"logreg": {"C": [1]}, "svm": {"C": [1], "kernel": ["rbf"]}}
-    rows = risk.searched_areas(train, test, ["a", "b"], "hex", ("smote",), ("logreg", "svm"), 2, grids).collect()
+    rows = risk.searched_areas(train, test, ["a", "b"], "hex", ("smote",), ("logreg", "svm"), 2, grids, 15).collect()
     assert [(r.sampler, r.model) for r in rows] == [("smote", "logreg"), ("smote", "svm")]
     assert all(0 <= x <= 1 for r in rows for x in (r.cv_area, r.roc_auc, r.pr_auc)) and rows[1].roc_auc > rows[0].roc_auc
