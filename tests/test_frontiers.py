@@ -15,7 +15,7 @@ def rows_of(df):
 @pytest.fixture(scope="module")
 def graph(spark):
     """Whole lengths, so that many paths tie."""
-    return frame(spark, random_edges(11, 7, 20)).cache(), nodes_of(spark, 8)
+    return frame(spark, random_edges(12, 7, 20)).cache(), nodes_of(spark, 8)
 
 
 MEASURES = {
