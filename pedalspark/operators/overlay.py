@@ -2,13 +2,16 @@
 
 Rings are closed arrays of struct<x, y>. Polygons meet through the grid cells of their bounding boxes; a pair is looked at
 in the one cell that holds the lower left corner of what the boxes share, so no pair comes twice and nothing is made
-distinct afterwards. Hexagons under a polygon are listed from its box and need no join at all.
+distinct afterwards. Hexagons under a polygon are listed from its box and need no join at all; what they share is summed over
+the polygon's steps, a batch of rows at a time. Rectangles along the axes meet and share as their boxes do.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +63,22 @@ def _fan(ring: Column) -> Column:
     return F.transform(F.filter(_steps(ring), lambda s: _cross(first, s["a"], s["b"]) != 0), triangle)
 
 
+def _upright(ring: Column) -> Column:
+    """Whether a ring is a rectangle along the axes, so that it is its own bounding box."""
+    same = lambda c, i, j: F.get(ring, F.lit(i))[c] == F.get(ring, F.lit(j))[c]
+    turns = lambda c, d: same(c, 0, 1) & same(d, 1, 2) & same(c, 2, 3) & same(d, 3, 0)
+    return F.coalesce((F.size(ring) == 5) & same("x", 0, 4) & same("y", 0, 4) & (turns("x", "y") | turns("y", "x")), F.lit(False))
+
+
 def shared_area(a: Column, b: Column) -> Column:
     """The area that two simple polygons share, convex or not, however their rings run."""
+    of = lambda ring, c, best: best(F.get(ring, F.lit(0))[c], F.get(ring, F.lit(2))[c])
+    ends = lambda c: F.least(of(a, c, F.greatest), of(b, c, F.greatest)) - F.greatest(of(a, c, F.least), of(b, c, F.least))
+    boxes = F.greatest(F.lit(0.0), ends("x")) * F.greatest(F.lit(0.0), ends("y"))
+    return F.when(_upright(a) & _upright(b), boxes).otherwise(_shared_by_fans(a, b))
+
+
+def _shared_by_fans(a: Column, b: Column) -> Column:
     total = lambda x, y: F.aggregate(_fan(x), F.lit(0.0), lambda acc, t: acc + F.aggregate(_fan(y), F.lit(0.0), lambda more, u: more + t["sign"] * u["sign"] * polygon_area(clipped(t["ring"], u["ring"]))))
     return F.abs(_once(F.struct(a.cast(_POINTS).alias("a"), b.cast(_POINTS).alias("b")), lambda p: total(p["a"], p["b"])))
 
@@ -91,6 +108,12 @@ def boxed(polygons: DataFrame, ring: str = "ring", prefix: str = "") -> DataFram
     return polygons.withColumns({f"{prefix}x0": of("x", F.array_min), f"{prefix}y0": of("y", F.array_min), f"{prefix}x1": of("x", F.array_max), f"{prefix}y1": of("y", F.array_max)})
 
 
+def _dealt(polygons: DataFrame, *by: str) -> DataFrame:
+    """``polygons`` over all tasks: few bytes may hold many, and each is much work."""
+    spark = polygons.sparkSession
+    return polygons.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """The pairs of ``left`` (..., ring) and ``right`` (..., other_ring) that have a point in common, each once.
 
@@ -99,33 +122,73 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """
     at = lambda v: F.floor(v / cell)
     span = lambda lo, hi: F.explode(F.sequence(at(F.col(lo)), at(F.col(hi))))
-    a = boxed(left, "ring", "_a").withColumn("_i", span("_ax0", "_ax1")).withColumn("_j", span("_ay0", "_ay1"))
-    b = boxed(right, "other_ring", "_b").withColumn("_i", span("_bx0", "_bx1")).withColumn("_j", span("_by0", "_by1"))
+    a = boxed(_dealt(left), "ring", "_a").withColumn("_au", _upright(F.col("ring"))).withColumn("_i", span("_ax0", "_ax1")).withColumn("_j", span("_ay0", "_ay1"))
+    b = boxed(_dealt(right), "other_ring", "_b").withColumn("_bu", _upright(F.col("other_ring"))).withColumn("_i", span("_bx0", "_bx1")).withColumn("_j", span("_by0", "_by1"))
     pairs = a.join(b, ["_i", "_j"]).filter("_ax0 <= _bx1 AND _bx0 <= _ax1 AND _ay0 <= _by1 AND _by0 <= _ay1")
     once = (F.col("_i") == at(F.greatest("_ax0", "_bx0"))) & (F.col("_j") == at(F.greatest("_ay0", "_by0")))
-    return pairs.filter(once).filter(meet(F.col("ring"), F.col("other_ring"))).drop(*(f"_{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1")), "_i", "_j")
+    found = pairs.filter(once).filter(F.when(F.col("_au") & F.col("_bu"), True).otherwise(meet(F.col("ring"), F.col("other_ring"))))
+    return found.drop(*(f"_{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1", "u")), "_i", "_j")
 
 
-def hexagons_under(polygons: DataFrame, size: float, key: list[str]) -> DataFrame:
+def _hexagon_area(size: float):
+    """area(ring, x, y): what a ring shares with the hexagon of edge ``size`` around (x, y).
+
+    At each height a polygon's part within [-h, h] is the sum of its crossings, bounded by -h and h, signed by the steps'
+    directions. So the area is a sum over steps of integrals that are linear between the places where a step meets one
+    of the hexagon's lines. What is below the sum's rounding counts as nothing.
+    """
+    root = math.sqrt(3)
+
+    @F.arrow_udf("double")
+    def area(ring: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        offsets, points = ring.offsets.to_numpy(), ring.values
+        px, py = (points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+        cx, cy = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y))
+        steps = np.maximum(np.diff(offsets) - 1, 0)
+        ends, total, fine = np.cumsum(steps), np.zeros(len(steps)), np.zeros(len(steps))
+        for first in range(0, int(ends[-1]) if len(ends) else 0, 1 << 15):
+            k = np.arange(first, min(first + (1 << 15), int(ends[-1])))
+            row = np.searchsorted(ends, k, "right")
+            at = offsets[row] + k - (ends[row] - steps[row])
+            ax, ay = px[at] - cx[row], py[at] - cy[row]
+            dx, dy = px[at + 1] - cx[row] - ax, py[at + 1] - cy[row] - ay
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                cuts = [(h - ay) / dy for h in (-size, -size / 2, size / 2, size)] + [(c * root / 2 * size - ax) / dx for c in (-1, 1)]
+                cuts += [(c * root * (size - d * ay) - ax) / (dx + d * c * root * dy) for c in (-1, 1) for d in (-1, 1)]
+            t = np.stack([np.zeros(len(k)), np.ones(len(k)), *cuts])
+            t = np.sort(np.clip(np.where(np.isnan(t), 0, t), 0, 1), 0)
+            half = np.clip(root * (size - np.abs(ay + dy * t)), 0, root / 2 * size)
+            within = np.clip(ax + dx * t, -half, half)
+            total += np.bincount(row, dy * (np.diff(t, axis=0) * (within[1:] + within[:-1])).sum(0) / 2, len(steps))
+            fine += np.bincount(row, np.abs(dy), len(steps))
+        total = np.abs(total)
+        return pa.array(np.where(total > 1e-13 * size * fine, total, 0.0))
+
+    return area
+
+
+def hexagons_under(polygons: DataFrame, size: float, key: list[str], touching: bool = True) -> DataFrame:
     """(key, q, r, area, share): the hexagons of edge ``size`` that a polygon has a point in common with.
 
-    ``area`` is what they share and ``share`` its part of the polygon; both are 0 where they only touch.
+    ``area`` is what they share and ``share`` its part of the polygon; both are 0 where they only touch, and without
+    ``touching`` those are left out.
     """
     tall, wide = 1.5 * size, math.sqrt(3) * size
-    rows = boxed(polygons.select(*key, "ring")).withColumn("r", F.explode(F.sequence(F.floor((F.col("y0") - size) / tall), F.ceil((F.col("y1") + size) / tall))))
+    rows = boxed(_dealt(polygons.select(*key, "ring"), *key)).withColumn("_whole", F.abs(polygon_area(F.col("ring"))))
+    rows = rows.withColumn("r", F.explode(F.sequence(F.floor((F.col("y0") - size) / tall), F.ceil((F.col("y1") + size) / tall))))
     shift = F.col("r") / 2 * wide
     cells = rows.withColumn("q", F.explode(F.sequence(F.floor((F.col("x0") - shift) / wide - 0.5), F.ceil((F.col("x1") - shift) / wide + 0.5))))
     x, y = hex_centre(F.col("q"), F.col("r"), size)
     near = (x + wide / 2 >= F.col("x0")) & (x - wide / 2 <= F.col("x1")) & (y + size >= F.col("y0")) & (y - size <= F.col("y1"))
-    cells = cells.filter(near).withColumn("_hex", hex_ring(F.col("q"), F.col("r"), size)).filter(meet(F.col("ring"), F.col("_hex")))
-    whole = F.abs(polygon_area(F.col("ring")))
-    cells = cells.withColumns({"area": F.abs(polygon_area(clipped(F.col("ring"), F.col("_hex")))), "_whole": whole})
+    cells = cells.filter(near).withColumn("area", _hexagon_area(size)(F.col("ring").cast(_POINTS), x, y))
+    own = F.col("area") > 0
+    cells = cells.filter(F.when(own, True).otherwise(meet(F.col("ring"), hex_ring(F.col("q"), F.col("r"), size))) if touching else own)
     return cells.select(*key, F.col("q").cast("long").alias("q"), F.col("r").cast("long").alias("r"), "area", F.when(F.col("_whole") > 0, F.col("area") / F.col("_whole")).otherwise(0.0).alias("share"))
 
 
 def hex_totals(polygons: DataFrame, size: float, value: str, by_area: bool = False, key: list[str] | None = None) -> DataFrame:
     """(q, r, value): sums of a column of ``polygons`` (id, ring, value) over the hexagons that they meet: whole, or by their share of area."""
     key = key or ["id"]
-    cells = hexagons_under(polygons.select(*key, "ring", value), size, [*key, value])
+    cells = hexagons_under(polygons.select(*key, "ring", value), size, [*key, value], touching=not by_area)
     amount = F.col(value) * F.col("share") if by_area else F.col(value)
     return cells.filter("share > 0" if by_area else "true").groupBy("q", "r").agg(F.sum(amount).alias(value))

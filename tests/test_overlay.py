@@ -103,3 +103,29 @@ def test_cells_that_a_segment_crosses(spark):
         seen = {(math.floor((y0 + (y1 - y0) * k / 4000) / 10), math.floor((x0 + (x1 - x0) * k / 4000) / 10)) for k in range(1, 4000)}
         assert seen <= {(c.row, c.col) for c in cells} | {(c.row, c.col) for c in cells if c.length < 0.1}, i
         assert all(c.length < 0.1 or (c.row, c.col) in seen for c in cells) or length == 0
+
+
+def test_hexagons_share_many_polygons_out_by_sums_over_steps(spark):
+    """Areas without a clip for each pair, as large inputs need them: against clips, for polygons in batches of any size."""
+    rng, size = random.Random(21), 13.0
+    rings = [star(rng, rng.choice([3, 5, 9, 40])) for _ in range(12)] + [[(0.0, 0.0), (9.0, 0.0), (9.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]
+    df = spark.createDataFrame(list(enumerate(rings)), f"id long, ring {RING}")
+    got = overlay.hexagons_under(df, size, ["id"], touching=False)
+    assert "arrow" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    clip = F.abs(geo.polygon_area(overlay.clipped(F.col("ring"), geo.hex_ring(F.col("q"), F.col("r"), size))))
+    rows = got.join(df, "id").select("id", "q", "r", "area", "share", clip.alias("clip")).collect()
+    assert all(r.area > 0 and r.area == pytest.approx(r.clip, abs=1e-8) for r in rows)
+    for i in range(len(rings)):
+        assert sum(r.share for r in rows if r.id == i) == pytest.approx(1)
+
+
+def test_rectangles_share_what_their_boxes_share(spark):
+    """As exactly as the boxes' own differences; other rings of five corners go the general way."""
+    rect = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    a = [rect(0.1, 0.2, 10.7, 5.3), rect(3.3, 1.1, 0.7, 0.9)[::-1], [(0.0, 0.0), (6.0, 1.0), (7.0, 6.0), (1.0, 5.0), (0.0, 0.0)]]
+    df = spark.createDataFrame(list(enumerate(a)), f"id long, ring {RING}")
+    pairs = overlay.overlapping(df, df.select(F.col("id").alias("other"), F.col("ring").alias("other_ring")), 4.0)
+    upright = pairs.select("id", "other", overlay._upright(F.col("ring")).alias("u"), overlay.shared_area(F.col("ring"), F.col("other_ring")).alias("area")).collect()
+    got = {(r.id, r.other): r.area for r in upright}
+    assert len(got) == 9 and {r.id: r.u for r in upright} == {0: True, 1: True, 2: False}
+    assert got[0, 1] == (3.3 + 0.7 - 3.3) * (1.1 + 0.9 - 1.1) and got[2, 2] == pytest.approx(shared(a[2], a[2])) and got[0, 2] == pytest.approx(shared(a[0], a[2]))
