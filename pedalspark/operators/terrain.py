@@ -102,15 +102,16 @@ def quintiles(distances: DataFrame, column: str = "distance") -> DataFrame:
 
 def context(edges: DataFrame, buildings: DataFrame, radius: float, key: str = "id") -> DataFrame:
     """``edges`` (x, y of their middle) with context: urban if a building is within ``radius``, else countryside."""
-    other = buildings.select(F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = within(edges.select(key, "x", "y"), other, radius).select(key).distinct().withColumn("_u", F.lit(True))
+    # streets are copied to the cells around them, and each place of a building stands in its own
+    mine = edges.select(key, F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = within(buildings.select("x", "y").distinct(), mine, radius).select(key).distinct().withColumn("_u", F.lit(True))
     return edges.join(near, key, "left").withColumn("context", F.when(F.col("_u"), "urban").otherwise("countryside")).drop("_u")
 
 
 def context_by_quintile(edges: DataFrame, buildings: DataFrame, key: str = "id") -> DataFrame:
     """The radius is the 60th percentile of the distances between neighbouring buildings."""
     radius = percentiles(building_distances(buildings), "distance", {"p60": 0.6}).first()[0]
-    return context(edges, buildings, radius, key) if radius and not math.isnan(radius) else edges.withColumn("context", F.lit("countryside"))
+    return context(edges, buildings, radius, key) if radius is not None and not math.isnan(radius) else edges.withColumn("context", F.lit("countryside"))
 
 
 def legacy_network(edges: DataFrame) -> DataFrame:

@@ -226,3 +226,41 @@ def test_queries_run_the_whole_job(spark, monkeypatch):
     with pytest.raises(Called) as e:
         queries_places.risk_rf_predict(spark, sf)
     assert e.value.args[0].get("trees", 100) == 100
+
+
+@pytest.mark.parametrize("k, exclude", [(1, True), (2, True), (3, False)])
+def test_nearest_among_copies_clusters_and_far_points(spark, k, exclude):
+    """Places with many copies cost no pairs; points far from all others are found too."""
+    rng = random.Random(k)
+    rows = [(i, float(rng.choice([0, 1, 2])), float(rng.choice([0, 1]))) for i in range(200)]
+    rows += [(i, 50 + rng.random(), 50 + rng.random()) for i in range(200, 260)] + [(260, 9000.0, -4000.0), (261, 9000.0, -4000.5), (262, -7e5, 3.0)]
+    rows += [(i, float(i % 23), 200.0 + i // 23) for i in range(270, 400)]  # ties
+    near = spatial.nearest(frame(spark, rows), other(frame(spark, rows)), "id", "oid", k, exclude_equal_ids=exclude).collect()
+    expected = {}
+    for i, x, y in rows:
+        for r, (d, j) in enumerate(sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in rows if j != i or not exclude)[:k]):
+            expected[i, r + 1] = (j, d)
+    assert {(r.id, r["rank"]): (r.oid, r.distance) for r in near} == expected
+
+
+def test_nearest_makes_no_pairs_of_copies(spark, monkeypatch):
+    """Each of 3,000 points at three places has its neighbour at no distance: nothing is joined in cells."""
+    rows = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    asked = []
+    monkeypatch.setattr(spatial, "_cell", lambda *a: asked.append(a) or F.lit(0))
+    got = spatial.nearest(rows, other(rows), "id", "oid", 2, exclude_equal_ids=True).groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+    assert not asked and got.filter("n = 2 AND d = 0").count() == 3000
+
+
+def test_context_where_most_buildings_share_a_place(spark):
+    """A radius of 0 still finds the streets that stand on a building, as the SQL does."""
+    houses = frame(spark, [(i, float(i // 4), 0.0) for i in range(40)])
+    got = {r.id: r.context for r in terrain.context_by_quintile(frame(spark, [(1, 3.0, 0.0), (2, 3.5, 0.0)]), houses).collect()}
+    assert got == {1: "urban", 2: "countryside"}
+
+
+def test_context_copies_streets_and_not_buildings(spark):
+    """Each place of a building is joined once, whatever the number of streets."""
+    plan = terrain.context(frame(spark, [(1, 3.0, 0.0)]), spark.range(50).select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), 30.0)._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan[plan.index("Generate explode"):].splitlines()
+    assert not any("Range" in line for line in generate[:3])
