@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clean_lanes, clean_speed, mean_of_numbers
@@ -34,18 +34,31 @@ def with_assumed(df: DataFrame) -> DataFrame:
     return df.withColumns({"lanes": F.coalesce(F.col("lanes").cast("string"), F.col("lanes_assumed").cast("int").cast("string")), "maxspeed": F.coalesce(F.col("maxspeed").cast("string"), F.col("maxspeed_assumed").cast("int").cast("string"))})
 
 
-def by_highway(df: DataFrame) -> DataFrame:
-    return df.filter("highway IS NOT NULL").groupBy("highway").agg(F.count("*").alias("accident_count"))
+def meetings(found: DataFrame, streets: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """(columns, n): rows of ``found`` joined with ``streets`` on ``key``, counted by the streets' ``columns`` before the join."""
+    a = found.groupBy(*key).agg(F.count("*").alias("_a"))
+    b = streets.groupBy(*key, *columns).agg(F.count("*").alias("_b"))
+    return a.join(b, key).groupBy(*columns).agg(F.sum(F.col("_a") * F.col("_b")).alias("n"))
 
 
-def by_lanes(df: DataFrame) -> DataFrame:
+def _count(n: str | None) -> Column:
+    """The number of rows, or of those that each stands for."""
+    return (F.sum(n) if n else F.count("*")).alias("accident_count")
+
+
+def by_highway(df: DataFrame, n: str | None = None) -> DataFrame:
+    """By street; ``n``, here and below, counts the accidents that a row stands for."""
+    return df.filter("highway IS NOT NULL").groupBy("highway").agg(_count(n))
+
+
+def by_lanes(df: DataFrame, n: str | None = None) -> DataFrame:
     """(lanes, first_lane, accident_count): labels such as "2 or 4", to be ordered by their first number."""
-    counts = df.filter("lanes IS NOT NULL").groupBy(clean_lanes(F.col("lanes")).alias("lanes")).agg(F.count("*").alias("accident_count"))
+    counts = df.filter("lanes IS NOT NULL").groupBy(clean_lanes(F.col("lanes")).alias("lanes")).agg(_count(n))
     return counts.withColumn("first_lane", F.split("lanes", " or ")[0].try_cast("double"))
 
 
-def by_maxspeed(df: DataFrame) -> DataFrame:
-    return df.filter("maxspeed IS NOT NULL").groupBy(clean_speed(F.col("maxspeed")).alias("maxspeed")).agg(F.count("*").alias("accident_count"))
+def by_maxspeed(df: DataFrame, n: str | None = None) -> DataFrame:
+    return df.filter("maxspeed IS NOT NULL").groupBy(clean_speed(F.col("maxspeed")).alias("maxspeed")).agg(_count(n))
 
 
 def numeric(df: DataFrame) -> DataFrame:
@@ -58,9 +71,9 @@ def _percent(counts: DataFrame) -> DataFrame:
     return counts.withColumn("percentage", 100.0 * F.col("accident_count") / F.sum("accident_count").over(Window.partitionBy(F.lit(1))))
 
 
-def by_lts(df: DataFrame) -> DataFrame:
-    return _percent(df.filter("lts IS NOT NULL AND lts <> 0").groupBy("lts").agg(F.count("*").alias("accident_count")))
+def by_lts(df: DataFrame, n: str | None = None) -> DataFrame:
+    return _percent(df.filter("lts IS NOT NULL AND lts <> 0").groupBy("lts").agg(_count(n)))
 
 
-def by_stress(df: DataFrame) -> DataFrame:
-    return _percent(df.filter("lts IS NOT NULL AND lts <> 0").groupBy(stress_text(F.col("lts")).alias("stress_level")).agg(F.count("*").alias("accident_count")))
+def by_stress(df: DataFrame, n: str | None = None) -> DataFrame:
+    return _percent(df.filter("lts IS NOT NULL AND lts <> 0").groupBy(stress_text(F.col("lts")).alias("stress_level")).agg(_count(n)))

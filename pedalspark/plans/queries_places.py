@@ -92,12 +92,21 @@ def pieces(df: DataFrame) -> DataFrame:
     return df.select("u", (F.col("v") % 7).alias("piece"), "x0", "y0").distinct().withColumns({"x1": F.col("x0") + (F.col("piece") - 3) * 20.0, "y1": F.col("y0") + (F.col("piece") - 2) * 15.0})
 
 
-def accidents_on_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accidents of the years with all streets whose piece is within 10 m. Pieces are joined in space, streets by their piece."""
+def accidents_on_pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Accidents of the years (id, u, piece) with each piece of street within 10 m, and all streets with their piece."""
     e, n = stressed(spark, sf_dir), points(spark, sf_dir, "nodes").select(F.col("node").alias("u"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    seg = pieces(e.select("u", "v").distinct().join(n, "u")).withColumn("s", F.concat_ws("/", "u", "piece"))
+    seg = pieces(table(spark, sf_dir, "edges").select("u", "v").distinct().join(n, "u")).withColumn("s", F.concat_ws("/", "u", "piece"))
     found = spatial.near_segments(accidents.in_years(points(spark, sf_dir, "accidents")).select("id", "x", "y"), seg, 10.0, ["id", "s"]).select("id", "u", "piece")
-    return accidents.with_assumed(found.join(e.withColumn("piece", F.col("v") % 7), ["u", "piece"]))
+    return found, accidents.with_assumed(e.withColumn("piece", F.col("v") % 7))
+
+
+def accidents_on_streets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """(columns, n): how often an accident of the years meets a street whose piece is within 10 m, by the streets' ``columns``.
+
+    Streets and accidents are counted by piece before they meet, so no pair of them becomes a row.
+    """
+    found, streets = accidents_on_pieces(spark, sf_dir)
+    return accidents.meetings(found, streets, ["u", "piece"], list(columns))
 
 
 _NEAR = f"""WITH {STREETS}, {_NODES}, {_at('accidents')},
@@ -111,7 +120,8 @@ near AS (SELECT id, lts, highway, coalesce(lanes, CAST(lanes_assumed AS VARCHAR)
 @query(f"{_NEAR} SELECT a.id, count(near.id) AS n FROM accidents_at a LEFT JOIN near ON near.id = a.id WHERE anno BETWEEN 2018 AND 2023 GROUP BY 1")
 def accident_street_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many streets each accident of the years matches, 0 included."""
-    n = accidents_on_streets(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
+    found, streets = accidents_on_pieces(spark, sf_dir)
+    n = found.join(streets.groupBy("u", "piece").agg(F.count("*").alias("n")), ["u", "piece"]).groupBy("id").agg(F.sum("n").alias("n"))
     return accidents.in_years(points(spark, sf_dir, "accidents")).select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -125,27 +135,27 @@ def within_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_NEAR} SELECT highway, count(*) AS accident_count FROM near GROUP BY 1")
 def accidents_by_highway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accidents.by_highway(accidents_on_streets(spark, sf_dir))
+    return accidents.by_highway(accidents_on_streets(spark, sf_dir, "highway"), "n")
 
 
 @query(f"{_NEAR} SELECT array_to_string(regexp_extract_all(lanes, '\\d+'), ' or ') AS lanes, count(*) AS accident_count, CAST(regexp_extract(lanes, '\\d+') AS DOUBLE) AS first_lane FROM near GROUP BY ALL")
 def accidents_by_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accidents.by_lanes(accidents_on_streets(spark, sf_dir))
+    return accidents.by_lanes(accidents_on_streets(spark, sf_dir, "lanes"), "n")
 
 
 @query(f"{_NEAR} SELECT CASE WHEN maxspeed LIKE '%IT:urban%' THEN 50 ELSE coalesce(list_max(list_transform(regexp_extract_all(maxspeed, '\\d+'), lambda s: CAST(s AS INTEGER))), 50) END AS maxspeed, count(*) AS accident_count FROM near GROUP BY 1")
 def accidents_by_maxspeed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accidents.by_maxspeed(accidents_on_streets(spark, sf_dir))
+    return accidents.by_maxspeed(accidents_on_streets(spark, sf_dir, "maxspeed"), "n")
 
 
 @query(f"{_NEAR} SELECT lts, count(*) AS accident_count, round(100.0e0 * count(*) / sum(count(*)) OVER (), 6) AS percentage FROM near WHERE lts <> 0 GROUP BY 1")
 def accidents_by_lts_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accidents.by_lts(accidents_on_streets(spark, sf_dir)).withColumn("percentage", F.round("percentage", 6))
+    return accidents.by_lts(accidents_on_streets(spark, sf_dir, "lts"), "n").withColumn("percentage", F.round("percentage", 6))
 
 
 @query(f"{_NEAR} SELECT CASE WHEN lts IN (1, 2) THEN 'low stress' WHEN lts IN (3, 4) THEN 'high stress' ELSE 'undefined' END AS stress_level, count(*) AS accident_count, round(100.0e0 * count(*) / sum(count(*)) OVER (), 6) AS percentage FROM near WHERE lts <> 0 GROUP BY 1")
 def accidents_by_stress_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accidents.by_stress(accidents_on_streets(spark, sf_dir)).withColumn("percentage", F.round("percentage", 6))
+    return accidents.by_stress(accidents_on_streets(spark, sf_dir, "lts"), "n").withColumn("percentage", F.round("percentage", 6))
 
 
 @query(f"WITH {_at('accidents')}, {_NODES} SELECT kind, count(node) AS n_near, count(*) FILTER (node IS NULL) AS n_without FROM (SELECT a.kind, n.node FROM accidents_at a LEFT JOIN (SELECT node, x, y FROM nodes_at) n ON n.x BETWEEN a.x - 60 AND a.x + 60 AND (a.x - n.x) * (a.x - n.x) + (a.y - n.y) * (a.y - n.y) <= 2500) GROUP BY 1")

@@ -264,3 +264,12 @@ def test_context_copies_streets_and_not_buildings(spark):
     plan = terrain.context(frame(spark, [(1, 3.0, 0.0)]), spark.range(50).select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), 30.0)._jdf.queryExecution().optimizedPlan().toString()
     generate = plan[plan.index("Generate explode"):].splitlines()
     assert not any("Range" in line for line in generate[:3])
+
+
+def test_accidents_meet_streets_without_a_row_for_each_pair(spark):
+    """2,000,000 accidents and as many streets on two pieces: 2e12 meetings, counted and not made."""
+    n = 2_000_000
+    found = spark.range(n).select("id", (F.col("id") % 2).alias("piece"))
+    streets = spark.range(n).select((F.col("id") % 2).alias("piece"), F.when(F.col("id") % 4 < 2, "2;4").otherwise("1").alias("lanes"))
+    got = {r.lanes: r.accident_count for r in accidents.by_lanes(accidents.meetings(found, streets, ["piece"], ["lanes"]), "n").collect()}
+    assert got == {"2 or 4": n * n // 4, "1": n * n // 4}
