@@ -18,6 +18,20 @@ from ..storage import stored
 from .graph import components
 
 
+#: Distances that a task holds at once when blocks of rows are compared: 8 MB.
+STRIP = 1 << 20
+
+
+def distances_between(x: np.ndarray, y: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` and ``y``, whose squares' sums are ``square``, in one array."""
+    d = x @ y.T
+    d *= -2
+    d += (x * x).sum(1)[:, None]
+    d += square
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
+
+
 def _reach(df: DataFrame) -> DataFrame:
     """Each row for its cell and those around it that the radius can reach: (i, j) becomes the other's cell."""
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) < 4))
@@ -131,25 +145,32 @@ def calinski_harabasz(df: DataFrame, features: list[str]) -> DataFrame:
 def silhouette(df: DataFrame, features: list[str]) -> DataFrame:
     """The mean silhouette by Euclidean distance, of rows without noise.
 
-    Rows are compared with distinct places and their weights in blocks of bounded size; only sums by row and cluster
-    leave a task.
+    Rows are compared with distinct places and their weights in blocks of bounded size, ``STRIP`` distances at a time; only
+    sums by row and cluster leave a task.
     """
     real = stored(df.filter("cluster >= 0").groupBy(*features, "cluster").agg(F.count("*").alias("w")).withColumn("p", F.monotonically_increasing_id()), "placed")
-    blocks = max(1, -(-real.count() // 4096))
+    block = 4096 if real.select("cluster").distinct().count() <= 1024 else 2048  # a block sends a row for each place and cluster
+    blocks = max(1, -(-real.count() // block))
     mine = real.withColumn("_i", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     theirs = real.withColumn("_j", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     theirs = theirs.toDF(*theirs.columns)
+    strip = STRIP
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"p": [], "cluster": [], "w": [], "c": [], "s": [], "n": []}).astype({"p": "int64", "cluster": "int64", "w": "int64", "c": "int64", "s": "float64", "n": "int64"})
-        x, y, out = left[features].to_numpy(float), right[features].to_numpy(float), []
-        far = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-        far[left.p.to_numpy()[:, None] == right.p.to_numpy()[None]] = 0
-        for c in np.unique(right.cluster):
-            own = (right.cluster == c).to_numpy()
-            out.append(pd.DataFrame({"p": left.p, "cluster": left.cluster, "w": left.w, "c": c, "s": far[:, own] @ right.w[own].to_numpy(float), "n": int(right.w[own].sum())}))
-        return pd.concat(out)
+        right = right.sort_values("cluster", kind="stable")
+        x, y, weights = left[features].to_numpy(float), right[features].to_numpy(float), right.w.to_numpy(float)
+        p, q, square = left.p.to_numpy(), right.p.to_numpy(), (y * y).sum(1)
+        found, starts = np.unique(right.cluster.to_numpy(), return_index=True)
+        total, rows = np.empty((len(left), len(found))), max(1, strip // len(right))
+        for i in range(0, len(left), rows):
+            far = distances_between(x[i : i + rows], y, square)
+            far[p[i : i + rows, None] == q[None]] = 0
+            far *= weights
+            total[i : i + rows] = np.add.reduceat(far, starts, axis=1)
+        n, k = np.add.reduceat(right.w.to_numpy(), starts), len(found)
+        return pd.DataFrame({c: np.repeat(left[c].to_numpy(), k) for c in ("p", "cluster", "w")} | {"c": np.tile(found, len(left)), "s": total.ravel(), "n": np.tile(n, len(left))})
 
     parts = mine.groupBy("_i", "_j").cogroup(theirs.groupBy("_i", "_j")).applyInPandas(sums, "p long, cluster long, w long, c long, s double, n long")
     whole = parts.groupBy("p", "cluster", "w", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

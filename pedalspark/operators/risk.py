@@ -15,10 +15,21 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import percentiles, running_before
 from ..storage import stored
+from .clusters import STRIP, distances_between
 
 SEED = 42
 
 
+#: Rows for each task of a fit. A fit is hundreds of short jobs, so a small table must not be spread over many tasks.
+ROWS = 20_000
+
+
+def packed(df: DataFrame, name: str = "packed") -> DataFrame:
+    """``df``, stored and read in as few partitions as hold ``ROWS`` rows each."""
+    rows = stored(df, name)
+    return rows.coalesce(max(1, -(-rows.count() // ROWS)))
+
+
 def risk_label(df: DataFrame, count: str = "accidents", share: float = 0.85) -> DataFrame:
     """``df`` with label 1 where the count is above the percentile, interpolated linearly."""
     cut = percentiles(df, count, {"_c": share}).withColumn("_k", F.lit(1))
@@ -96,10 +107,14 @@ def neighbours(left: DataFrame, right: DataFrame, features: list[str], key: str,
         if not len(a) or not len(b):
             return pd.DataFrame({key: a[key].head(0), "_o": a[key].head(0), "d": pd.Series([], dtype=float)})
         x, y = a[features].to_numpy(float), b[features].to_numpy(float)
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-        d[a[key].to_numpy()[:, None] == b["_o"].to_numpy()[None]] = np.inf
-        few = np.argsort(d, 1, kind="stable")[:, :k]
-        out = pd.DataFrame({key: np.repeat(a[key].to_numpy(), few.shape[1]), "_o": b["_o"].to_numpy()[few.ravel()], "d": np.take_along_axis(d, few, 1).ravel()})
+        own, other, square = a[key].to_numpy(), b["_o"].to_numpy(), (y * y).sum(1)
+        rows, kept = max(1, STRIP // len(b)), []
+        for i in range(0, len(a), rows):
+            d = distances_between(x[i : i + rows], y, square)
+            d[own[i : i + rows, None] == other[None]] = np.inf
+            few = np.argsort(d, 1, kind="stable")[:, :k]
+            kept.append((np.repeat(own[i : i + rows], few.shape[1]), other[few.ravel()], np.take_along_axis(d, few, 1).ravel()))
+        out = pd.DataFrame(dict(zip((key, "_o", "d"), map(np.concatenate, zip(*kept)))))
         return out[np.isfinite(out.d)]
 
     found = mine.groupBy("_i", "_j").cogroup(theirs.groupBy("_i", "_j")).applyInPandas(run, f"`{key}` {kind}, `_o` {kind}, d double")
@@ -143,6 +158,7 @@ def grid_search(train: DataFrame, model: str, folds: int = 5, grid: dict | None
     if model not in GRIDS:
         raise ValueError(model)
     grid = grid or GRIDS[model]
+    train = packed(train, "train").cache()
     n = train.count()
     penalties = [1.0 / (c * max(1, n)) for c in grid.get("C", [])]
     weigh = lambda est: est.setWeightCol(weight) if weight else est
@@ -153,21 +169,25 @@ def grid_search(train: DataFrame, model: str, folds: int = 5, grid: dict | None
         k = max(range(len(params)), key=lambda i: found.avgMetrics[i])
         return found.bestModel, found.avgMetrics[k], {p.name: v for p, v in params[k].items()}
 
-    if model == "logreg":
-        est = LogisticRegression(labelCol="label")
-        return Searched(*best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), train))
-    if model == "forest":
-        est = RandomForestClassifier(labelCol="label", seed=SEED)
-        return Searched(*best(est, ParamGridBuilder().addGrid(est.numTrees, grid["trees"]).addGrid(est.featureSubsetStrategy, grid["features"]).build(), train))
-    results = []
-    for name in grid["kernel"]:
-        kernel = Nystroem(train, name, landmarks) if name != "linear" else None
-        est = LinearSVC(labelCol="label", featuresCol="mapped" if kernel else "features", maxIter=iterations, standardization=kernel is None)
-        df = (kernel.transform(train) if kernel else train).cache()
-        fitted, score, choice = best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), df)
-        df.unpersist()
-        results.append(Searched(fitted, score, choice | {"kernel": name}, kernel))
-    return max(results, key=lambda r: r.score)
+    try:
+        if model == "logreg":
+            est = LogisticRegression(labelCol="label")
+            return Searched(*best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), train))
+        if model == "forest":
+            est = RandomForestClassifier(labelCol="label", seed=SEED)
+            return Searched(*best(est, ParamGridBuilder().addGrid(est.numTrees, grid["trees"]).addGrid(est.featureSubsetStrategy, grid["features"]).build(), train))
+        results = []
+        for name in grid["kernel"]:
+            kernel = Nystroem(train, name, landmarks) if name != "linear" else None
+            est = LinearSVC(labelCol="label", featuresCol="mapped" if kernel else "features", maxIter=iterations, standardization=kernel is None)
+            df = kernel.transform(train).cache() if kernel else train
+            fitted, score, choice = best(est, ParamGridBuilder().addGrid(est.regParam, penalties).build(), df)
+            if kernel:
+                df.unpersist()
+            results.append(Searched(fitted, score, choice | {"kernel": name}, kernel))
+        return max(results, key=lambda r: r.score)
+    finally:
+        train.unpersist()
 
 
 class Nystroem:
@@ -211,12 +231,11 @@ def searched_areas(train: DataFrame, test: DataFrame, features: list[str], key:
     for sampler in samplers:
         more = smote(train, features, key, kind=sampler)
         scaled, held = standardised(more, test, features=features)
-        dealt = stratified(scaled, key, folds).cache()
+        dealt = stored(stratified(scaled, key, folds), "dealt")
         for model in models:
             found = grid_search(dealt, model, folds, (grids or {}).get(model), iterations=iterations)
             got = areas(found.transform(held))
             out.append((sampler, model, str(found.choice), float(found.score), float(got["roc_auc"]), float(got["pr_auc"])))
-        dealt.unpersist()
     return spark.createDataFrame(out, "sampler string, model string, choice string, cv_area double, roc_auc double, pr_auc double")
 
 

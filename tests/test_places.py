@@ -273,3 +273,17 @@ def test_accidents_meet_streets_without_a_row_for_each_pair(spark):
     streets = spark.range(n).select((F.col("id") % 2).alias("piece"), F.when(F.col("id") % 4 < 2, "2;4").otherwise("1").alias("lanes"))
     got = {r.lanes: r.accident_count for r in accidents.by_lanes(accidents.meetings(found, streets, ["piece"], ["lanes"]), "n").collect()}
     assert got == {"2 or 4": n * n // 4, "1": n * n // 4}
+
+
+def test_silhouette_of_blocks_holds_a_strip_at_a_time(spark, monkeypatch):
+    """No task may hold all distances of two blocks: strips of 64 give the mean that whole rows do."""
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(90, 2)), rng.integers(0, 4, 90)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.stack([d[:, c == k].sum(1) / np.where(c == k, (c == k).sum() - 1, (c == k).sum()) for k in range(4)], 1)
+    a = means[np.arange(90), c]
+    means[np.arange(90), c] = np.inf
+    expected = ((means.min(1) - a) / np.maximum(a, means.min(1))).mean()
+    df = spark.createDataFrame([(float(p), float(q), int(k)) for (p, q), k in zip(x, c)], "a double, b double, cluster long")
+    monkeypatch.setattr(clusters, "STRIP", 64)
+    assert clusters.silhouette(df, ["a", "b"]).first()[0] == pytest.approx(expected, abs=1e-9)

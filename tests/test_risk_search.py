@@ -52,3 +52,17 @@ def test_areas_by_sampler_and_model(rings):
     rows = risk.searched_areas(train, test, ["a", "b"], "hex", ("smote",), ("logreg", "svm"), 2, grids, 15).collect()
     assert [(r.sampler, r.model) for r in rows] == [("smote", "logreg"), ("smote", "svm")]
     assert all(0 <= x <= 1 for r in rows for x in (r.cv_area, r.roc_auc, r.pr_auc)) and rows[1].roc_auc > rows[0].roc_auc
+
+
+def test_fits_of_small_tables_stay_in_few_tasks(rings, monkeypatch):
+    """A fit is hundreds of jobs: spread over 40 tasks each, 160 rows take minutes."""
+    seen = []
+
+    class Watched(risk.CrossValidator):
+        def fit(self, df, params=None):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df, params)
+
+    monkeypatch.setattr(risk, "CrossValidator", Watched)
+    risk.grid_search(risk.stratified(rings, "hex", 2).repartition(40), "svm", 2, {"C": [1], "kernel": ["linear", "rbf"]}, landmarks=20, iterations=5)
+    assert seen == [1, 1]
