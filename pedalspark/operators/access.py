@@ -75,11 +75,24 @@ def connected(baseline: DataFrame, low: DataFrame, detour: float = DETOUR) -> Da
     return both.select("a", "b", F.coalesce(F.col("low").isNotNull() & (F.col("base").isNull() | (F.col("low") <= detour * F.col("base"))), F.lit(False)).alias("connected"))
 
 
+def _at_nodes(destinations: DataFrame, nodes: DataFrame) -> DataFrame:
+    return nearest(destinations, nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry")), "id", "node").select("id", "type", F.col("node").alias("target"))
+
+
 def accessible(rep: DataFrame, destinations: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = RADIUS) -> DataFrame:
     """(hex, id, type, distance): destinations (id, type, x, y) at most ``radius`` away on the network."""
-    at = nearest(destinations, nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry")), "id", "node").select("id", "type", F.col("node").alias("target"))
     d = distances(edges, rep.select("node"), radius)
-    return d.join(rep.withColumnRenamed("node", "source"), "source").join(at, "target").select("hex", "id", "type", "distance")
+    return d.join(rep.withColumnRenamed("node", "source"), "source").join(_at_nodes(destinations, nodes), "target").select("hex", "id", "type", "distance")
+
+
+def accessible_types(rep: DataFrame, destinations: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(hex, type, n, distance): ``accessible`` counted by type, with the distance of the nearest.
+
+    Destinations are counted by node and type before they meet the hexagons, so no pair of both becomes a row.
+    """
+    at = _at_nodes(destinations, nodes).groupBy("target", "type").agg(F.count("*").alias("n"))
+    d = distances(edges, rep.select("node"), radius)
+    return d.join(rep.withColumnRenamed("node", "source"), "source").join(at, "target").groupBy("hex", "type").agg(F.sum("n").alias("n"), F.min("distance").alias("distance"))
 
 
 def type_scores(reached: DataFrame, hexes: DataFrame, key: str = "hex") -> DataFrame:

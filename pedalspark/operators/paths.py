@@ -151,6 +151,8 @@ def every_node(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, weight: str = "length", with_path: bool = False) -> DataFrame:
     """(source, target, distance) and the path, an array of nodes, for all targets in reach, the source itself included."""
+    if too_large(edges):  # it is the simple graph that counts
+        edges = stored(simple_edges(edges, weight=weight), "simple")
     if too_large(edges):
         known = sources.select("node").join(every_node(edges, sources.select("node").limit(0)), "node", "left_semi")
         return (frontiers.routes if with_path else relaxed)(edges, known, cutoff, weight)

@@ -284,8 +284,8 @@ SELECT hex, type, count(*) AS n, min(d) / {UNIT}.0e0 AS nearest FROM dist JOIN r
 def access_2km(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destinations of each hexagon within 2000 m of streets, by type."""
     d = access.usable(table(spark, sf_dir, "destinations"))
-    got = _metres(access.accessible(_rep(spark, sf_dir), placed(d), points(spark, sf_dir, "nodes"), _ways(spark, sf_dir), CUTOFF * UNIT))
-    return got.groupBy("hex", "type").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
+    got = _metres(access.accessible_types(_rep(spark, sf_dir), placed(d), points(spark, sf_dir, "nodes"), _ways(spark, sf_dir), CUTOFF * UNIT))
+    return got.select("hex", "type", "n", F.col("distance").alias("nearest"))
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

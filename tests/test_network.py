@@ -184,3 +184,17 @@ def test_declustering_in_rounds(spark, monkeypatch):
     df = spark.createDataFrame(list(rows.values()), "source long, target long, benefit double, path array<long>")
     got = [(r.source, r.target) for r in gaps.declustered(df).collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def test_destinations_in_reach_are_counted_before_they_meet_hexagons(spark):
+    """300,000 destinations at one node and 300 hexagons: 9e7 pairs, counted and not made."""
+    from pyspark.sql import functions as F
+
+    from pedalspark.operators import access
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0)], "node long, x double, y double")
+    edges = spark.createDataFrame([(2, 1, 120.0), (1, 2, 110.0)], "u long, v long, length double")
+    rep = spark.range(300).select(F.col("id").cast("string").alias("hex"), (F.col("id") % 2 + 1).alias("node"))
+    d = spark.range(300_000).select("id", F.when(F.col("id") % 3 == 0, "bar").otherwise("cafe").alias("type"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))
+    rows = access.accessible_types(rep, d, nodes, edges, 2000.0).collect()
+    assert {(r.hex, r.type): (r.n, r.distance) for r in rows} == {(str(h), t): (n, 120.0 * (h % 2)) for h in range(300) for t, n in (("bar", 100_000), ("cafe", 200_000))}
