@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import _steps, contains, hex_centre, hex_ring, polygon_area
+from .lts import fenced
 
 _POINTS = "array<struct<x:double,y:double>>"
 
@@ -108,10 +109,51 @@ def boxed(polygons: DataFrame, ring: str = "ring", prefix: str = "") -> DataFram
     return polygons.withColumns({f"{prefix}x0": of("x", F.array_min), f"{prefix}y0": of("y", F.array_min), f"{prefix}x1": of("x", F.array_max), f"{prefix}y1": of("y", F.array_max)})
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _dealt(polygons: DataFrame, *by: str) -> DataFrame:
     """``polygons`` over all tasks: few bytes may hold many, and each is much work."""
-    spark = polygons.sparkSession
-    return polygons.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+    return polygons.repartition(_tasks(polygons), *by)
+
+
+def _of_kind(polygons: DataFrame, ring: str, name: str) -> DataFrame:
+    """``polygons`` with whether they are rectangles along the axes, for filters that don't make rings anew."""
+    return polygons.withColumn(name, fenced(_upright(F.col(ring))))
+
+
+#: Polygons of the right that a task meets at once in one cell; fuller cells are split.
+CELL = 4096
+
+
+def _in_cells(polygons: DataFrame, ring: str, side: str, cell: float) -> DataFrame:
+    """``polygons`` with their boxes, whether they are rectangles (``side`` u), and a row for each cell _i, _j of the box.
+
+    ``side`` i and ``side`` j tell the box's first column and row.
+    """
+    at = lambda c: F.floor(F.col(f"{side}{c}") / cell)
+    rows = boxed(_of_kind(_dealt(polygons), ring, f"{side}u"), ring, side)
+    rows = rows.withColumn("_i", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_j", F.explode(F.sequence(at("y0"), at("y1"))))
+    return rows.withColumns({f"{side}i": F.col("_i") == at("x0"), f"{side}j": F.col("_j") == at("y0")})
+
+
+def _boxes_meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of rows in cells whose boxes meet, each in the one cell of the lower left corner of what they share.
+
+    Only a list of the fullest cells, a row for ``CELL`` of the right at most, is broadcast. Tasks are as many as the session
+    names: few bytes make many pairs.
+    """
+    full = F.broadcast(b.groupBy("_i", "_j").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_n")).filter("_n > 1"))
+    parts = F.coalesce("_n", F.lit(1))
+    a = a.join(full, ["_i", "_j"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    b = b.join(full, ["_i", "_j"], "left").withColumn("_s", F.pmod(F.xxhash64(*b.columns), parts).cast("int")).drop("_n")
+    cell = ["_i", "_j", "_s"]
+    pairs = a.repartition(_tasks(a), *cell).join(b.repartition(_tasks(a), *cell).hint("merge"), cell).drop(*cell)
+    return pairs.filter("_ax0 <= _bx1 AND _bx0 <= _ax1 AND _ay0 <= _by1 AND _by0 <= _ay1 AND (_ai OR _bi) AND (_aj OR _bj)")
+
+
+_OF_BOXES = tuple(f"_{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1", "u", "i", "j"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -120,14 +162,27 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     ``cell``: the grid's width, about that of a polygon; larger polygons stand in several cells. No other columns of both
     sides may share a name.
     """
-    at = lambda v: F.floor(v / cell)
-    span = lambda lo, hi: F.explode(F.sequence(at(F.col(lo)), at(F.col(hi))))
-    a = boxed(_dealt(left), "ring", "_a").withColumn("_au", _upright(F.col("ring"))).withColumn("_i", span("_ax0", "_ax1")).withColumn("_j", span("_ay0", "_ay1"))
-    b = boxed(_dealt(right), "other_ring", "_b").withColumn("_bu", _upright(F.col("other_ring"))).withColumn("_i", span("_bx0", "_bx1")).withColumn("_j", span("_by0", "_by1"))
-    pairs = a.join(b, ["_i", "_j"]).filter("_ax0 <= _bx1 AND _bx0 <= _ax1 AND _ay0 <= _by1 AND _by0 <= _ay1")
-    once = (F.col("_i") == at(F.greatest("_ax0", "_bx0"))) & (F.col("_j") == at(F.greatest("_ay0", "_by0")))
-    found = pairs.filter(once).filter(F.when(F.col("_au") & F.col("_bu"), True).otherwise(meet(F.col("ring"), F.col("other_ring"))))
-    return found.drop(*(f"_{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1", "u")), "_i", "_j")
+    pairs = _boxes_meet(_in_cells(left, "ring", "_a", cell), _in_cells(right, "other_ring", "_b", cell))
+    return pairs.filter(F.when(F.col("_au") & F.col("_bu"), True).otherwise(meet(F.col("ring"), F.col("other_ring")))).drop(*_OF_BOXES)
+
+
+def overlaps(left: DataFrame, right: DataFrame, cell: float, only: Column | None = None) -> DataFrame:
+    """Pairs as ``overlapping`` finds them, without rings, with the ``area`` that they share; ``only`` chooses among pairs.
+
+    Rectangles along the axes meet by their boxes and leave their rings behind; pairs with other polygons go apart, so that
+    the many tests of rectangles stay short.
+    """
+    a, b = _in_cells(left, "ring", "_a", cell).filter("_au").drop("ring"), _in_cells(right, "other_ring", "_b", cell).filter("_bu").drop("other_ring")
+    long = lambda c: F.least(f"_a{c}1", f"_b{c}1") - F.greatest(f"_a{c}0", f"_b{c}0")
+    chosen = lambda pairs: pairs if only is None else pairs.filter(only)
+    found = chosen(_boxes_meet(a, b)).withColumn("area", long("x") * long("y")).drop(*_OF_BOXES)
+    of_kind, other = _of_kind(left, "ring", "_u"), _of_kind(right, "other_ring", "_u")
+    odd, other_odd = of_kind.filter("NOT _u").drop("_u"), other.filter("NOT _u").drop("_u")
+    for one, two, any_ in ((odd, right, odd), (of_kind.filter("_u").drop("_u"), other_odd, other_odd)):
+        if not any_.isEmpty():
+            shared = shared_area(F.col("ring"), F.col("other_ring"))
+            found = found.unionByName(chosen(overlapping(one, two, cell)).withColumn("area", shared).drop("ring", "other_ring"))
+    return found
 
 
 def _hexagon_area(size: float):

@@ -220,8 +220,9 @@ def hex_population_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 def area_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of areas that have a point in common, with the area that they share."""
     a = areas(spark, sf_dir)
-    found = overlay.overlapping(a.select("id", "ring"), a.select(F.col("id").alias("other"), F.col("ring").alias("other_ring")), 200.0).filter("id < other")
-    return found.select("id", "other", F.round(overlay.shared_area(F.col("ring"), F.col("other_ring")), 3).alias("area"))
+    found = overlay.overlaps(a.select("id", "ring"), a.select(F.col("id").alias("other"), F.col("ring").alias("other_ring")), 200.0, F.col("id") < F.col("other"))
+    # rounded as the SQL rounds, in doubles: a decimal for each pair costs more than the pair
+    return found.select("id", "other", (F.floor(F.col("area") * 1000 + 0.5) / 1000).alias("area"))
 
 
 @query(f"WITH {_at('population')}, {_at('buildings')}, {_hex('buildings')}, {_cells('population')} SELECT q, r, count(id) AS n FROM hexes LEFT JOIN buildings_hex USING (q, r) GROUP BY q, r")

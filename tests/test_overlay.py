@@ -129,3 +129,34 @@ def test_rectangles_share_what_their_boxes_share(spark):
     got = {(r.id, r.other): r.area for r in upright}
     assert len(got) == 9 and {r.id: r.u for r in upright} == {0: True, 1: True, 2: False}
     assert got[0, 1] == (3.3 + 0.7 - 3.3) * (1.1 + 0.9 - 1.1) and got[2, 2] == pytest.approx(shared(a[2], a[2])) and got[0, 2] == pytest.approx(shared(a[0], a[2]))
+
+
+def test_overlaps_of_full_cells_meet_by_boxes(spark, monkeypatch):
+    """Rectangles by their boxes alone, cells split in parts, no side broadcast; other polygons as ever, each pair once."""
+    rng = random.Random(31)
+    rect = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    rings = [rect(rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(1, 20), rng.uniform(1, 20)) for _ in range(40)]
+    rings += [[(x * 0.3 + 10, y * 0.3 + 10) for x, y in star(rng, n)] for n in (3, 5, 8)] + rings[:3]
+    df = spark.createDataFrame(list(enumerate(rings)), f"id long, ring {RING}")
+    other = df.select(F.col("id").alias("other"), F.col("ring").alias("other_ring"))
+    monkeypatch.setattr(overlay, "CELL", 3)
+    only = F.col("id") < F.col("other")
+    rows = overlay.overlaps(df, other, 9.0, only).collect()
+    got = {(r.id, r.other): r.area for r in rows}
+    assert len(got) == len(rows)
+    assert {k: pytest.approx(a, abs=1e-6) for k, a in got.items() if a > 1e-9} == {(i, j): a for i, x in enumerate(rings) for j, y in enumerate(rings) if i < j and (a := shared(x, y)) > 1e-9}
+    plan = overlay.overlaps(df.filter("id < 40"), other.filter("other < 40"), 9.0, only)._jdf.queryExecution()
+    assert "SortMergeJoin [_i" in plan.executedPlan().toString()
+    join = plan.optimizedPlan().toString().split("Join Inner")[1]
+    assert "RepartitionByExpression" in join and "ring" not in join.split("RepartitionByExpression")[0]
+    assert overlay.overlaps(df.limit(0), other, 9.0).count() == 0
+
+
+def test_full_cells_are_dealt_over_tasks(spark, monkeypatch):
+    """2,000 copies of one square: no task holds more of a side than a part of the cell, and all pairs are there."""
+    square = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))))
+    monkeypatch.setattr(overlay, "CELL", 50)
+    df = spark.range(2000).select("id", square.alias("ring"))
+    pairs = overlay.overlaps(df, df.select(F.col("id").alias("other"), F.col("ring").alias("other_ring")), 10.0)
+    assert pairs.groupBy(F.spark_partition_id()).count().count() > 1
+    assert pairs.agg(F.count("*"), F.sum("area")).first()[:] == (4_000_000, 4_000_000.0)
