@@ -8,6 +8,8 @@ points, in blocks of bounded size.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,8 +20,10 @@ from ..storage import stored
 from .graph import components
 
 
-#: Distances that a task holds at once when blocks of rows are compared: 8 MB.
-STRIP = 1 << 20
+#: Distances that a task holds at once when blocks of rows are compared: 512 KB, which stay in a core's cache.
+STRIP = 1 << 16
+#: Sums by row and cluster that a block of rows may send: 2 MB a column.
+SUMS = 1 << 18
 
 
 def distances_between(x: np.ndarray, y: np.ndarray, square: np.ndarray) -> np.ndarray:
@@ -146,29 +150,39 @@ def silhouette(df: DataFrame, features: list[str]) -> DataFrame:
     """The mean silhouette by Euclidean distance, of rows without noise.
 
     Rows are compared with distinct places and their weights in blocks of bounded size, ``STRIP`` distances at a time; only
-    sums by row and cluster leave a task.
+    sums by row and cluster leave a task, ``SUMS`` of a block at most. Blocks are no smaller than that bound and the number
+    of tasks ask for, as each row is sent once for each block.
     """
     real = stored(df.filter("cluster >= 0").groupBy(*features, "cluster").agg(F.count("*").alias("w")).withColumn("p", F.monotonically_increasing_id()), "placed")
-    block = 4096 if real.select("cluster").distinct().count() <= 1024 else 2048  # a block sends a row for each place and cluster
-    blocks = max(1, -(-real.count() // block))
-    mine = real.withColumn("_i", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    theirs = real.withColumn("_j", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    theirs = theirs.toDF(*theirs.columns)
+    most = max(256, SUMS // max(1, real.select("cluster").distinct().count()))
+    rows, tasks = real.count(), max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-rows // most), min(-(-rows // 1024), math.isqrt(2 * tasks) + 1))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    mine = real.withColumn("_i", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_j", each).repartition(tasks, "_i", "_j")
+    theirs = real.withColumn("_j", F.pmod(F.xxhash64("p"), F.lit(blocks))).withColumn("_i", each)
+    theirs = theirs.toDF(*theirs.columns).repartition(tasks, "_i", "_j")
     strip = STRIP
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"p": [], "cluster": [], "w": [], "c": [], "s": [], "n": []}).astype({"p": "int64", "cluster": "int64", "w": "int64", "c": "int64", "s": "float64", "n": "int64"})
         right = right.sort_values("cluster", kind="stable")
-        x, y, weights = left[features].to_numpy(float), right[features].to_numpy(float), right.w.to_numpy(float)
-        p, q, square = left.p.to_numpy(), right.p.to_numpy(), (y * y).sum(1)
+        x, y, weights = (np.ascontiguousarray(t.to_numpy(float).T) for t in (left[features], right[features], right.w))
         found, starts = np.unique(right.cluster.to_numpy(), return_index=True)
-        total, rows = np.empty((len(left), len(found))), max(1, strip // len(right))
+        total, rows, many = np.empty((len(left), len(found))), max(1, strip // len(right)), (weights > 1).any()
+        far, part = np.empty((rows, len(right))), np.empty((rows, len(right)))
         for i in range(0, len(left), rows):
-            far = distances_between(x[i : i + rows], y, square)
-            far[p[i : i + rows, None] == q[None]] = 0
-            far *= weights
-            total[i : i + rows] = np.add.reduceat(far, starts, axis=1)
+            n = min(rows, len(left) - i)
+            d, t = far[:n], part[:n]
+            d[:] = 0
+            for a, b in zip(x, y):  # differences, so that equal places are at no distance
+                np.subtract(a[i : i + n, None], b, out=t)
+                np.multiply(t, t, out=t)
+                d += t
+            np.sqrt(d, out=d)
+            if many:
+                d *= weights
+            total[i : i + n] = np.add.reduceat(d, starts, axis=1)
         n, k = np.add.reduceat(right.w.to_numpy(), starts), len(found)
         return pd.DataFrame({c: np.repeat(left[c].to_numpy(), k) for c in ("p", "cluster", "w")} | {"c": np.tile(found, len(left)), "s": total.ravel(), "n": np.tile(n, len(left))})
 

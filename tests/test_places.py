@@ -287,3 +287,19 @@ def test_silhouette_of_blocks_holds_a_strip_at_a_time(spark, monkeypatch):
     df = spark.createDataFrame([(float(p), float(q), int(k)) for (p, q), k in zip(x, c)], "a double, b double, cluster long")
     monkeypatch.setattr(clusters, "STRIP", 64)
     assert clusters.silhouette(df, ["a", "b"]).first()[0] == pytest.approx(expected, abs=1e-9)
+
+
+def test_silhouette_far_from_the_origin_in_few_blocks(spark):
+    """Rows close together and far from 0 keep their distances, and a row is not sent once for each 4,096 others."""
+    rng = np.random.default_rng(6)
+    x, c = 1e8 + rng.integers(0, 40, (90, 2)) / 8, rng.integers(0, 3, 90)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.stack([d[:, c == k].sum(1) / np.where(c == k, (c == k).sum() - 1, (c == k).sum()) for k in range(3)], 1)
+    a = means[np.arange(90), c]
+    means[np.arange(90), c] = np.inf
+    expected = ((means.min(1) - a) / np.maximum(a, means.min(1))).mean()
+    df = spark.createDataFrame([(float(p), float(q), int(k)) for (p, q), k in zip(x, c)], "a double, b double, cluster long")
+    assert clusters.silhouette(df, ["a", "b"]).first()[0] == pytest.approx(expected, abs=1e-9)
+    many = spark.range(20_000).select(F.col("id").cast("double").alias("a"), F.lit(0.0).alias("b"), (F.col("id") % 2).alias("cluster"))
+    plan = clusters.silhouette(many, ["a", "b"])._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, 2" in plan and "sequence(0, 4" not in plan
