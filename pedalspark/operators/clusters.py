@@ -115,10 +115,9 @@ def noise_share(labels: DataFrame) -> DataFrame:
 
 def k_distance(points: DataFrame, k: int = 2, key: str = "id") -> DataFrame:
     """(key, distance) to the k-th nearest other point."""
-    from .spatial import nearest
+    from .spatial import nearest_others
 
-    other = points.select(F.col(key).alias("_o"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    return nearest(points, other, key, "_o", k, exclude_equal_ids=True).filter(F.col("rank") == k).select(key, "distance")
+    return nearest_others(points, key, k).filter(F.col("rank") == k).select(key, "distance")
 
 
 def _moments(df: DataFrame, features: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.stats import percentiles, running_before
 from ..storage import stored
 from .graph import components
 from .lts import major_roads, slope_class
-from .spatial import nearest, within
+from .spatial import beside, nearest_others, within
 
 
 def slopes(dem: DataFrame, cell: float, tangent_of_ratio: bool = False) -> DataFrame:
@@ -91,8 +91,7 @@ def class_shares(edges: DataFrame) -> DataFrame:
 
 def building_distances(buildings: DataFrame) -> DataFrame:
     """(id, distance): from each building (id, x, y) to its nearest other one."""
-    other = buildings.select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    return nearest(buildings, other, "id", "other", exclude_equal_ids=True).select("id", "distance")
+    return nearest_others(buildings, "id").select("id", "distance")
 
 
 def quintiles(distances: DataFrame, column: str = "distance") -> DataFrame:
@@ -104,7 +103,8 @@ def context(edges: DataFrame, buildings: DataFrame, radius: float, key: str = "i
     """``edges`` (x, y of their middle) with context: urban if a building is within ``radius``, else countryside."""
     # streets are copied to the cells around them, and each place of a building stands in its own
     mine = edges.select(key, F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = within(buildings.select("x", "y").distinct(), mine, radius).select(key).distinct().withColumn("_u", F.lit(True))
+    places = beside(buildings.select("x", "y"), mine, radius).distinct()
+    near = within(places, mine, radius).select(key).distinct().withColumn("_u", F.lit(True))
     return edges.join(near, key, "left").withColumn("context", F.when(F.col("_u"), "urban").otherwise("countryside")).drop("_u")
 
 

@@ -266,6 +266,42 @@ def test_context_copies_streets_and_not_buildings(spark):
     assert not any("Range" in line for line in generate[:3])
 
 
+def test_neighbour_searches_join_no_pairs(spark, monkeypatch):
+    """Distinct places are compared within their cells: no table of the search joins places or sorts pairs of them."""
+    plans, keep = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name))
+    houses = spark.range(3000).select("id", (F.col("id") % 50 + F.rand(1) / 4).alias("x"), (F.floor(F.col("id") / 50) + F.rand(2) / 4).alias("y"))
+    assert terrain.building_distances(houses).filter("distance > 0").count() == 3000
+    first = [plan for name, plan in plans if name == "nearest"][0]
+    assert "Join" not in first and first.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_neighbours_in_parts_of_cells_and_at_full_places(spark, monkeypatch, k):
+    """Crowded tiles, cells in parts, strips of pairs, places fuller than what they keep and rows without a place give the true neighbours."""
+    for name, value in {"TILE": 16, "PAIRS": 64, "HELD": 4}.items():
+        monkeypatch.setattr(spatial, name, value)
+    rng = random.Random(k)
+    rows = [(i, 7.0 + rng.random() / 100, rng.random() / 100) for i in range(120)] + [(i, rng.random() * 900, rng.random() * 900) for i in range(120, 200)]
+    rows += [(i, 5.0, 5.0) for i in range(200, 209)] + [(i, 6.0, 5.0) for i in range(209, 212)] + [(212, -9000.0, 3.0)]
+    df = frame(spark, rows).unionByName(spark.createDataFrame([(300, None, 1.0), (None, 5.0, 5.0)], "id long, x double, y double"))
+    got = {(r.id, r["rank"]): (r.other, r.distance) for r in spatial.nearest_others(df, "id", k).collect()}
+    expected = {}
+    for i, x, y in rows:
+        for r, (d, j) in enumerate(sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in rows if j != i)[:k]):
+            expected[i, r + 1] = (j, d)
+    assert got == expected
+
+
+def test_context_tells_apart_only_buildings_near_streets(spark, monkeypatch):
+    """Places of buildings are told apart after those far from all streets are left out."""
+    asked, keep = [], terrain.within
+    monkeypatch.setattr(terrain, "within", lambda places, *a: asked.append(places.count()) or keep(places, *a))
+    houses = spark.range(2000).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = {r.id: r.context for r in terrain.context(frame(spark, [(1, 40.0, 9.0), (2, 40.0, 11.0)]), houses, 10.0).collect()}
+    assert got == {1: "urban", 2: "countryside"} and asked == [30]
+
+
 def test_accidents_meet_streets_without_a_row_for_each_pair(spark):
     """2,000,000 accidents and as many streets on two pieces: 2e12 meetings, counted and not made."""
     n = 2_000_000
