@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pedalspark.functions import geo, stats
 from pedalspark.operators import access, accidents, autocorrelation, clusters, clusters_hierarchical, risk, spatial, terrain
+from pedalspark.plans import registry
 
 
 def cloud(seed, n, span=100.0):
@@ -276,6 +277,31 @@ def test_neighbour_searches_join_no_pairs(spark, monkeypatch):
     assert "Join" not in first and first.count("Aggregate") == 1
 
 
+def _shuffled(spark, f):
+    """Bytes that shuffles wrote while ``f`` ran, without broadcasts, and what it returned."""
+    sc, held = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        return f(), written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+@pytest.mark.parametrize("name, rows", [("context_quintiles", 1)])
+def test_queries_on_buildings_shuffle_few_bytes_of_each(spark, tmp_path, name, rows):
+    """A building is sent as its place and to the cells it lies close to: not to nine cells, nor with each of its neighbours, as large tables once were."""
+    n = 20_000
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7919 % 15_000).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    got, sent = _shuffled(spark, lambda: registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert len(got) == (rows or n) and sent < 120 * n
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_neighbours_in_parts_of_cells_and_at_full_places(spark, monkeypatch, k):
     """Crowded tiles, cells in parts, strips of pairs, places fuller than what they keep and rows without a place give the true neighbours."""
