@@ -293,7 +293,7 @@ def _shuffled(spark, f):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
-@pytest.mark.parametrize("name, rows", [("context_quintiles", 1)])
+@pytest.mark.parametrize("name, rows", [("context_quintiles", 1), ("building_nn_distance", None)])
 def test_queries_on_buildings_shuffle_few_bytes_of_each(spark, tmp_path, name, rows):
     """A building is sent as its place and to the cells it lies close to: not to nine cells, nor with each of its neighbours, as large tables once were."""
     n = 20_000
