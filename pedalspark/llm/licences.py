@@ -110,6 +110,8 @@ _NOTICED = "(?i)^[^\\n]{0,4}(?:copyright|\\(c\\)|©)[^\\n]*?[^A-Za-z0-9\\x{80}-\
 _X = "[^a-z0-9\\x{80}-\\x{10FFFF}]"
 #: What becomes one space: all between words, with the numbers and letters of lists there.
 _BETWEEN = f"(?:^|{_X}+)(?:(?:[0-9]{{1,2}}|[a-z])[.)]+(?:[ \\t\\r\\n]{_X}*|\\z))+|{_X}+"
+#: The same for Java, whose stack a list of some 700 entries would fill: an entry matches in one way only, so none is ever given back.
+_BETWEEN_JAVA = _BETWEEN.replace("))+|", "))++|")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The steps for texts that have a mark of copyright, and the marks; the words of texts whose spellings are made one.
 _STATED, _MARKS = [(_FILLED, " "), (_STATEMENT, "{1}"), (_LINE, "")], ["copyright", "©", "(c)", "reserved"]
@@ -139,7 +141,7 @@ def canonical(text: Column) -> Column:
         return F.when(_any(form, _LEGAL), out).otherwise(form)
 
     low = F.translate(F.when(F.contains(text, F.lit("Copyright ")), F.regexp_replace(text, _NAMED, "")).otherwise(text), _UPPER, _LOWER)
-    return F.trim(_with(F.regexp_replace(_with(low, stated), _BETWEEN, " "), spelled))
+    return F.trim(_with(F.regexp_replace(_with(low, stated), _BETWEEN_JAVA, " "), spelled))
 
 
 def digest(text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Inputs on which operators once went wrong: patterns that defeat hashes, tables without texts or ids, wrapped licences."""
 
+import hashlib
 import random
 import textwrap
 from pathlib import Path
@@ -114,6 +115,17 @@ def test_spellings_and_lists(spark):
     assert got == {1: "BSD-2-Clause", 2: "BSD-2-Clause", 3: "Zlib", 4: "MIT", 5: None, 6: None}
 
 
+def test_lists_of_any_length(spark):
+    rows = [
+        (1, "a. " * 30_000),
+        (2, "Some words, " + "b)\n" * 30_000 + "and more"),
+        (3, "".join(f"{i % 100}. " for i in range(30_000)) + "Released under the MIT License"),
+    ]
+    sha = lambda form: hashlib.sha256(form.encode()).hexdigest()
+    got = {r.doc_id: (r.digest, r.license_id, r.notices) for r in licences.scan(table(spark, rows)).collect()}
+    assert got == {1: (None, None, ""), 2: (sha("some words and more"), None, ""), 3: (sha("released under the mit license"), None, "MIT")}
+
+
 SHARED = Path("/usr/share/common-licenses")
 
 
